@@ -27,7 +27,7 @@ from .common import batch, checkpoint, texts
 from .tokens import encoder
 
 #: Steps of the local search at most. Each works on whole groups of bins, so the bound doesn't depend on the corpus.
-SEARCH_STEPS = 20_000
+SEARCH_STEPS = 2_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, part_rank long"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 from .packing import pack
 from .quality import quality
+from .simhash import near_duplicates
 from .token_files import token_files
 
 #: The vocabulary that token counts refer to.
@@ -22,9 +23,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), 2)
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_token_files, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_token_files, op5_simhash_near_dedup, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
