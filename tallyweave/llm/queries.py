@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .hmm import score
 from .packing import pack
 from .quality import quality
 from .simhash import near_duplicates
@@ -15,6 +16,10 @@ from .token_files import token_files
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(documents(spark, sf_dir))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), 2048, 0)
 
@@ -31,5 +36,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_token_files, op5_simhash_near_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_hidden_markov_scores, op2_best_fit_packing, op3_token_files, op5_simhash_near_dedup, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
