@@ -108,7 +108,7 @@ class Model:
         return cls(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def _sorted(texts_: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def by_position(texts_: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts from the longest down, position by position: codes, how many texts reach each position, the order."""
     sizes = np.array([len(t) for t in texts_])
     order = np.argsort(-sizes, kind="stable")
@@ -127,7 +127,7 @@ def _sorted(texts_: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def forward(model: Model, texts_: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each coded text, by the scaled forward recursion."""
-    codes, active, order = _sorted(texts_)
+    codes, active, order = by_position(texts_)
     step, total = model.step, np.zeros(len(texts_))
     ones, at, alpha = np.ones(STATES), 0, None
     for n in active:
@@ -144,7 +144,7 @@ def forward(model: Model, texts_: list[np.ndarray]) -> np.ndarray:
 
 def expected(model: Model, texts_: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch counts of some coded texts: start, step, emit."""
-    codes, active, _ = _sorted(texts_)
+    codes, active, _ = by_position(texts_)
     first = np.concatenate([[0], np.cumsum(active)])
     step, ones = model.step, np.ones(STATES)
     alphas = np.empty((len(codes), STATES))
