@@ -11,6 +11,7 @@ from .langid import identify
 from .packing import pack
 from .quality import quality
 from .simhash import near_duplicates
+from .suffix import remove_repeats
 from .token_files import token_files
 
 #: The vocabulary that token counts refer to.
@@ -37,9 +38,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_hidden_markov_scores, op2_best_fit_packing, op3_token_files, op5_simhash_near_dedup, op6_language_id, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_hidden_markov_scores, op2_best_fit_packing, op3_token_files, op5_simhash_near_dedup, op6_language_id, op9_suffix_array_dedup, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
