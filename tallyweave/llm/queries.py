@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 from .hmm import score
 from .langid import identify
+from .multiset_hash import edited_fingerprints
 from .packing import pack
 from .quality import quality
 from .simhash import near_duplicates
@@ -30,6 +31,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), 2)
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -46,5 +51,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_hidden_markov_scores, op2_best_fit_packing, op3_token_files, op5_simhash_near_dedup, op6_language_id, op9_suffix_array_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_hidden_markov_scores, op2_best_fit_packing, op3_token_files, op4_document_fingerprints, op5_simhash_near_dedup, op6_language_id, op9_suffix_array_dedup, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
