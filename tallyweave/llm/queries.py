@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 from .hmm import score
 from .langid import identify
+from .licenses import oracle, scan
 from .multiset_hash import edited_fingerprints
 from .packing import pack
+from .pieces import encode_decode
 from .quality import quality
 from .simhash import near_duplicates
 from .suffix import remove_repeats
@@ -17,6 +19,7 @@ from .token_files import token_files
 
 #: The vocabulary that token counts refer to.
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def op1_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +46,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(documents(spark, sf_dir))
+
+
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(documents(spark, sf_dir), public_tokenizers.path(PIECE_BPE))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
@@ -51,5 +62,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_hidden_markov_scores, op2_best_fit_packing, op3_token_files, op4_document_fingerprints, op5_simhash_near_dedup, op6_language_id, op9_suffix_array_dedup, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_hidden_markov_scores, op2_best_fit_packing, op3_token_files, op4_document_fingerprints, op5_simhash_near_dedup, op6_language_id, op7_license_scan, op8_sentence_pieces, op9_suffix_array_dedup, op10_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op7_license_scan": oracle()}
