@@ -37,6 +37,17 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+#: The columns of documents; stages of a pipeline take and return them.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+COLUMNS_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def document_columns(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+    kinds = dict(x.split(" ") for x in COLUMNS_SCHEMA.split(", "))
+    return docs.select(*[F.col(c).cast(kinds[c]).alias(c) for c in COLUMNS])
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -83,6 +94,18 @@ def by_bytes(items: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         yield begin, len(items)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold so many bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def batch(columns: dict[str, tuple[Iterable, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in columns.values()], names=list(columns))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, by_bytes, crc32_of, texts
+from .common import COLUMNS_SCHEMA, by_bytes, crc32_of, document_columns, gathered, texts
 from .hmm import by_position
 
 #: Labelled documents of each language that the fit uses, about, and of all languages at most.
@@ -27,6 +27,10 @@ SAMPLE, SAMPLE_MOST = 250, 4000
 TABLE_BITS, GRAMS = 16, (2, 3, 4)
 #: Steps, step size and penalty of the fit; words in a training run and runs in a sequence.
 STEPS, RATE, PENALTY, RUN, RUNS = 40, 0.15, 1e-6, 12, 6
+#: Bytes of text that are labelled at once, longer texts alone.
+LABEL_BYTES = 4 << 20
+#: The least score of a document whose language counts as known.
+SURE = 0.4
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.uint32(2654435761)
@@ -177,8 +181,8 @@ def train(docs: DataFrame) -> Field:
     return fit([(r["text"], r["lang"]) for r in rows])
 
 
-def identify(docs: DataFrame, field: Field | None = None, *more: str) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of each document, and the columns of docs named in more.
+def identify(docs: DataFrame, field: Field | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of each document.
 
     Null texts and texts without a letter are ``und`` with score 0, as all are
     if no document is labelled. Rows with equal or null doc_id are each
@@ -186,16 +190,34 @@ def identify(docs: DataFrame, field: Field | None = None, *more: str) -> DataFra
     """
     field = field or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast((field.labels, field.weights, field.step))
-    source = texts(docs, held_out(docs).alias("held_out"), *more)
-    kept = "".join(f", `{name}` {dict(source.dtypes)[name]}" for name in more)
+    source = texts(docs, held_out(docs).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Field(*shared.value)
-        for b in batches:
+        for b in gathered(batches, LABEL_BYTES):
             items = b.column(1).to_pylist()
-            for lo, hi in by_bytes(items, 1 << 22):
+            for lo, hi in by_bytes(items, LABEL_BYTES):
                 labels, scores = predict(own, items[lo:hi])
                 cut = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(2), pa.array(labels, pa.string()), pa.array(scores, pa.float64()), *cut.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", *more])
+                yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(2), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return source.mapInArrow(run, f"doc_id long, held_out boolean, lang_pred string, score double{kept}")
+    return source.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, field: Field | None = None) -> DataFrame:
+    """The documents, with their columns, whose language is known; learnt from these documents unless field is given.
+
+    If no document is labelled nothing can be told, and all stay.
+    """
+    field = field or train(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((field.labels, field.weights, field.step))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Field(*shared.value)
+        for b in gathered(batches, LABEL_BYTES):
+            items = [x or "" for x in b.column(1).to_pylist()]
+            for lo, hi in by_bytes(items, LABEL_BYTES):
+                labels, scores = predict(own, items[lo:hi])
+                yield b.slice(lo, hi - lo).filter(pa.array([x != UNDETERMINED and y >= SURE for x, y in zip(labels, scores)]))
+
+    return document_columns(docs).mapInArrow(run, COLUMNS_SCHEMA) if field.labels else document_columns(docs)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch, by_bytes, encoded, ranges, texts
+from .common import COLUMNS_SCHEMA, batch, by_bytes, document_columns, encoded, ranges, texts
 
 #: n-gram lengths and the share of a text's characters that may lie in n-grams found more than once.
 NGRAM_LIMITS = {5: 0.50, 8: 0.40, 10: 0.40}
@@ -119,3 +119,15 @@ def quality(docs: DataFrame) -> DataFrame:
                 yield batch({name: (got[name], kinds[kind]) for name, kind in fields})
 
     return texts(docs).mapInArrow(run, SCHEMA)
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The documents, with their columns, that quality keeps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            items = encoded(b.column(1))
+            for lo, hi in by_bytes(items):
+                yield b.slice(lo, hi - lo).filter(pa.array(measure(items[lo:hi])["kept"]))
+
+    return document_columns(docs).mapInArrow(run, COLUMNS_SCHEMA)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, batch, by_bytes, checkpoint, encoded, texts
+from .common import COLUMNS, LOWER_AZ, batch, by_bytes, checkpoint, document_columns, encoded, texts
 from .components import components
 
 WORDS, SEED, BITS = 3, 42, 3
@@ -144,6 +144,18 @@ def links(fps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_verify, "u long, v long")
 
 
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, label, component_id): label names the component among fingerprints."""
+    found = checkpoint(fingerprints(docs))
+    least = checkpoint(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(least.select("fp")))
+    in_links = least.join(roots.withColumnRenamed("node", "fp"), "fp")
+    first = in_links.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = in_links.join(first, "label").select("fp", "label", "component_id")
+    each = least.join(named, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return found.join(each, "fp").select("doc_id", "fp", "label", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id that links reach).
 
@@ -151,11 +163,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     equal doc_id are each fingerprinted; null doc_ids are no component's id
     unless all of its are null. An empty table gives an empty result.
     """
-    found = checkpoint(fingerprints(docs))
-    least = checkpoint(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(least.select("fp")))
-    in_links = least.join(roots.withColumnRenamed("node", "fp"), "fp")
-    first = in_links.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = in_links.join(first, "label").select("fp", "component_id")
-    each = least.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return found.join(each, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents, with their columns, of the smallest doc_id in each component; of rows with the same doc_id and component, one."""
+    docs = document_columns(docs)
+    groups = checkpoint(grouped(docs))
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    again = first.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
+    if not again:
+        return docs.join(first.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    # doc_id doesn't name a row here, so the fingerprint does, with it.
+    chosen = first.groupBy("label").agg(F.min("doc_id").alias("id"), F.min("fp").alias("chosen"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(simhashes(encoded(b.column(1))).view(np.int64))], names=[*COLUMNS, "fp"])
+
+    rows = docs.mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long, fp long")
+    met = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("chosen")))
+    return met.dropDuplicates(["label"]).select(*COLUMNS)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import Rolling, repeated
-from .common import batch, by_bytes, checkpoint, encoded, filesystem, ranges, texts, work_dir
+from .common import COLUMNS_SCHEMA, batch, by_bytes, checkpoint, document_columns, encoded, filesystem, ranges, texts, work_dir
 
 SIZE = 200
 #: Bytes of the strings whose hashes name anchors.
@@ -66,8 +66,9 @@ def anchors(items: list[bytes], size: int = SIZE, gram: int = GRAM) -> tuple[np.
     return owner, hashes[own[first]].view(np.int64), rolling.of(lo, hi + size).view(np.int64), lo - at[owner], hi + size - lo
 
 
-def _write(docs: DataFrame, folder: str) -> list[tuple[int, int]]:
-    """Write texts and their anchors; return the partitions and their rows."""
+def _write(source: DataFrame, folder: str) -> list[tuple[int, int]]:
+    """Write (doc_id, text, further string columns) with the texts' anchors; return the partitions and their rows."""
+    more = source.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows, writer = TaskContext.get().partitionId(), 0, None
@@ -81,6 +82,7 @@ def _write(docs: DataFrame, folder: str) -> list[tuple[int, int]]:
                 blobs = [[x[i:j].astype(kind).tobytes() for i, j in zip(cut[:-1], cut[1:])] for x, kind in zip(found[1:], ("<i8", "<i8", "<i4", "<i4"))]
                 out = batch(
                     {"doc_id": (b.column(0).slice(lo, hi - lo), pa.int64()), "text": ([zlib.compress(x, 1) for x in items[lo:hi]], pa.large_binary())}
+                    | {name: (b.column(2 + i).slice(lo, hi - lo), None) for i, name in enumerate(more)}
                     | {name: (x, pa.large_binary()) for name, x in zip(("anchor", "context", "start", "size"), blobs)}
                 )
                 if writer is None:
@@ -94,7 +96,7 @@ def _write(docs: DataFrame, folder: str) -> list[tuple[int, int]]:
 
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
-    return [(r["part"], r["n"]) for r in texts(docs).mapInArrow(run, "part int, n long").collect()]
+    return [(r["part"], r["n"]) for r in source.mapInArrow(run, "part int, n long").collect()]
 
 
 def _batches(folder: str, part: int, columns: list[str]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -199,49 +201,72 @@ def _repeated_windows(contexts: DataFrame, size: int) -> DataFrame:
     return contexts.mapInArrow(run, "anchor long, context long, `from` int, `to` int")
 
 
-def _finish(removed: DataFrame, folder: str, parts: int, with_text: bool) -> DataFrame:
-    """Every written text without the bytes of its removed stretches (row, start, end)."""
+def _finish(removed: DataFrame, folder: str, parts: int, schema: str, make) -> DataFrame:
+    """Every written text without the bytes of its removed stretches (row, start, end).
+
+    make(row of the file, its text, a mask of the bytes that go or None) gives the values of schema.
+    """
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    types = [kinds[x.strip().split(" ")[1]] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, (rows, start, end) in _grouped(batches):
             rows = rows & ((1 << _ROW) - 1)
-            for first, x in _batches(folder, part, ["doc_id", "text"]):
+            for first, x in _batches(folder, part, ["doc_id", "text", *(n for n in names if n in ("lang", "source"))]):
                 out = []
                 bounds = np.searchsorted(rows, first + np.arange(x.num_rows + 1))
-                for i, (key, packed) in enumerate(zip(x.column(0).to_pylist(), x.column(1).to_pylist())):
-                    text = zlib.decompress(packed)
-                    cover = np.zeros(len(text) + 1, np.int32)
-                    lo, hi = bounds[i], bounds[i + 1]
-                    real = np.flatnonzero(start[lo:hi] >= 0) + lo
-                    np.add.at(cover, start[real], 1)
-                    np.subtract.at(cover, end[real], 1)
-                    gone = np.cumsum(cover[:-1]) > 0
-                    kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if len(real) else text
-                    spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and gone[0]))
-                    out.append((key, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                made = {n: (c, k) for n, c, k in zip(names, zip(*out), kinds)}
-                if with_text:
-                    made["row"] = ((part << _ROW) + first + np.arange(x.num_rows), pa.int64())
-                else:
-                    del made["kept"]
-                yield batch(made)
-
-    return _by_part(removed, parts).mapInArrow(run, _KEPT + (", kept binary, row long" if with_text else ""))
-
-
-def remove_repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document; with_text: also the kept bytes.
+                for i, row in enumerate(x.to_pylist()):
+                    text = zlib.decompress(row["text"])
+                    real = np.flatnonzero(start[bounds[i] : bounds[i + 1]] >= 0) + bounds[i]
+                    gone = None
+                    if len(real):
+                        cover = np.zeros(len(text) + 1, np.int32)
+                        np.add.at(cover, start[real], 1)
+                        np.subtract.at(cover, end[real], 1)
+                        gone = np.cumsum(cover[:-1]) > 0
+                    out.append(make(row, text, gone))
+                yield batch({n: (c, k) for n, c, k in zip(names, zip(*out), types)})
+
+    return _by_part(removed, parts).mapInArrow(run, schema)
+
+
+def _kept(text: bytes, gone: np.ndarray | None) -> bytes:
+    return text if gone is None else np.frombuffer(text, np.uint8)[~gone].tobytes()
+
+
+def _measures(row: dict, text: bytes, gone: np.ndarray | None) -> tuple:
+    kept = _kept(text, gone)
+    spans = 0 if gone is None else int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0])
+    return row["doc_id"], len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest()
+
+
+def _document(row: dict, text: bytes, gone: np.ndarray | None) -> tuple:
+    kept = _kept(text, gone).decode("utf-8", "ignore")
+    return row["doc_id"], kept, row["lang"], row["source"], len(kept)
+
+
+def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document.
 
     A byte goes if some string of size bytes over it starts anywhere else too,
     in any document or its own; all copies go. Null texts are empty; rows with
     equal doc_id are texts of their own, so equal long rows remove each other;
     texts shorter than size stay; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    return _removed(texts(docs), size, _KEPT, _measures)
+
+
+def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """The documents, with their columns, without what remove_repeats removes; where that cuts through a character, what is left of it goes too."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return _removed(document_columns(docs).select("doc_id", text.alias("text"), "lang", "source"), size, COLUMNS_SCHEMA, _document)
+
+
+def _removed(source: DataFrame, size: int, schema: str, make) -> DataFrame:
+    spark = source.sparkSession
     folder = work_dir(spark, "repeats")
-    listed = _write(docs, folder)
+    listed = _write(source, folder)
     parts = max((p for p, _ in listed), default=0) + 1
     files = spark.createDataFrame([(p,) for p, _ in listed], "part int").repartitionById(parts, F.col("part"))
     rows = _anchor_rows(files, folder)
@@ -260,4 +285,4 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False) -
     equal = unsure.join(kinds.where("n > 1").select("anchor", "context"), ["anchor", "context"]).select("row", "start", (F.col("start") + F.col("size")).alias("end"))
     partly = kinds.where("n = 1").join(found, ["anchor", "context"]).select("row", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to") + (size - 1)).alias("end"))
     none = spark.createDataFrame([(p << _ROW, -1, -1) for p, _ in listed], "row long, start int, end int")  # so that each file is read
-    return _finish(whole.unionByName(equal).unionByName(partly).unionByName(none), folder, parts, with_text)
+    return _finish(whole.unionByName(equal).unionByName(partly).unionByName(none), folder, parts, schema, make)
