@@ -14,8 +14,9 @@ RELATIVE = (("year", 31_556_952), ("month", 28 * DAY), ("week", 7 * DAY), ("day"
 
 
 def _short(value: Column) -> Column:
-    """At most two decimals, with groups of thousands."""
-    text = F.format_number(value.cast("decimal(38,6)"), 2)
+    """At most two decimals, with groups of thousands; exact halves away from zero."""
+    tie = F.when(value * 8 == F.floor(value * 8), F.signum(value) * 1e-7).otherwise(0.0)
+    text = F.format_number(value + tie, 2)
     return F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
 
 

@@ -394,3 +394,416 @@ SELECT doc_id, chunk FROM r""")
 def byte_budget_packing(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return C.pack_by_budget(docs, "source", "doc_id", "n_chars", 20_000).select("doc_id", "chunk")
+
+
+# ---------------------------------------------------------------- hashes, codecs and locks
+
+_REV = "array_to_string(list_reverse(regexp_extract_all({0}, '..')), '')"
+
+
+@query("SELECT doc_id, sha256(unhex(sha256(text))) AS hash FROM documents")
+def sha256d_documents(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", B.to_hex(B.sha256d(F.col("text").cast("binary"))).alias("hash"))
+
+
+@query(f"SELECT doc_id, {_REV.format('sha256(unhex(sha256(text)))')} AS shown, substr(sha256(unhex(sha256(text))), 1, 8) AS checksum FROM documents")
+def hash_display_order(spark, sf_dir):
+    data = F.col("text").cast("binary")
+    return _t(spark, sf_dir, "documents").select("doc_id", B.display_hash(B.sha256d(data)).alias("shown"), B.to_hex(B.checksum(data)).alias("checksum"))
+
+
+def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").where("doc_id % 20 < 5")
+    return docs.select("source", F.col("doc_id").alias("tx_index"), B.sha256d(F.col("text").cast("binary")).alias("txid"))
+
+
+_MERKLE = """WITH RECURSIVE leaf AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, sha256(unhex(sha256(text))) AS h FROM documents WHERE doc_id % 20 < 5),
+lists AS (SELECT source, list(h ORDER BY i) AS l, false AS bad FROM leaf GROUP BY source),
+up(source, l, bad, depth) AS (SELECT source, l, bad, 0 FROM lists
+ UNION ALL SELECT source, list_transform(range(0, (len(l) + 1) // 2), lambda i: sha256(unhex(sha256(unhex(l[2 * i + 1] || l[least(2 * i + 2, len(l))]))))),
+  bad OR len(list_filter(range(0, len(l) // 2), lambda i: l[2 * i + 1] = l[2 * i + 2])) > 0, depth + 1 FROM up WHERE len(l) > 1)"""
+
+
+@query(f"{_MERKLE} SELECT source, l[1] AS root FROM up WHERE len(l) = 1")
+def merkle_root_by_source(spark, sf_dir):
+    return V.merkle_roots(_leaves(spark, sf_dir), "source").select("source", "root")
+
+
+@query(f"{_MERKLE} SELECT source, bad AS mutated FROM up WHERE len(l) = 1")
+def merkle_mutation_flag(spark, sf_dir):
+    return V.merkle_roots(_leaves(spark, sf_dir), "source").select("source", "mutated")
+
+
+_HEXN = "lpad(lower(to_hex(CAST({0} AS BIGINT))), {1}, '0')"
+
+
+def _sql_le(n: str, size: int) -> str:
+    return _REV.format(_HEXN.format(n, 2 * size))
+
+
+@query(f"""WITH n AS (SELECT event_id, event_id * event_id * 43 AS n FROM events) SELECT event_id, CASE WHEN n < 253 THEN {_sql_le('n', 1)} WHEN n <= 65535 THEN 'fd' || {_sql_le('n', 2)} WHEN n <= 4294967295 THEN 'fe' || {_sql_le('n', 4)} ELSE 'ff' || {_sql_le('n', 8)} END AS encoded,
+CASE WHEN n <= 4294967295 THEN n END AS decoded FROM n""")
+def compact_size_encode(spark, sf_dir):
+    n = _t(spark, sf_dir, "events").select("event_id", (F.col("event_id") * F.col("event_id") * 43).alias("n"))
+    coded = n.select("event_id", B.compact_size_hex(F.col("n")).alias("encoded"))
+    return coded.select("event_id", "encoded", B.from_compact_size(F.col("encoded")).alias("decoded"))
+
+
+@query(f"SELECT event_id, {_HEXN.format('event_id % 16777216', 6)} AS u24, {_HEXN.format('event_id * 7919', 10)} AS u40, {_HEXN.format('event_id * 1234567', 12)} AS u48, {_HEXN.format('event_id * 12345678', 14)} AS u56, event_id * 1234567 AS back FROM events")
+def u48_be_encode(spark, sf_dir):
+    i = F.col("event_id")
+    coded = _t(spark, sf_dir, "events").select("event_id", *[B.big_endian_hex(n, size).alias(f"u{8 * size}") for n, size in ((i % 16777216, 3), (i * 7919, 5), (i * 1234567, 6), (i * 12345678, 7))])
+    return coded.select("*", B.from_big_endian(F.col("u48")).alias("back"))
+
+
+def _sql_script_num(n: str) -> str:
+    digits = f"to_hex(CAST(abs({n}) AS BIGINT))"
+    even = f"lower(CASE WHEN length({digits}) % 2 = 1 THEN '0' || {digits} ELSE {digits} END)"
+    high = f"substr({even}, 1, 1) >= '8'"
+    neg = f"format('{{:02x}}', 128 + CAST('0x' || substr({even}, 1, 2) AS INTEGER)) || substr({even}, 3)"
+    return f"CASE WHEN {n} = 0 THEN '' ELSE {_REV.format(f'''(CASE WHEN {high} THEN (CASE WHEN {n} < 0 THEN '80' ELSE '00' END) || {even} WHEN {n} < 0 THEN {neg} ELSE {even} END)''')} END"
+
+
+@query(f"WITH n AS (SELECT event_id, event_id * (CASE WHEN event_id % 3 = 0 THEN -113 ELSE 271 END) AS n FROM events) SELECT event_id, {_sql_script_num('n')} AS encoded, n AS decoded FROM n")
+def scriptnum_height(spark, sf_dir):
+    n = _t(spark, sf_dir, "events").select("event_id", (F.col("event_id") * F.when(F.col("event_id") % 3 == 0, -113).otherwise(271)).alias("n"))
+    coded = n.select("event_id", B.script_num_hex(F.col("n")).alias("encoded"))
+    return coded.select("event_id", "encoded", B.from_script_num(F.col("encoded")).alias("decoded"))
+
+
+@query(f"""WITH n AS (SELECT event_id + 222931 AS height, event_id FROM events), p AS (SELECT *, {_sql_script_num('height')} AS s FROM n), q AS (SELECT *, lpad(lower(to_hex(length(s) // 2)), 2, '0') || s AS push FROM p)
+SELECT height, push FROM q WHERE height >= 227931 AND event_id % 11 = 0""")
+def bip34_prefix(spark, sf_dir):
+    """Coinbases from the height of the rule on, every eleventh of which begins with something else."""
+    rows = _t(spark, sf_dir, "events").select((F.col("event_id") + 222931).alias("height"), "event_id")
+    push = B.height_push_hex(F.col("height"))
+    made = rows.select("height", push.alias("push"), F.when(F.col("event_id") % 11 == 0, "00").otherwise(F.concat(push, F.lit("beef"))).alias("script"))
+    return V.bad_coinbase_heights(made).select("height", "push")
+
+
+_U32 = "(o_orderkey * 2654435761) % 4294967296"
+
+
+def _u32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unsigned 32-bit values from order keys, with the special ones among them."""
+    value = F.pmod(F.col("o_orderkey") * 2654435761, F.lit(1 << 32))
+    special = F.when(F.col("o_orderkey") % 10 == 0, 0).when(F.col("o_orderkey") % 10 == 1, 0xFFFFFFFF).when(F.col("o_orderkey") % 10 == 2, F.col("o_orderkey")).otherwise(value)
+    return _t(spark, sf_dir, "orders").select("o_orderkey", special.cast("long").alias("v"), (F.col("o_orderkey") % 4).alias("version"))
+
+
+_SQL_U32 = f"u AS (SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN 0 WHEN 1 THEN 4294967295 WHEN 2 THEN o_orderkey ELSE {_U32} END AS v, o_orderkey % 4 AS version FROM orders)"
+_SQL_UTC = "strftime(make_timestamp(v * 1000000), '%Y-%m-%dT%H:%M:%S.000Z')"
+
+
+@query(f"""WITH {_SQL_U32} SELECT o_orderkey, CASE WHEN v = 0 THEN 'none' WHEN v < 500000000 THEN 'block' ELSE 'time' END AS kind, CASE WHEN v > 0 AND v < 500000000 THEN v END AS height, CASE WHEN v >= 500000000 THEN v END AS seconds, v AS back,
+CASE WHEN v = 0 THEN 'none' WHEN v < 500000000 THEN 'block ' || v ELSE 'time ' || {_SQL_UTC} END AS shown FROM u""")
+def locktime_decode(spark, sf_dir):
+    rows = _u32(spark, sf_dir).select("o_orderkey", "v", L.lock_time(F.col("v")).alias("l"))
+    return rows.select("o_orderkey", "l.*", L.lock_time_value(F.col("l")).alias("back"), L.format_lock_time(F.col("v")).alias("shown"))
+
+
+_ENABLED = "v <> 4294967295 AND (v >> 31) & 1 = 0"
+_TIMED = "(v >> 22) & 1 = 1"
+
+
+@query(f"""WITH {_SQL_U32} SELECT o_orderkey, CASE WHEN v = 4294967295 THEN 'final' WHEN (v >> 31) & 1 = 1 THEN 'disable' ELSE 'enable' END AS kind, CASE WHEN {_ENABLED} THEN CASE WHEN {_TIMED} THEN 'time' ELSE 'block' END END AS lock_kind,
+CASE WHEN {_ENABLED} AND NOT {_TIMED} THEN v & 65535 END AS blocks, CASE WHEN {_ENABLED} AND {_TIMED} THEN (v & 65535) * 512 END AS seconds,
+CASE WHEN v = 4294967295 THEN NULL WHEN (v >> 31) & 1 = 1 THEN v & 2147483647 ELSE ((v >> 23) & 255) * 64 + ((v >> 16) & 63) END AS unused, v AS back,
+CASE WHEN v = 4294967295 THEN 'final (0xffffffff)' WHEN (v >> 31) & 1 = 1 THEN 'disabled (raw: 0x' || lower(to_hex(v)) || ')' WHEN {_TIMED} THEN 'relative lock: ' || ((v & 65535) * 512) || 's' ELSE 'relative lock: ' || (v & 65535) || ' blocks' END AS shown FROM u""")
+def sequence_decode(spark, sf_dir):
+    rows = _u32(spark, sf_dir).select("o_orderkey", "v", L.sequence(F.col("v")).alias("l"))
+    return rows.select("o_orderkey", "l.*", L.sequence_value(F.col("l")).alias("back"), L.format_sequence(F.col("v")).alias("shown"))
+
+
+@query(f"WITH {_SQL_U32}, t AS (SELECT o_orderkey, CASE WHEN v = 0 AND version IN (1, 2) THEN version WHEN version IN (1, 2) THEN version + 2 ELSE 0 END AS tag FROM u) SELECT o_orderkey, CAST(tag AS INTEGER) AS tag, CAST(CASE WHEN tag IN (1, 2) THEN 1 WHEN tag IN (3, 4) THEN 5 ELSE 9 END AS INTEGER) AS bytes FROM t")
+def locktime_version_tag(spark, sf_dir):
+    tag = L.version_lock_tag(F.col("version"), F.col("v"))
+    return _u32(spark, sf_dir).select("o_orderkey", tag.alias("tag"), L.version_lock_size(tag).alias("bytes"))
+
+
+@query("SELECT event_id, CASE WHEN event_id * 1000 // 210000 >= 64 THEN 0 ELSE CAST(5000000000 AS BIGINT) >> CAST(event_id * 1000 // 210000 AS INTEGER) END AS subsidy FROM events")
+def block_subsidy(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", W.subsidy(F.col("event_id") * 1000).alias("subsidy"))
+
+
+@query("SELECT event_id * 100 // 210000 AS halving_epoch, event_id * 100 // 2016 AS difficulty_epoch, count(*) AS blocks FROM events GROUP BY 1, 2")
+def halving_epoch(spark, sf_dir):
+    h = F.col("event_id") * 100
+    return _t(spark, sf_dir, "events").groupBy(W.halving_epoch(h).alias("halving_epoch"), W.difficulty_epoch(h).alias("difficulty_epoch")).agg(F.count("*").alias("blocks"))
+
+
+@query("SELECT event_id, (SELECT max(event_id) FROM events) - event_id + 1 AS confirmations FROM events")
+def confirmations(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id")
+    return e.join(F.broadcast(e.agg(F.max("event_id").alias("top")))).select("event_id", (F.col("top") - F.col("event_id") + 1).alias("confirmations"))
+
+
+@query("SELECT md5(text) AS txid, count(*) AS txs FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_txids(spark, sf_dir):
+    txs = _t(spark, sf_dir, "documents").select(F.md5(F.col("text").cast("binary")).alias("txid"), F.col("doc_id").alias("height"))
+    return V.repeated_txids(txs, txs.select("height", F.lit("").alias("hash")))
+
+
+# ---------------------------------------------------------------- scripts and witnesses
+
+_H = "sha256('k' || p_partkey)"
+_SCRIPT = f"""(CASE p_partkey % 10 WHEN 0 THEN '76a914' || substr({_H}, 1, 40) || '88ac' WHEN 1 THEN 'a914' || substr({_H}, 1, 40) || '87' WHEN 2 THEN '0014' || substr({_H}, 1, 40) WHEN 3 THEN '0020' || {_H} WHEN 4 THEN '5120' || {_H}
+ WHEN 5 THEN '2102' || {_H} || 'ac' WHEN 6 THEN '4104' || {_H} || {_H} || 'ac' WHEN 7 THEN '6a20' || {_H} WHEN 8 THEN '5121' || {_H} || '51ae' ELSE '76a914' || substr({_H}, 1, 40) END)"""
+_KINDS = ("p2pkh", "p2sh", "p2wpkh", "p2wsh", "p2tr", "p2pk", "p2pkUncompressed", "opreturn", "raw", "raw")
+_SQL_KIND = "(CASE p_partkey % 10 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KINDS)) + " END)"
+_CUTS = ((7, 40), (5, 40), (5, 40), (5, 64), (5, 64), (3, 66), (3, 130), None, None, None)
+_SQL_PAYLOAD = "(CASE p_partkey % 10 " + " ".join(f"WHEN {i} THEN {'s' if c is None else f'substr(s, {c[0]}, {c[1]})'}" for i, c in enumerate(_CUTS)) + " END)"
+
+
+def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.sha2(F.concat(F.lit("k"), F.col("p_partkey").cast("string")), 256)
+    short, lit = F.substring(h, 1, 40), F.lit
+    made = (
+        F.concat(lit("76a914"), short, lit("88ac")),
+        F.concat(lit("a914"), short, lit("87")),
+        F.concat(lit("0014"), short),
+        F.concat(lit("0020"), h),
+        F.concat(lit("5120"), h),
+        F.concat(lit("2102"), h, lit("ac")),
+        F.concat(lit("4104"), h, h, lit("ac")),
+        F.concat(lit("6a20"), h),
+        F.concat(lit("5121"), h, lit("51ae")),
+        F.concat(lit("76a914"), short),
+    )
+    return _t(spark, sf_dir, "part").select("p_partkey", F.get(F.array(*made), (F.col("p_partkey") % 10).cast("int")).alias("script"))
+
+
+@query(f"WITH k AS (SELECT p_partkey, {_SCRIPT} AS s, {_SQL_KIND} AS kind FROM part) SELECT p_partkey, kind, {_SQL_PAYLOAD} AS payload FROM k")
+def script_kind(spark, sf_dir):
+    return scripts(spark, sf_dir).select("p_partkey", S.script_kind(F.col("script")).alias("kind"), S.script_payload(F.col("script")).alias("payload"))
+
+
+@query(f"SELECT p_partkey, {_SCRIPT} AS script, true AS same FROM part")
+def script_roundtrip(spark, sf_dir):
+    rows = scripts(spark, sf_dir).select("p_partkey", "script", S.script_kind(F.col("script")).alias("k"), S.script_payload(F.col("script")).alias("p"))
+    back = S.script_of(F.col("k"), F.col("p"))
+    return rows.select("p_partkey", back.alias("script"), (back == F.col("script")).alias("same"))
+
+
+_SIG = "repeat('30', 71 + CAST(p_partkey % 3 AS INTEGER))"
+_SIG_COL = lambda: F.repeat(F.lit("30"), (71 + F.col("p_partkey") % 3).cast("int"))
+#: Witness kinds of the analogue, by p_partkey mod 11: kind and items ('S' a signature, 'K' a key, else hex).
+_WITNESSES = (
+    ("none", ()),
+    ("p2wpkh", ("S", "02" + "ab" * 32)),
+    ("p2trKeyPath", ("cd" * 64,)),
+    ("p2wsh1of1", ("", "S", "51" + "11" * 31 + "51ae")),
+    ("p2wsh2of2", ("", "S", "S", "52" + "11" * 68 + "52ae")),
+    ("p2wsh2of3", ("", "S", "S", "52" + "11" * 102 + "53ae")),
+    ("p2wsh3of3", ("", "S", "S", "S", "53" + "11" * 102 + "53ae")),
+    ("p2wsh1of2", ("", "S", "51" + "11" * 68 + "52ae")),
+    ("p2wsh1of3", ("", "S", "51" + "11" * 102 + "53ae")),
+    ("p2wshTimelock", ("S", "11" * 10 + "b1" + "22" * 28)),
+    ("raw", ("00", "6300036f72640101aa", "c0")),
+)
+
+
+def witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = [F.array(*[_SIG_COL() if x == "S" else F.lit(x) for x in items]).cast("array<string>") for _, items in _WITNESSES]
+    return _t(spark, sf_dir, "part").select("p_partkey", F.get(F.array(*made), (F.col("p_partkey") % 11).cast("int")).alias("items"))
+
+
+_SQL_WITNESS = "(CASE p_partkey % 11 " + " ".join(f"WHEN {i} THEN [" + ", ".join(_SIG if x == "S" else f"'{x}'" for x in items) + "]::VARCHAR[]" for i, (_, items) in enumerate(_WITNESSES)) + " END)"
+
+
+@query("SELECT p_partkey, CASE p_partkey % 11 " + " ".join(f"WHEN {i} THEN '{k}'" for i, (k, _) in enumerate(_WITNESSES)) + f" END AS kind, array_to_string({_SQL_WITNESS}, ' ') AS items FROM part")
+def witness_kind(spark, sf_dir):
+    rows = witnesses(spark, sf_dir).select("p_partkey", S.witness_kind(F.col("items")).alias("kind"), S.witness_fields(F.col("items")).alias("fields"))
+    return rows.select("p_partkey", "kind", F.array_join(S.witness_of(F.col("kind"), F.col("fields")), " ").alias("items"))
+
+
+def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One output and witness each, block = p_partkey / 10, place = p_partkey mod 10."""
+    rows = scripts(spark, sf_dir).join(witnesses(spark, sf_dir), "p_partkey")
+    key = F.col("p_partkey")
+    tags = S.tx_features(key % 10, F.lit("11" * 32), F.lit(0), F.array((F.lit(0xFFFFFFFD) + key % 3)), F.array("script"), F.array("items"), F.when(key % 4 == 0, key).otherwise(0))
+    return rows.select(F.floor(key / 10).alias("block"), (key % 10).alias("place"), tags.alias("tags"))
+
+
+_TAGS = """tags AS (SELECT p_partkey // 10 AS block, p_partkey % 10 AS place, list_filter([CASE WHEN p_partkey % 10 = 0 THEN 'coinbase' END, CASE WHEN p_partkey % 11 > 0 THEN 'segwit' END, CASE WHEN p_partkey % 10 = 4 THEN 'taproot' END, CASE WHEN p_partkey % 10 = 7 THEN 'data' END,
+ CASE WHEN p_partkey % 10 <> 0 AND p_partkey % 3 = 0 THEN 'rbf' END, CASE WHEN p_partkey % 4 = 0 AND p_partkey <> 0 THEN 'locktime' END, CASE WHEN p_partkey % 11 = 10 THEN 'inscription' END, CASE WHEN p_partkey % 10 = 8 THEN 'multisig' END], lambda x: x IS NOT NULL) AS t FROM part)"""
+
+
+@query(f"WITH {_TAGS} SELECT block, place, array_to_string(t, ' ') AS tags FROM tags")
+def tx_feature_tags(spark, sf_dir):
+    return transactions(spark, sf_dir).select("block", "place", F.array_join("tags", " ").alias("tags"))
+
+
+@query(f"WITH {_TAGS}, u AS (SELECT block, list_distinct(flatten(list(t))) AS t FROM tags GROUP BY block) SELECT block, array_to_string(list_filter([{', '.join(repr(x) for x in S.BLOCK_FEATURES)}], lambda x: list_contains(t, x)), ' ') AS features FROM u")
+def block_feature_union(spark, sf_dir):
+    return transactions(spark, sf_dir).groupBy("block").agg(S.block_features(F.col("tags")).alias("features")).select("block", F.array_join("features", " ").alias("features"))
+
+
+@query()
+def script_addresses(spark, sf_dir):
+    """base58 and bech32 addresses; not in SQL, held by golden vectors in the tests."""
+    return scripts(spark, sf_dir).select("p_partkey", S.script_kind(F.col("script")).alias("kind"), S.address(F.col("script")).alias("address"))
+
+
+@query(f"""WITH k AS (SELECT p_partkey, {_H} AS h, p_partkey % 10 AS m FROM part) SELECT p_partkey, CASE m WHEN 0 THEN 'OP_DUP OP_HASH160 <' || substr(h, 1, 40) || '> OP_EQUALVERIFY OP_CHECKSIG' WHEN 1 THEN 'OP_HASH160 <' || substr(h, 1, 40) || '> OP_EQUAL' WHEN 2 THEN 'OP_0 <' || substr(h, 1, 40) || '>' WHEN 3 THEN 'OP_0 <' || h || '>' WHEN 4 THEN 'OP_1 <' || h || '>'
+ WHEN 5 THEN '<33b:02' || substr(h, 1, 62) || '…> OP_CHECKSIG' WHEN 6 THEN '<65b:04' || substr(h, 1, 62) || '…> OP_CHECKSIG' WHEN 7 THEN 'OP_RETURN <' || h || '>' WHEN 8 THEN 'OP_1 <33b:' || h || '…> OP_CHECKMULTISIG' ELSE 'OP_DUP OP_HASH160 <' || substr(h, 1, 40) || '>' END AS text FROM k""")
+def script_disassembly(spark, sf_dir):
+    return scripts(spark, sf_dir).select("p_partkey", S.disassemble(F.col("script")).alias("text"))
+
+
+# ---------------------------------------------------------------- wire formats
+
+_SQL_HEADER = f"{_sql_le('version', 4)} || {_REV.format('hash')} || hash || {_sql_le('t', 4)} || {_sql_le('bits', 4)} || {_sql_le('nonce', 4)}"
+
+
+@query(f"""WITH {_CHAIN}, h AS (SELECT height, 1 + height % 4 AS version, hash, CAST(floor(epoch(ts)) AS BIGINT) AS t, bits, (height * 2654435761) % 4294967296 AS nonce FROM chain)
+SELECT height, version, {_REV.format('hash')} AS prev_hash, hash AS merkle_root, t AS time, CAST(bits AS BIGINT) AS bits, nonce, sha256(unhex(sha256(unhex({_SQL_HEADER})))) AS hash FROM h""")
+def wire_header_decode(spark, sf_dir):
+    from .sources.wire import decode_header, encode_header
+
+    rows = chain(spark, sf_dir).select("height", encode_header(1 + F.col("height") % 4, B.reversed_hex(F.col("hash")), F.col("hash"), F.unix_timestamp("ts"), F.col("bits"), F.pmod(F.col("height") * 2654435761, F.lit(1 << 32))).alias("raw"))
+    return rows.select("height", decode_header(F.col("raw")).alias("h")).select("height", "h.*")
+
+
+@query(f"""WITH k AS (SELECT p_partkey, {_SCRIPT} AS s, {_SQL_WITNESS} AS w, p_partkey % 2 + 1 AS version FROM part),
+b AS (SELECT p_partkey, version, '01' || {_H} || '00000000' || '00' || 'ffffffff' || '01' || {_sql_le('p_partkey * 1000', 8)} || {_sql_le('length(s) // 2', 1)} || s AS body, len(w) AS n,
+ {_sql_le('len(w)', 1)} || array_to_string(list_transform(w, lambda x: {_sql_le('length(x) // 2', 1)} || x), '') AS stack FROM k)
+SELECT p_partkey, sha256(unhex(sha256(unhex({_sql_le('version', 4)} || body || '00000000')))) AS txid,
+ sha256(unhex(sha256(unhex({_sql_le('version', 4)} || CASE WHEN n > 0 THEN '0001' ELSE '' END || body || CASE WHEN n > 0 THEN stack ELSE '' END || '00000000')))) AS wtxid, p_partkey * 1000 AS value, n AS witness_items FROM b""")
+def wire_tx_decode(spark, sf_dir):
+    from .sources.wire import INPUT, OUTPUT, decode_txs, encode_tx
+
+    h = F.sha2(F.concat(F.lit("k"), F.col("p_partkey").cast("string")), 256)
+    rows = scripts(spark, sf_dir).join(witnesses(spark, sf_dir), "p_partkey")
+    ins = F.array(F.struct(h.alias("prev_txid"), F.lit(0).cast("long").alias("prev_vout"), F.lit("").alias("script"), F.lit(0xFFFFFFFF).alias("sequence"))).cast(f"array<{INPUT}>")
+    outs = F.array(F.struct((F.col("p_partkey") * 1000).alias("value"), F.col("script"))).cast(f"array<{OUTPUT}>")
+    raw = rows.select("p_partkey", encode_tx(F.col("p_partkey") % 2 + 1, ins, outs, F.array("items"), F.lit(0)).alias("raw"))
+    items = F.coalesce(F.size(F.get("witness", F.lit(0))), F.lit(0))
+    return decode_txs(raw, "raw", "p_partkey").select("p_partkey", "txid", "wtxid", F.get("outputs", F.lit(0))["value"].alias("value"), F.when(F.size("witness") == 0, 0).otherwise(items).cast("long").alias("witness_items"))
+
+
+# ---------------------------------------------------------------- formats
+
+
+def _sql_scaled(v: str, base: int, units: tuple[str, ...], sep: str = " ") -> str:
+    def text(i: int) -> str:
+        d = f"CAST({v} AS DOUBLE) / {base**i}"
+        x = f"format('{{:,.2f}}', {d} + CASE WHEN {d} * 8 = floor({d} * 8) THEN 1e-7 ELSE 0 END)"
+        return f"regexp_replace(regexp_replace({x}, '0+$', ''), '\\.$', '') || '{sep if units[i] else ''}{units[i]}'"
+
+    return "CASE " + " ".join(f"WHEN abs({v}) < {base ** (i + 1)} THEN {text(i)}" for i in range(len(units) - 1)) + f" ELSE {text(len(units) - 1)} END"
+
+
+@query(f"WITH v AS (SELECT event_id, event_id * event_id * 37 AS v FROM events) SELECT event_id, {_sql_scaled('v', 1024, FM.BINARY_UNITS)} AS binary_size, {_sql_scaled('v', 1000, FM.DECIMAL_UNITS)} AS decimal_size, {_sql_scaled('v', 1000, FM.PLAIN_UNITS, '')} AS difficulty FROM v")
+def format_bytes(spark, sf_dir):
+    v = F.col("event_id") * F.col("event_id") * 37
+    return _t(spark, sf_dir, "events").select("event_id", FM.bytes_binary(v).alias("binary_size"), FM.bytes_decimal(v).alias("decimal_size"), FM.difficulty(v).alias("difficulty"))
+
+
+def _sql_relative(s: str) -> str:
+    def text(unit: str, size: int) -> str:
+        n = f"CAST(floor({s} / {size}.0 + 0.5) AS BIGINT)"
+        many = f"CASE WHEN abs({n}) = 1 THEN '{unit}' ELSE '{unit}s' END"
+        return f"CASE WHEN {n} < 0 THEN abs({n}) || ' ' || {many} || ' ago' ELSE 'in ' || {n} || ' ' || {many} END"
+
+    return "CASE " + " ".join(f"WHEN abs({s}) >= {size} THEN {text(unit, size)}" for unit, size in FM.RELATIVE) + " ELSE 'now' END"
+
+
+@query(f"WITH v AS (SELECT event_id, (event_id - 300) * (event_id - 300) * (event_id - 300) AS s FROM events WHERE event_id < 2000) SELECT event_id, {_sql_relative('s')} AS shown FROM v")
+def relative_time(spark, sf_dir):
+    i = F.col("event_id") - 300
+    return _t(spark, sf_dir, "events").where("event_id < 2000").select("event_id", FM.relative_time(i * i * i).alias("shown"))
+
+
+@query("""WITH v AS (SELECT event_id, (event_id * event_id * 977) // 1000 AS s FROM events), p AS (SELECT event_id, CASE WHEN s >= 86400 THEN s // 86400 || 'd' ELSE '' END || CASE WHEN s // 3600 % 24 > 0 THEN s // 3600 % 24 || 'h' ELSE '' END || CASE WHEN s // 60 % 60 > 0 THEN s // 60 % 60 || 'm' ELSE '' END || CASE WHEN s % 60 > 0 THEN s % 60 || 's' ELSE '' END AS t FROM v)
+SELECT event_id, CASE WHEN t = '' THEN '0s' ELSE t END AS shown FROM p""")
+def format_duration(spark, sf_dir):
+    i = F.col("event_id")
+    return _t(spark, sf_dir, "events").select("event_id", FM.duration(i * i * 977).alias("shown"))
+
+
+@query("SELECT o_orderkey, 'BTC ' || format('{:,.2f}', CAST(o_orderkey * 25000000 AS DOUBLE) / 100000000) AS coins, format('{:,}', o_orderkey) AS height, '0x' || lpad(lower(to_hex(o_orderkey % 4294967296)), 8, '0') AS version, CAST(month(o_orderdate) AS VARCHAR) || '/' || day(o_orderdate) || '/' || year(o_orderdate) AS day, CAST(least(o_orderkey / 4000000.0, 1) AS DOUBLE) AS fill FROM orders WHERE o_orderkey % 2 = 0")
+def format_bitcoin(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
+    k = F.col("o_orderkey")
+    return o.select("o_orderkey", FM.bitcoin(k * 25_000_000).alias("coins"), FM.height(k).alias("height"), FM.version(k).alias("version"), FM.date(F.col("o_orderdate")).alias("day"), FM.fill_ratio(k).alias("fill"))
+
+
+# ---------------------------------------------------------------- streams
+
+_BUCKET = "make_timestamp(CAST(floor(epoch(ts)) AS BIGINT) // {0} * {0} * 1000000)"
+
+
+@query(f"SELECT {_BUCKET.format(3600)} AS start, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS total FROM events GROUP BY 1")
+def throughput_window(spark, sf_dir):
+    return T.tumbling(_t(spark, sf_dir, "events"), "ts", 3600, F.col("user_id"))
+
+
+@query(f"SELECT user_id, {_BUCKET.format(7200)} AS start, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1, 2")
+def throttle_first_last(spark, sf_dir):
+    return T.throttled(_t(spark, sf_dir, "events"), "ts", 7200, "user_id", "event_id")
+
+
+@query("""WITH g AS (SELECT user_id, event_id, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS later, ts FROM events) SELECT user_id, event_id AS last FROM g WHERE later IS NULL OR later >= ts + INTERVAL 3600 SECOND""")
+def debounce_last(spark, sf_dir):
+    return T.debounced(_t(spark, sf_dir, "events"), "ts", 3600, "user_id", "event_id")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
+def latest_wins(spark, sf_dir):
+    return T.latest(_t(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
+
+
+def _store(spark: SparkSession, what: str):
+    import tempfile
+    import uuid
+
+    from .plans.snapshot import Snapshots
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='tallyweave-')}"
+    root = f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return Snapshots(spark, root), root
+
+
+_STREAMED = "frontier AS (SELECT coalesce(min(event_id), 1000000000) AS f FROM events WHERE event_type = 'error' AND event_id > 600)"
+
+
+@query(f"WITH {_STREAMED} SELECT event_id AS height, event_type, user_id FROM events, frontier WHERE event_id < f")
+def stream_ingest_available_now(spark, sf_dir):
+    """Events stream in four files, out of order and partly twice; 'error' rows after 600 are bad, so the frontier stops at the first."""
+    into, root = _store(spark, "ingest")
+    rows = _t(spark, sf_dir, "events").select(F.col("event_id").alias("height"), "event_type", "user_id")
+    part = F.pmod(F.col("height"), F.lit(4))
+    twice = rows.where("height % 10 = 0").withColumn("part", F.pmod(F.col("height") + 1, F.lit(4)))
+    rows.withColumn("part", part).unionByName(twice).repartition(4, "part").drop("part").write.parquet(f"{root}/source")
+    valid = (F.col("event_type") != "error") | (F.col("height") <= 600)
+    T.ingest(spark, f"{root}/source", rows.schema, into, f"{root}/checkpoint", valid, files_each=1)
+    return T.committed(into)
+
+
+@query("SELECT event_id, doc_id FROM (SELECT event_id, CAST(NULL AS BIGINT) AS doc_id FROM events WHERE event_type = 'error') UNION ALL SELECT NULL, doc_id FROM documents WHERE length(text) < 100")
+def bad_record_quarantine(spark, sf_dir):
+    events = _t(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", F.lit(None).cast("long").alias("doc_id"))
+    return events.unionByName(_t(spark, sf_dir, "documents").where(F.length("text") < 100).select(F.lit(None).cast("long").alias("event_id"), "doc_id"))
+
+
+@query("SELECT event_id AS height, event_type, user_id FROM events WHERE event_id <= 700 UNION ALL SELECT event_id, event_type, user_id + 1 FROM events WHERE event_id > 700 AND event_id <= 750")
+def snapshot_truncate_recover(spark, sf_dir):
+    """Two commits, a repeated one, one that a crash cut short, a step back to height 700, and another branch above it."""
+    into, root = _store(spark, "snapshot")
+    rows = _t(spark, sf_dir, "events").select(F.col("event_id").alias("height"), "event_type", "user_id")
+    into.commit({"blocks": rows.where("height < 500")}, batch="a")
+    into.commit({"blocks": rows.where("height >= 500")}, batch="b")
+    into.commit({"blocks": rows.where("height >= 500")}, batch="b")
+    rows.where("height > 900").write.parquet(f"{root}/data/blocks/crashed")
+    into.truncate(700)
+    into.commit({"blocks": rows.where("height > 700 and height <= 750").withColumn("user_id", F.col("user_id") + 1)}, batch="c")
+    into.vacuum()
+    return into.read("blocks")
+
+
+@query("SELECT event_id, ts, user_id, event_type, props FROM events")
+def zstd_archive_roundtrip(spark, sf_dir):
+    _, root = _store(spark, "archive")
+    _t(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props").write.option("compression", "zstd").parquet(f"{root}/archive")
+    return spark.read.parquet(f"{root}/archive")
