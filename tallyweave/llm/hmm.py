@@ -14,14 +14,13 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, batch, by_bytes, checkpoint, crc32_of, encoded, texts
+from .common import LOWER_AZ, batch, by_bytes, checkpoint, crc32_of, encoded, gathered, texts
 
 #: Hidden states, frequent words with a symbol of their own, and classes of the others.
 STATES, FREQUENT, CLASSES = 8, 30_000, 4096
@@ -29,6 +28,10 @@ STATES, FREQUENT, CLASSES = 8, 30_000, 4096
 ROUNDS = 3
 #: Distinct words that a task counts in memory before it hands them on.
 HELD_WORDS = 300_000
+#: Symbols in a row that training takes at once; longer texts are counted in runs. Scores go through whole texts.
+TRAIN_RUN = 512
+#: Bytes of text that are scored at once, longer texts alone.
+SCORE_BYTES = 6 << 20
 #: What smoothing adds to expected emission and transition counts.
 EMIT_PRIOR, STEP_PRIOR = 0.05, 1.0
 #: The end of a text; no word holds a space.
@@ -146,27 +149,28 @@ def expected(model: Model, texts_: list[np.ndarray], size: int) -> tuple[np.ndar
     """Baum-Welch counts of some coded texts: start, step, emit."""
     codes, active, _ = by_position(texts_)
     first = np.concatenate([[0], np.cumsum(active)])
-    step, ones = model.step, np.ones(STATES)
-    alphas = np.empty((len(codes), STATES))
-    scales = np.empty(len(codes))
+    step, emits, ones = model.step.astype(np.float32), model.emit.astype(np.float32), np.ones(STATES, np.float32)
+    begin = model.start.astype(np.float32)
+    alphas = np.empty((len(codes), STATES), np.float32)
+    scales = np.empty(len(codes), np.float32)
     for t, n in enumerate(active):
         a = first[t]
-        emit = model.emit[codes[a : a + n]]
-        alpha = emit * model.start if t == 0 else (alphas[first[t - 1] : first[t - 1] + n] @ step) * emit
+        emit = emits[codes[a : a + n]]
+        alpha = emit * begin if t == 0 else (alphas[first[t - 1] : first[t - 1] + n] @ step) * emit
         scales[a : a + n] = scale = alpha @ ones
         alphas[a : a + n] = alpha / scale[:, None]
     steps = np.zeros((STATES, STATES))
-    beta = np.ones((len(texts_), STATES))
+    beta = np.ones((len(texts_), STATES), np.float32)
     gamma = alphas
     for t in range(len(active) - 1, -1, -1):
         a, n = first[t], active[t]
         if t + 1 < len(active):
             b, m = first[t + 1], active[t + 1]
-            after = model.emit[codes[b : b + m]] * beta[:m] / scales[b : b + m, None]
+            after = emits[codes[b : b + m]] * beta[:m] / scales[b : b + m, None]
             steps += alphas[a : a + m].T @ after
             beta[:m] = after @ step.T
         gamma[a : a + n] *= beta[:n]  # alphas of t are used no more
-    emit = np.stack([np.bincount(codes, weights=gamma[:, k], minlength=size) for k in range(STATES)], axis=1)
+    emit = np.stack([np.bincount(codes, weights=np.ascontiguousarray(gamma[:, k]), minlength=size) for k in range(STATES)], axis=1)
     return gamma[: active[0]].sum(0), steps * step, emit
 
 
@@ -192,7 +196,8 @@ def train(coded: DataFrame, size: int, shares: np.ndarray, rounds: int = ROUNDS)
             for b in batches:
                 items = b.column(0).to_pylist()
                 for lo, hi in by_bytes(items, 1 << 20):
-                    got = expected(own, [np.frombuffer(x, "<u2") for x in items[lo:hi]], size)
+                    runs = [np.frombuffer(x, "<u2")[i : i + TRAIN_RUN] for x in items[lo:hi] for i in range(0, len(x) // 2, TRAIN_RUN)]
+                    got = expected(own, runs, size)
                     sums = got if sums is None else tuple(x + y for x, y in zip(sums, got))
             if sums is not None:
                 data = np.array_split(np.frombuffer(_pack(sums), "<f8"), slices)
@@ -216,7 +221,19 @@ def train(coded: DataFrame, size: int, shares: np.ndarray, rounds: int = ROUNDS)
     return model
 
 
-def score(docs: DataFrame, states_rounds: int = ROUNDS) -> DataFrame:
+def _cut(words: DataFrame) -> int:
+    """The least bound that at most FREQUENT words' counts are above."""
+    digits = F.greatest(F.floor(F.log2("c")) - 9, F.lit(0)).cast("int")  # of a count, all but the first ten bits are dropped
+    kinds = words.select((F.expr("c") - F.pmod(F.col("c"), F.pow(F.lit(2), digits).cast("long"))).alias("low")).groupBy("low").agg(F.count("*").alias("n")).collect()
+    taken = 0
+    for low, n in sorted(kinds, reverse=True):
+        if taken + n > FREQUENT:
+            return low + (1 << max(0, low.bit_length() - 10)) - 1
+        taken += n
+    return 0
+
+
+def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Scores of all documents by a model of those whose crc32(doc_id as text) mod 5 isn't 1.
 
     Null and empty texts are the end alone; a null doc_id's remainder counts as
@@ -229,8 +246,8 @@ def score(docs: DataFrame, states_rounds: int = ROUNDS) -> DataFrame:
     source = texts(docs)
     counts = checkpoint(count_words(source.where(~held)))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("word") != F.lit(END).cast("binary")).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
-    frequent = {bytes(r["word"]): r["c"] for r in top}
+    words = counts.where(F.col("word") != F.lit(END).cast("binary"))
+    frequent = {bytes(r["word"]): r["c"] for r in words.where(F.col("c") > _cut(words)).orderBy(F.desc("c"), "word").collect()}
     symbols = Symbols(list(frequent))
     ends = counts.where(F.col("word") == F.lit(END).cast("binary")).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
 
@@ -265,7 +282,7 @@ def score(docs: DataFrame, states_rounds: int = ROUNDS) -> DataFrame:
 
     assert symbols.size <= 1 << 16
     coded = checkpoint(source.where(~held).mapInArrow(encode, "codes binary"))
-    model = train(coded, symbols.size, shares, states_rounds)
+    model = train(coded, symbols.size, shares, rounds)
     # A row's own number: doc_id may repeat.
     numbered = source.select("doc_id", held.alias("held_out"), "text")
     shared = spark.sparkContext.broadcast((model.start, model.step, model.emit, symbols, base_known))
@@ -275,9 +292,9 @@ def score(docs: DataFrame, states_rounds: int = ROUNDS) -> DataFrame:
 
         start, step, emit, names, base = shared.value
         own, end, row = Model(start, step, emit), names.end, TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in gathered(batches, SCORE_BYTES):
             items = encoded(b.column(2))
-            for lo, hi in by_bytes(items):
+            for lo, hi in by_bytes(items, SCORE_BYTES):
                 words = [words_of(x) for x in items[lo:hi]]
                 codes = [names.codes(w) for w in words]
                 scores = forward(own, codes)
