@@ -95,7 +95,7 @@ def local_search(bins: Counter, capacity: int, steps: int = SEARCH_STEPS) -> Cou
             bins[new_donor] += n
         bins[new_taker] += n
         bins = +bins
-        done.clear() if new_donor == () else done.discard(new_donor)
+        done.clear()  # there is other room now
     return +bins
 
 
