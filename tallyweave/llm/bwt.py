@@ -18,7 +18,7 @@ from .common import ranges
 #: Bytes of a block.
 BLOCK = 50
 #: Context bytes of a shard.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.default_rng(1971).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)

@@ -34,7 +34,7 @@ GRAM = 64
 #: Different contexts of an anchor that are compared at once.
 CONTEXTS = 512
 #: Context bytes that a task merges at once.
-MERGE_BYTES = 6 << 20
+MERGE_BYTES = 2 << 20
 _ROW = 40  # bits of a row's number within its partition
 _KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -170,6 +170,11 @@ def _context_rows(chosen: DataFrame, folder: str, parts: int) -> DataFrame:
     return _by_part(chosen, parts).mapInArrow(run, "anchor long, context long, own int, blocks int, bytes binary")
 
 
+def _joined(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """An inner join that is never broadcast: the rows come out of files whose size the optimizer doesn't know."""
+    return a.hint("merge").join(b.hint("merge"), list(keys))
+
+
 def _repeated_windows(contexts: DataFrame, size: int) -> DataFrame:
     """(anchor, context, from, to): runs of a context's windows that stand again in a context of the same anchor.
 
@@ -181,6 +186,8 @@ def _repeated_windows(contexts: DataFrame, size: int) -> DataFrame:
         weight = 0
 
         def merged(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+            # A context stands in several blocks of its anchor; here it must be once.
+            rows = list({(anchor, context): (anchor, block, context, text) for anchor, block, context, text in rows}.values())
             out: list[tuple[int, int, int, int]] = []
             for (anchor, _, context, _), mask in zip(rows, repeated([r[3] for r in rows], size)):
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).view(np.int8)))
@@ -271,18 +278,18 @@ def _removed(source: DataFrame, size: int, schema: str, make) -> DataFrame:
     files = spark.createDataFrame([(p,) for p, _ in listed], "part int").repartitionById(parts, F.col("part"))
     rows = _anchor_rows(files, folder)
     again = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
-    met = checkpoint(rows.join(again, "anchor").select("anchor", "context", "row", "start", "size", (F.col("low") == F.col("high")).alias("sure")))
+    met = checkpoint(_joined(rows, again, "anchor").select("anchor", "context", "row", "start", "size", (F.col("low") == F.col("high")).alias("sure")))
     unsure = met.where(~F.col("sure"))
     kinds = checkpoint(unsure.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.first("row").alias("row"), F.first("start").alias("start"), F.first("size").alias("size")))
     width = kinds.groupBy("anchor").agg(F.ceil(F.count("*") / CONTEXTS).cast("int").alias("blocks"))
-    chosen = kinds.join(width, "anchor").select("row", "anchor", "context", "start", "size", F.pmod("context", F.col("blocks").cast("long")).cast("int").alias("own"), "blocks")
+    chosen = _joined(kinds, width, "anchor").select("row", "anchor", "context", "start", "size", F.pmod("context", F.col("blocks").cast("long")).cast("int").alias("own"), "blocks")
     contexts = _context_rows(chosen, folder, parts)
     pairs = contexts.select("anchor", "context", "bytes", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     block = (F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")).alias("block")
     dealt = pairs.select("anchor", block, "context", "bytes").repartition("anchor", "block").sortWithinPartitions("anchor", "block")
     found = _repeated_windows(dealt, size)
     whole = met.where("sure").select("row", "start", (F.col("start") + F.col("size")).alias("end"))
-    equal = unsure.join(kinds.where("n > 1").select("anchor", "context"), ["anchor", "context"]).select("row", "start", (F.col("start") + F.col("size")).alias("end"))
-    partly = kinds.where("n = 1").join(found, ["anchor", "context"]).select("row", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to") + (size - 1)).alias("end"))
+    equal = _joined(unsure, kinds.where("n > 1").select("anchor", "context"), "anchor", "context").select("row", "start", (F.col("start") + F.col("size")).alias("end"))
+    partly = _joined(kinds.where("n = 1"), found, "anchor", "context").select("row", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to") + (size - 1)).alias("end"))
     none = spark.createDataFrame([(p << _ROW, -1, -1) for p, _ in listed], "row long, start int, end int")  # so that each file is read
     return _finish(whole.unionByName(equal).unionByName(partly).unionByName(none), folder, parts, schema, make)
