@@ -99,3 +99,9 @@ def parse_block_key(key: Column) -> Column:
     """STRUCT<height, hash>: 64 characters are a hash as displayed, else a height."""
     is_hash = F.length(key) == 64
     return F.struct(F.when(~is_hash, F.try_to_number(key, F.lit("9999999999")).cast("long")).alias("height"), F.when(is_hash, F.lower(F.hex(from_display_hash(key)))).alias("hash"))
+
+
+def window_bounds(position: int, visible: int, total: int, page: int = 32, overscan: int = 4) -> tuple[int, int]:
+    """First row and number of rows of a list that is kept ready around a position: they change once a page."""
+    take = min(total, visible + page + 2 * overscan)
+    return max(0, min(total - take, position // page * page - overscan)), take

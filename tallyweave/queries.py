@@ -807,3 +807,107 @@ def zstd_archive_roundtrip(spark, sf_dir):
     _, root = _store(spark, "archive")
     _t(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props").write.option("compression", "zstd").parquet(f"{root}/archive")
     return spark.read.parquet(f"{root}/archive")
+
+
+# ---------------------------------------------------------------- network and views
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN '10.0.' || s_suppkey % 256 || '.7' WHEN 1 THEN '10.300.' || s_suppkey || '.7' WHEN 2 THEN 'fe80::' || lower(to_hex(s_suppkey)) WHEN 3 THEN 'a:b:c' ELSE 'node' || s_suppkey || '.onion' END AS host, s_suppkey % 5 IN (0, 2) AS valid FROM supplier")
+def peer_hosts(spark, sf_dir):
+    from .functions.network import valid_host
+
+    k = F.col("s_suppkey")
+    text = k.cast("string")
+    host = F.when(k % 5 == 0, F.concat(F.lit("10.0."), (k % 256).cast("string"), F.lit(".7"))).when(k % 5 == 1, F.concat(F.lit("10.300."), text, F.lit(".7"))).when(k % 5 == 2, F.concat(F.lit("fe80::"), F.lower(F.hex(k)))).when(k % 5 == 3, "a:b:c").otherwise(F.concat(F.lit("node"), text, F.lit(".onion")))
+    return _t(spark, sf_dir, "supplier").select("s_suppkey", host.alias("host")).select("s_suppkey", "host", valid_host(F.col("host")).alias("valid"))
+
+
+@query("SELECT s_suppkey, '00000000000000000000ffff' || lower(format('{:02X}{:02X}{:02X}{:02X}', 10, 0, CAST(s_suppkey % 256 AS INTEGER), 7)) AS digits, '10.0.' || s_suppkey % 256 || '.7' AS host FROM supplier")
+def peer_addresses(spark, sf_dir):
+    from .functions.network import address_hex, address_text
+
+    host = F.concat(F.lit("10.0."), (F.col("s_suppkey") % 256).cast("string"), F.lit(".7"))
+    rows = _t(spark, sf_dir, "supplier").select("s_suppkey", address_hex(host).alias("digits"))
+    return rows.select("s_suppkey", "digits", address_text(F.col("digits")).alias("host"))
+
+
+@query(f"""WITH {_CHAIN}, f AS (SELECT height, CASE height % 5 WHEN 0 THEN '#/block/' || height WHEN 1 THEN '#/block/' || hash WHEN 2 THEN '#/tx/' || hash WHEN 3 THEN '#/tx/' || height ELSE '#/block/-' || height END AS fragment, hash FROM chain)
+SELECT fragment, CASE height % 5 WHEN 0 THEN 'block.height' WHEN 1 THEN 'block.hash' WHEN 2 THEN 'tx' ELSE 'home' END AS kind, CASE WHEN height % 5 = 0 THEN height END AS height, CASE WHEN height % 5 IN (1, 2) THEN {_REV.format('hash')} END AS hash FROM f""")
+def url_fragments(spark, sf_dir):
+    from .functions.network import fragment
+
+    h = F.col("height")
+    text = h.cast("string")
+    made = F.when(h % 5 == 0, F.concat(F.lit("#/block/"), text)).when(h % 5 == 1, F.concat(F.lit("#/block/"), F.col("hash"))).when(h % 5 == 2, F.concat(F.lit("#/tx/"), F.col("hash"))).when(h % 5 == 3, F.concat(F.lit("#/tx/"), text)).otherwise(F.concat(F.lit("#/block/-"), text))
+    return chain(spark, sf_dir).select(made.alias("fragment")).select("fragment", fragment(F.col("fragment")).alias("f")).select("fragment", "f.*")
+
+
+@query(f"WITH {_CHAIN}, t AS (SELECT max(height) AS top FROM chain) SELECT top - i AS height, hash FROM t, range(60, 112) AS r(i) LEFT JOIN chain ON chain.height = top - i AND chain.height % 7 <> 0")
+def timeline_window(spark, sf_dir):
+    """The rows on show, newest first, with a gap where a block isn't there yet: position 70 of pages of 32 with 4 more on either side."""
+    top = chain(spark, sf_dir).agg(F.max("height").alias("top"))
+    start, take = api.window_bounds(position=70, visible=12, total=1000)
+    wanted = spark.range(start, start + take).join(F.broadcast(top)).select((F.col("top") - F.col("id")).alias("height"))
+    return wanted.join(chain(spark, sf_dir).where("height % 7 <> 0").select("height", "hash"), "height", "left")
+
+
+@query(f"WITH {_OUT}, b AS (SELECT tx // 100 AS block, min(output_index) AS first FROM out GROUP BY 1) SELECT block, first, coalesce(lead(first) OVER (ORDER BY block), (SELECT count(*) FROM out)) AS \"end\" FROM b")
+def tx_region_bounds(spark, sf_dir):
+    """Where each block's outputs begin and the next one's: a block's range is [first, end)."""
+    found = outputs(spark, sf_dir).groupBy(F.floor(F.col("tx") / 100).alias("block")).agg(F.min("output_index").alias("first"), F.max("output_index").alias("last"))
+    return found.select("block", "first", (F.col("last") + 1).alias("end"))
+
+
+@query("SELECT sha256('h' || event_id) AS hash FROM events WHERE event_id < 400 UNION SELECT sha256('h' || event_id) FROM events WHERE event_type = 'error'")
+def blacklist_append(spark, sf_dir):
+    """A list of rejected hashes, and what is new to it once each."""
+    e = _t(spark, sf_dir, "events").select("event_id", "event_type", F.sha2(F.concat(F.lit("h"), F.col("event_id").cast("string")), 256).alias("hash"))
+    listed = e.where("event_id < 400").select("hash")
+    bad = e.where("event_type = 'error'").select("hash").distinct()
+    return listed.unionByName(bad.join(listed, "hash", "left_anti"))
+
+
+@query(f"""WITH {_CHAIN}, n AS (SELECT user_id, count(*) AS n FROM chain GROUP BY 1) SELECT user_id AS peer, n AS headers, true AS same FROM n""")
+def headers_messages(spark, sf_dir):
+    """Headers messages of each peer's headers, read back."""
+    from .sources import messages
+
+    raw = F.concat(F.lit("01000000"), F.col("hash"), F.col("hash"), F.lit("00" * 12))
+    held = chain(spark, sf_dir).groupBy(F.col("user_id").alias("peer")).agg(F.transform(F.array_sort(F.collect_list(F.struct("height", raw.alias("raw")))), lambda x: x["raw"]).alias("l"))
+    read = held.select("peer", "l", messages.headers(messages.headers_message(F.col("l"))).alias("back"))
+    return read.select("peer", F.size("back").cast("long").alias("headers"), (F.col("back") == F.col("l")).alias("same"))
+
+
+@query("SELECT event_id, event_type AS command, sha256(props) AS payload FROM events WHERE event_id < 500")
+def frame_source(spark, sf_dir):
+    """Frames written to files and read through the data source."""
+    from .sources.frames import MAGIC, register
+
+    _, root = _store(spark, "frames")
+    rows = _t(spark, sf_dir, "events").where("event_id < 500").select("event_id", "event_type", "props")
+
+    def write(batches):
+        import os
+
+        import pyarrow as pa
+        from pyarrow import fs as pafs
+
+        from .sources.wire import framed
+
+        fs, path = pafs.FileSystem.from_uri(f"{root}/files")
+        fs.create_dir(path, recursive=True)
+        for b in batches:
+            if b.num_rows:
+                name = f"{path}/{b.column(0)[0].as_py():08d}"
+                own = f"{path}/.{os.urandom(8).hex()}"
+                with fs.open_output_stream(own) as f:
+                    for i, command, props in zip(*(b.column(k).to_pylist() for k in range(3))):
+                        f.write(b"noise" + framed(bytes.fromhex(MAGIC), command, i.to_bytes(8, "little") + props.encode()))
+                fs.move(own, name)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    rows.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").mapInArrow(write, "n long").count()
+    register(spark)
+    got = spark.read.format("ledger_frames").load(f"{root}/files")
+    number = F.conv(B.reversed_hex(F.lower(F.hex(F.substring("payload", 1, 8)))), 16, 10).cast("long")
+    return got.select(number.alias("event_id"), "command", F.sha2(F.expr("substring(payload, 9)"), 256).alias("payload"))

@@ -150,3 +150,9 @@ def frames(stream: bytes, magic: bytes) -> Iterator[tuple[str, bytes]]:
             continue
         yield name.rstrip(b"\0").decode("ascii", "replace"), payload
         at = stream.find(magic, at + 24 + size)
+
+
+def framed(magic: bytes, command: str, payload: bytes) -> bytes:
+    """A message as it is sent."""
+    check = hashlib.sha256(hashlib.sha256(payload).digest()).digest()[:4]
+    return magic + struct.pack("<12sI4s", command.encode("ascii"), len(payload), check) + payload
