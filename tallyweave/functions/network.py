@@ -37,7 +37,7 @@ def address_text(digits: Column) -> Column:
     number = lambda i, n: F.conv(F.substring(digits, i, n), 16, 10)
     v4 = F.concat_ws(".", *[number(25 + 2 * i, 2) for i in range(4)])
     v6 = F.concat_ws(":", *[F.lower(F.conv(F.substring(digits, 1 + 4 * i, 4), 16, 16)) for i in range(8)])
-    return F.when(digits.startswith("0" * 20 + "ffff"), v4).otherwise(F.call_function("regexp_replace", v6, F.lit("(^|:)0(:0)+(:|$)"), F.lit("::")))
+    return F.when(digits.startswith("0" * 20 + "ffff"), v4).otherwise(F.regexp_replace(v6, "^(.*?)(?:^|:)0(?::0)+(?::|$)", "$1::"))
 
 
 def fragment(value: Column) -> Column:
