@@ -14,12 +14,13 @@ Zipf distribution. Characters outside the vocabulary are given by byte pieces.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
+from math import inf, log
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,15 @@ class Pieces:
         normal = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         scores = {i: model.get_score(i) for i in normal}
         ranked = all(s <= 0 and s == int(s) for s in scores.values())
-        weight = {i: -math.log(2 + min(-s, n)) if ranked else s for i, s in scores.items()}
+        weight = {i: -log(2 + min(-s, n)) if ranked else s for i, s in scores.items()}
         self.ids = {names[i]: (i, weight[i]) for i in normal}
         self.longest = max(map(len, self.ids), default=1)
+        self.tree: dict = {}  # by character; "" gives the ids and weight of the piece that ends there
+        for name, (i, w) in self.ids.items():
+            node = self.tree
+            for c in name:
+                node = node.setdefault(c, {})
+            node[""] = ((i,), w)
         self.bytes = {int(names[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.byte_weight = min(weight.values(), default=0.0) + BYTE_PENALTY
         self.unknown = model.unk_id()
@@ -62,57 +69,101 @@ class Pieces:
 
     def stream(self, text: Iterable[str]) -> Iterator[int]:
         """ids of the characters of text, each as soon as it is sure."""
-        ids, longest = self.ids, self.longest
-        window = ""  # characters since the last sure boundary
-        best = [(0.0, 0, ())]  # by position in the window: weight, start of the last piece, its ids
-        for c in text:
-            window += c
-            end = len(window)
-            found = None
-            for start in range(max(0, end - longest), end):
-                hit = ids.get(window[start:end])
-                if hit is not None and (found is None or best[start][0] + hit[1] > found[0]):
-                    found = (best[start][0] + hit[1], start, (hit[0],))
-            if ids.get(c) is None:
-                raw = c.encode("utf-8", "replace")
-                spelt = tuple(self.bytes.get(b, self.unknown) for b in raw)
-                weight = best[end - 1][0] + self.byte_weight * len(raw)
-                if found is None or weight > found[0]:
-                    found = (weight, end - 1, spelt)
-            best.append(found)
-            if end >= longest:
-                window, best, sure = self._commit(window, best)
+        longest, more = self.longest, iter(text)
+        # By position in the window: weight, start of the last piece, its ids; the window begins at the last sure boundary.
+        window, best, at = "".join(islice(more, 2 * longest)), [(0.0, 0, ())], 0
+        check = longest
+        while at < len(window):
+            self._extend(window, at, best)
+            at += 1
+            if at >= check:
+                window, best, at, sure = self._commit(window, best, at)
                 yield from sure
+                check = at + longest
+            if len(window) - at < longest:
+                window += "".join(islice(more, longest))
         yield from self._path(best, len(window))
 
+    def _within(self, text: str) -> list[int]:
+        """What stream gives for a text that its first window holds: the same steps without the window."""
+        n, ids, tree = len(text), self.ids, self.tree
+        weights, starts, parts = [0.0] + [-inf] * n, [0] * (n + 1), [()] * (n + 1)
+        for start in range(n):
+            so_far, node = weights[start], tree
+            for end in range(start, n):
+                node = node.get(text[end])
+                if node is None:
+                    break
+                if "" in node:
+                    piece, w = node[""]
+                    if so_far + w > weights[end + 1]:
+                        weights[end + 1], starts[end + 1], parts[end + 1] = so_far + w, start, piece
+            c = text[start]
+            if c not in ids:
+                raw = c.encode("utf-8", "replace")
+                w = so_far + self.byte_weight * len(raw)
+                if w > weights[start + 1]:
+                    weights[start + 1], starts[start + 1], parts[start + 1] = w, start, tuple(self.bytes.get(b, self.unknown) for b in raw)
+        out, end = [], n
+        while end:
+            out.append(parts[end])
+            end = starts[end]
+        return [i for p in reversed(out) for i in p]
+
+    def _extend(self, window: str, start: int, best: list) -> None:
+        """Try every piece that begins at start, of which all before are known."""
+        so_far, node, end = best[start][0], self.tree, start
+        n = len(window)
+        while end < n:
+            node = node.get(window[end])
+            if node is None:
+                break
+            end += 1
+            if len(best) <= end:
+                best.append((-inf, 0, ()))
+            hit = node.get("")
+            if hit is not None and so_far + hit[1] > best[end][0]:
+                best[end] = (so_far + hit[1], start, hit[0])
+        c = window[start]
+        if c not in self.ids:
+            raw = c.encode("utf-8", "replace")
+            weight = so_far + self.byte_weight * len(raw)
+            if len(best) <= start + 1:
+                best.append((-inf, 0, ()))
+            if weight > best[start + 1][0]:
+                best[start + 1] = (weight, start, tuple(self.bytes.get(b, self.unknown) for b in raw))
+
     @staticmethod
     def _path(best: list, end: int) -> list[int]:
-        out: list[int] = []
+        parts = []
         while end:
-            out[:0] = best[end][2]
+            parts.append(best[end][2])
             end = best[end][1]
-        return out
-
-    def _commit(self, window: str, best: list) -> tuple[str, list, list[int]]:
-        """Give out what the paths to all live positions begin with."""
-        ends, live = [], range(max(1, len(window) - self.longest + 1), len(window) + 1)
-        for end in live:
+        return [i for ids in reversed(parts) for i in ids]
+
+    def _commit(self, window: str, best: list, at: int) -> tuple[str, list, int, list[int]]:
+        """Give out what the best paths to all positions that later ones can come from begin with."""
+        ends = []
+        for end in range(at, min(len(best), at + self.longest)):
+            if best[end][0] == -inf:
+                continue
             bounds = {end}
             while end:
                 end = best[end][1]
                 bounds.add(end)
             ends.append(bounds)
         meet = max(set.intersection(*ends))
+        sure, base = self._path(best, meet), best[meet][0]
         if not meet:
-            return window, best, []
-        sure = self._path(best, meet)
-        at = best[meet][0]
-        return window[meet:], [(0.0, 0, ())] + [(w - at, s - meet, i) for w, s, i in best[meet + 1 :]], sure
+            # No boundary is sure yet: go on with a longer window, and try again after as many characters.
+            return window, best, at, sure
+        return window[meet:], [(0.0, 0, ())] + [(w - base, s - meet, i) for w, s, i in best[meet + 1 :]], at - meet, sure
 
     def _word(self, word: str) -> bytes:
         got = self.old.get(word)
         if got is None:
-            got = array("H" if len(self.inverse) <= 1 << 16 else "I", self.stream(word)).tobytes()
+            ids = self._within(word) if len(word) <= 2 * self.longest else self.stream(word)
+            got = array("H" if len(self.inverse) <= 1 << 16 else "I", ids).tobytes()
         if len(word) <= LONGEST:
             if 2 * len(self.young) >= MEMORY:
                 self.old, self.young = self.young, {}
