@@ -131,3 +131,26 @@ def keep_good(docs: DataFrame) -> DataFrame:
                 yield b.slice(lo, hi - lo).filter(pa.array(measure(items[lo:hi])["kept"]))
 
     return document_columns(docs).mapInArrow(run, COLUMNS_SCHEMA)
+
+
+def oracle() -> str:
+    """The same in SQL."""
+    n_grams = sorted({*NGRAM_LIMITS, BASE_WINDOW})
+    starts = ", ".join(f"CASE WHEN i + {n} <= len(words) THEN array_to_string(words[i + 1 : i + {n}], ' ') END AS g{n}" for n in n_grams)
+    twice = ", ".join(f"CASE WHEN g{n} IS NOT NULL AND count(*) OVER (PARTITION BY r, g{n}) > 1 THEN 1 ELSE 0 END AS t{n}" for n in n_grams)
+    covered = ", ".join(f"max(t{n}) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS c{n}" for n in n_grams)
+    chars = ", ".join(f"CAST(coalesce(sum(length(word) * c{n}), 0) AS BIGINT) AS dup_chars_{n}" for n in NGRAM_LIMITS)
+    bad = " OR ".join(f"dup_chars_{n} > CAST({most} AS DOUBLE) * word_chars" for n, most in NGRAM_LIMITS.items())
+    word = r"[^\x20\x09-\x0D]+"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, i, words, words[i + 1] AS word FROM (SELECT r, regexp_extract_all(text, '{word}') AS words FROM d), unnest(range(len(words))) AS t(i)),
+g AS (SELECT r, i, word, {starts} FROM w), t AS (SELECT r, i, word, {twice} FROM g), c AS (SELECT r, word, {covered} FROM t),
+s AS (SELECT r, count(*) AS n_words, CAST(sum(length(word)) AS BIGINT) AS word_chars, CAST(sum(c{BASE_WINDOW}) AS BIGINT) AS n_repeat_words, {chars} FROM c GROUP BY r),
+l AS (SELECT r, i, lines[i + 1] AS line FROM (SELECT r, string_split(text, chr(10)) AS lines FROM d), unnest(range(len(lines))) AS t(i)),
+e AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY i) AS nth FROM l WHERE regexp_matches(line, '{word}')),
+p AS (SELECT r, count(*) AS n_dup_lines, CAST(sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g'))) AS BIGINT) AS dup_line_chars FROM e WHERE nth > 1 GROUP BY r),
+a AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+ coalesce(dup_line_chars, 0) AS dup_line_chars, {', '.join(f'coalesce(dup_chars_{n}, 0) AS dup_chars_{n}' for n in NGRAM_LIMITS)} FROM d LEFT JOIN s USING (r) LEFT JOIN p USING (r)),
+b AS (SELECT *, n_words < {BASE_WORDS} OR 100 * n_repeat_words > {BASE_SHARE} * n_words AS base_failed FROM a)
+SELECT *, NOT (base_failed OR dup_line_chars > CAST({LINE_LIMIT} AS DOUBLE) * word_chars OR n_symbols > CAST({SYMBOL_LIMIT} AS DOUBLE) * word_chars OR {bad}) AS kept FROM b"""

@@ -5,14 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses
+from . import quality as rules
 from .common import documents
 from .hmm import score
 from .langid import identify
-from .licenses import oracle, scan
 from .multiset_hash import edited_fingerprints
 from .packing import pack
 from .pieces import encode_decode
-from .quality import quality
 from .simhash import near_duplicates
 from .suffix import remove_repeats
 from .token_files import token_files
@@ -47,7 +47,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(documents(spark, sf_dir))
+    return licenses.scan(documents(spark, sf_dir))
 
 
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +59,8 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(documents(spark, sf_dir))
+    return rules.quality(documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (op1_hidden_markov_scores, op2_best_fit_packing, op3_token_files, op4_document_fingerprints, op5_simhash_near_dedup, op6_language_id, op7_license_scan, op8_sentence_pieces, op9_suffix_array_dedup, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {"op7_license_scan": oracle()}
+ORACLE_SQL: dict[str, str] = {"op7_license_scan": licenses.oracle(), "op10_quality_rules": rules.oracle()}
