@@ -755,12 +755,18 @@ def latest_wins(spark, sf_dir):
 
 
 def _store(spark: SparkSession, what: str):
+    """A new folder for snapshots and files in the shared folder that the session names; a temporary one only on a local master without it."""
     import tempfile
     import uuid
 
     from .plans.snapshot import Snapshots
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='tallyweave-')}"
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not shared:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='tallyweave-')}"
     root = f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}"
     return Snapshots(spark, root), root
 
