@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from .prefix import with_index
 
 
-def with_output_index(outputs: DataFrame, bucket: Column, order: list) -> DataFrame:
-    """Outputs with output_index, the place of each in the whole chain."""
-    return with_index(outputs, "output_index", bucket, order)
+def with_output_index(outputs: DataFrame, bucket: Column, order: list, vout_order: list | None = None) -> DataFrame:
+    """Outputs with output_index, the place of each in the whole chain; vout_order: also vout, the place in its transaction."""
+    return with_index(outputs, "output_index", bucket, order, {"vout": (["tx"], vout_order)} if vout_order else None)
 
 
 def first_output_index(txs: DataFrame, outputs: Column, bucket: Column, order: list) -> DataFrame:

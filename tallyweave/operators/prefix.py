@@ -28,8 +28,14 @@ def with_running_sum(rows: DataFrame, name: str, value: Column, bucket: Column,
     return rows.withColumn(name, own).join(_before(rows, value), _BUCKET).withColumn(name, F.col(name) + F.col(_BEFORE)).drop(_BUCKET, _BEFORE)
 
 
-def with_index(rows: DataFrame, name: str, bucket: Column, order: list) -> DataFrame:
-    """rows with their place in the order, from 0."""
+def with_index(rows: DataFrame, name: str, bucket: Column, order: list, ranks: dict[str, tuple[list[str], list]] | None = None) -> DataFrame:
+    """rows with their place in the order, from 0.
+
+    ranks: further places by name, each in groups (that don't go over a bucket)
+    and an order; they share the shuffle, and the sort if they agree with it.
+    """
     rows = rows.withColumn(_BUCKET, bucket)
-    own = F.row_number().over(Window.partitionBy(_BUCKET).orderBy(*order)).cast("long") - 1
-    return rows.withColumn(name, own).join(_before(rows, F.lit(1)), _BUCKET).withColumn(name, F.col(name) + F.col(_BEFORE)).drop(_BUCKET, _BEFORE)
+    own = {name: F.row_number().over(Window.partitionBy(_BUCKET).orderBy(*order))}
+    own |= {k: F.row_number().over(Window.partitionBy(_BUCKET, *groups).orderBy(*line)) for k, (groups, line) in (ranks or {}).items()}
+    placed = rows.select("*", *[(c.cast("long") - 1).alias(k) for k, c in own.items()])
+    return placed.join(_before(rows, F.lit(1)), _BUCKET).withColumn(name, F.col(name) + F.col(_BEFORE)).drop(_BUCKET, _BEFORE)

@@ -59,8 +59,7 @@ _ORDERS = 4096
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tx"), F.col("l_partkey").alias("script"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("value"), *LINE)
-    rows = rows.withColumn("vout", F.row_number().over(Window.partitionBy("tx").orderBy(*LINE[1:])).cast("long") - 1)
-    indexed = I.with_output_index(rows.select("tx", "script", "value", "vout"), F.floor(F.col("tx") / _ORDERS), ["tx", "vout"])
+    indexed = I.with_output_index(rows, F.floor(F.col("tx") / _ORDERS), ["tx", *LINE[1:]], LINE[1:])
     return indexed.select("tx", "script", "value", "vout", "output_index")
 
 
