@@ -72,6 +72,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys that count as frequent at most, as a key must have more than the rows' share of this number; and the fewest rows of one.
+FREQUENT_KEYS, FREQUENT_LEAST = 10_000, 1000
+
+
+def joined_to_counts(rows: DataFrame, counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """rows with the columns of counts, a row for each of their keys and how many rows have it (n); rows without one are dropped.
+
+    Frequent keys, of which there can't be more than FREQUENT_KEYS as each holds
+    that share of the rows, are looked up where the rows are (a broadcast of
+    that bounded size), and such rows are then dealt out evenly; the others meet
+    their counts in a merge join. So no key's rows gather in one task.
+    """
+    most = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    others = [c for c in counts.columns if c not in keys]
+    frequent = counts.where(F.col(n) > max(FREQUENT_LEAST, most // FREQUENT_KEYS)).select(*keys, *[F.col(c).alias(f"__f_{c}") for c in others])
+    marked = rows.join(F.broadcast(frequent), keys, "left")
+    deal = F.when(F.col(f"__f_{n}").isNotNull(), 1 + F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(1 << 20))).otherwise(0)
+    plain = counts.withColumn("__deal", F.lit(0).cast("long")).hint("merge")
+    met = marked.withColumn("__deal", deal.cast("long")).hint("merge").join(plain, [*keys, "__deal"], "left")
+    return met.select(*rows.columns, *[F.coalesce(f"__f_{c}", c).alias(c) for c in others]).where(F.col(n).isNotNull())
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else f"file://{uri}".replace("file://file:", "file:"))
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import COLUMNS, LOWER_AZ, batch, by_bytes, checkpoint, document_columns, encoded, texts
+from .common import COLUMNS, LOWER_AZ, batch, by_bytes, checkpoint, document_columns, encoded, joined_to_counts, texts
 from .components import components
 
 WORDS, SEED, BITS = 3, 42, 3
@@ -147,13 +147,13 @@ def links(fps: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, label, component_id): label names the component among fingerprints."""
     found = checkpoint(fingerprints(docs))
-    least = checkpoint(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    least = checkpoint(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(links(least.select("fp")))
     in_links = least.join(roots.withColumnRenamed("node", "fp"), "fp")
     first = in_links.groupBy("label").agg(F.min("least").alias("component_id"))
     named = in_links.join(first, "label").select("fp", "label", "component_id")
-    each = least.join(named, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return found.join(each, "fp").select("doc_id", "fp", "label", "component_id")
+    each = checkpoint(least.join(named, "fp", "left").select("fp", "n", F.coalesce("label", "fp").alias("label"), F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")))
+    return joined_to_counts(found, each, ["fp"]).select("doc_id", "fp", "label", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

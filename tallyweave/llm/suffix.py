@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import Rolling, repeated
-from .common import COLUMNS_SCHEMA, batch, by_bytes, checkpoint, document_columns, encoded, filesystem, ranges, texts, work_dir
+from .common import COLUMNS_SCHEMA, batch, by_bytes, checkpoint, document_columns, encoded, filesystem, joined_to_counts, ranges, texts, work_dir
 
 SIZE = 200
 #: Bytes of the strings whose hashes name anchors.
@@ -277,8 +277,8 @@ def _removed(source: DataFrame, size: int, schema: str, make) -> DataFrame:
     parts = max((p for p, _ in listed), default=0) + 1
     files = spark.createDataFrame([(p,) for p, _ in listed], "part int").repartitionById(parts, F.col("part"))
     rows = _anchor_rows(files, folder)
-    again = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
-    met = checkpoint(_joined(rows, again, "anchor").select("anchor", "context", "row", "start", "size", (F.col("low") == F.col("high")).alias("sure")))
+    again = checkpoint(rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1"))
+    met = checkpoint(joined_to_counts(rows, again, ["anchor"]).select("anchor", "context", "row", "start", "size", (F.col("low") == F.col("high")).alias("sure")))
     unsure = met.where(~F.col("sure"))
     kinds = checkpoint(unsure.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.first("row").alias("row"), F.first("start").alias("start"), F.first("size").alias("size")))
     width = kinds.groupBy("anchor").agg(F.ceil(F.count("*") / CONTEXTS).cast("int").alias("blocks"))
@@ -289,7 +289,7 @@ def _removed(source: DataFrame, size: int, schema: str, make) -> DataFrame:
     dealt = pairs.select("anchor", block, "context", "bytes").repartition("anchor", "block").sortWithinPartitions("anchor", "block")
     found = _repeated_windows(dealt, size)
     whole = met.where("sure").select("row", "start", (F.col("start") + F.col("size")).alias("end"))
-    equal = _joined(unsure, kinds.where("n > 1").select("anchor", "context"), "anchor", "context").select("row", "start", (F.col("start") + F.col("size")).alias("end"))
+    equal = joined_to_counts(unsure, kinds.where("n > 1").select("anchor", "context", "n"), ["anchor", "context"]).select("row", "start", (F.col("start") + F.col("size")).alias("end"))
     partly = _joined(kinds.where("n = 1"), found, "anchor", "context").select("row", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to") + (size - 1)).alias("end"))
     none = spark.createDataFrame([(p << _ROW, -1, -1) for p, _ in listed], "row long, start int, end int")  # so that each file is read
     return _finish(whole.unionByName(equal).unionByName(partly).unionByName(none), folder, parts, schema, make)

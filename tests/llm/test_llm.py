@@ -330,6 +330,7 @@ def test_streaming_search_is_viterbi():
         ids = list(own.stream(text))
         assert abs(sum(weight.get(i, own.byte_weight) for i in ids) - best(text)) < 1e-6
         assert b"".join(own.inverse[i] for i in ids).decode() == text.replace("▁", " ")
+        assert len(text) > 2 * own.longest or own._within(text) == ids
     whole = "".join(rng.choice("abcdef ▁") for _ in range(5000)).replace(" ", "▁")
     assert list(own.stream(iter(whole))) == list(own.stream(whole))
 
@@ -420,3 +421,29 @@ def test_stages_keep_columns(spark, table):
     roots = by_id(simhash.near_duplicates(docs))
     assert 52 in one and one.count(52) == 1 and 41 not in one and 40 in one
     assert all(i is None or roots[i][0].component_id == i for i in one)
+
+
+def test_frequent_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tallyweave.llm import common
+
+    monkeypatch.setattr(common, "FREQUENT_LEAST", 20)
+    rows = spark.range(500).select(F.when(F.col("id") < 200, 7).otherwise(F.col("id") % 60).alias("k"), "id")
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("k <> 3")
+    got = {(r.k, r.id, r.n, r.low) for r in common.joined_to_counts(rows, counts, ["k"]).collect()}
+    assert got == {(r.k, r.id, r.n, r.low) for r in rows.join(counts, "k").select("k", "id", "n", "low").collect()} and len(got) > 400
+
+
+@pytest.mark.parametrize("name", ["op7_license_scan", "op10_quality_rules"])
+def test_queries_against_sql(spark, small, name):
+    import duckdb
+
+    from tallyweave.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    got = QUERIES[name](spark, small)
+    want = con.execute(ORACLE_SQL[name])
+    columns = [d[0] for d in want.description]
+    assert Counter(tuple(r[c] for c in columns) for r in got.collect()) == Counter(want.fetchall())
