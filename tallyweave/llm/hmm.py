@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, batch, by_bytes, checkpoint, crc32_of, encoded, gathered, texts
+from .common import LOWER_AZ, batch, by_bytes, checkpoint, crc32_of, encoded, gathered, texts, tidy
 
 #: Hidden states, frequent words with a symbol of their own, and classes of the others.
 STATES, FREQUENT, CLASSES = 8, 30_000, 4096
@@ -68,7 +68,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return docs.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(tidy(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Symbols:
@@ -212,8 +212,8 @@ def train(coded: DataFrame, size: int, shares: np.ndarray, rounds: int = ROUNDS)
             if sums:
                 yield batch({"slice": (list(sums), pa.int32()), "data": ([x.tobytes() for x in sums.values()], pa.binary())})
 
-        partial = coded.mapInArrow(count, "slice int, data binary").repartitionById(slices, F.col("slice"))
-        got = dict(partial.mapInArrow(add, "slice int, data binary").collect())
+        partial = coded.mapInArrow(tidy(count), "slice int, data binary").repartitionById(slices, F.col("slice"))
+        got = dict(partial.mapInArrow(tidy(add), "slice int, data binary").collect())
         shared.unpersist()
         if not got:
             return model
@@ -262,7 +262,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         own = np.flatnonzero(v)
         yield batch({"k": (own, pa.int32()), "n": (n[own], pa.int64()), "v": (v[own], pa.int64())})
 
-    sums = counts.mapInArrow(classes, "k int, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    sums = counts.mapInArrow(tidy(classes), "k int, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
     class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
     for k, n, v in sums.collect():  # at most CLASSES rows
         class_n[k], class_v[k] = n, v
@@ -281,7 +281,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             yield batch({"codes": (codes, pa.binary())})
 
     assert symbols.size <= 1 << 16
-    coded = checkpoint(source.where(~held).mapInArrow(encode, "codes binary"))
+    coded = checkpoint(source.where(~held).mapInArrow(tidy(encode), "codes binary"))
     model = train(coded, symbols.size, shares, rounds)
     # A row's own number: doc_id may repeat.
     numbered = source.select("doc_id", held.alias("held_out"), "text")
@@ -308,7 +308,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 times = pa.array([list(r.values()) for r in rare], pa.list_(pa.int32()))
                 yield batch(head | tail | {"words": (words_, None), "times": (times, None)})
 
-    read_ = checkpoint(numbered.mapInArrow(read, "row long, doc_id long, held_out boolean, n_tokens long, sure long, base double, score double, words array<binary>, times array<int>"))
+    read_ = checkpoint(numbered.mapInArrow(tidy(read), "row long, doc_id long, held_out boolean, n_tokens long, sure long, base double, score double, words array<binary>, times array<int>"))
     rare = read_.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("n"))
     size = F.length("word")
     byte = lambda i: F.conv(F.hex(F.substring(F.col("word"), i, 1)), 16, 10).cast("int")

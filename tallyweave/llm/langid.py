@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import COLUMNS_SCHEMA, by_bytes, crc32_of, document_columns, gathered, texts
+from .common import COLUMNS_SCHEMA, by_bytes, crc32_of, document_columns, gathered, texts, tidy
 from .hmm import by_position
 
 #: Labelled documents of each language that the fit uses, about, and of all languages at most.
@@ -201,7 +201,7 @@ def identify(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 cut = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(2), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return source.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return source.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, field: Field | None = None) -> DataFrame:
@@ -220,4 +220,4 @@ def keep_known(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 labels, scores = predict(own, items[lo:hi])
                 yield b.slice(lo, hi - lo).filter(pa.array([x != UNDETERMINED and y >= SURE for x, y in zip(labels, scores)]))
 
-    return document_columns(docs).mapInArrow(run, COLUMNS_SCHEMA) if field.labels else document_columns(docs)
+    return document_columns(docs).mapInArrow(tidy(run), COLUMNS_SCHEMA) if field.labels else document_columns(docs)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, checkpoint, texts
+from .common import batch, checkpoint, texts, tidy
 from .tokens import encoder
 
 #: Steps of the local search at most. Each works on whole groups of bins, so the bound doesn't depend on the corpus.
@@ -172,7 +172,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
                 yield batch({name.split(" ")[0]: (x, kind) for name, x, kind in zip(_PIECES.split(", "), zip(*rows), kinds)})
 
-    return texts(docs).mapInArrow(cut, _PIECES)
+    return texts(docs).mapInArrow(tidy(cut), _PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -207,4 +207,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0)
 
     if full and not first_full and not counts:
         table = {}
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

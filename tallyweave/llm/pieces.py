@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch, texts
+from .common import batch, texts, tidy
 
 BLANK = "▁"
 #: Words kept in memory at most, in two halves, and their longest.
@@ -224,4 +224,4 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
                 }
             )
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_chars long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return texts(docs).mapInArrow(tidy(run), "doc_id long, n_chars long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")

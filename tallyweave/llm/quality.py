@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import COLUMNS_SCHEMA, batch, by_bytes, document_columns, encoded, ranges, texts
+from .common import COLUMNS_SCHEMA, batch, by_bytes, document_columns, encoded, ranges, texts, tidy
 
 #: n-gram lengths and the share of a text's characters that may lie in n-grams found more than once.
 NGRAM_LIMITS = {5: 0.50, 8: 0.40, 10: 0.40}
@@ -118,7 +118,7 @@ def quality(docs: DataFrame) -> DataFrame:
                 got = measure(items[lo:hi]) | {"doc_id": b.column(0).slice(lo, hi - lo)}
                 yield batch({name: (got[name], kinds[kind]) for name, kind in fields})
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return texts(docs).mapInArrow(tidy(run), SCHEMA)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
             for lo, hi in by_bytes(items):
                 yield b.slice(lo, hi - lo).filter(pa.array(measure(items[lo:hi])["kept"]))
 
-    return document_columns(docs).mapInArrow(run, COLUMNS_SCHEMA)
+    return document_columns(docs).mapInArrow(tidy(run), COLUMNS_SCHEMA)
 
 
 def oracle() -> str:

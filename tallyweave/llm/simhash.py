@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import COLUMNS, LOWER_AZ, batch, by_bytes, checkpoint, document_columns, encoded, joined_to_counts, texts
+from .common import COLUMNS, LOWER_AZ, batch, by_bytes, checkpoint, document_columns, encoded, joined_to_counts, texts, tidy
 from .components import components
 
 WORDS, SEED, BITS = 3, 42, 3
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, size: int = WORDS, seed: int = SEED) -> DataFr
             for lo, hi in by_bytes(items):
                 yield batch({"doc_id": (b.column(0).slice(lo, hi - lo), pa.int64()), "fp": (simhashes(items[lo:hi], size, seed).view(np.int64), pa.int64())})
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def embedding(fp: np.ndarray) -> np.ndarray:
@@ -133,7 +133,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(fps: DataFrame) -> DataFrame:
     """Links (u, v) between distinct fingerprints (fp) that connect all at BITS or fewer differing bits."""
-    cells = checkpoint(fps.mapInArrow(_cells, "cell long, fp long, home boolean"))
+    cells = checkpoint(fps.mapInArrow(tidy(_cells), "cell long, fp long, home boolean"))
     live = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("home")).where("n > 1 and home").select("cell", "n")
     blocks = F.ceil(F.col("n") / CELL)
     own = F.pmod(F.xxhash64("fp"), blocks)
@@ -141,7 +141,7 @@ def links(fps: DataFrame) -> DataFrame:
     pairs = met.select("cell", "fp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     block = F.least("own", "other") * (1 << 31) + F.greatest("own", "other")
     dealt = pairs.select("cell", block.alias("block"), "fp").repartition("cell", "block").sortWithinPartitions("cell", "block")
-    return dealt.mapInArrow(_verify, "u long, v long")
+    return dealt.mapInArrow(tidy(_verify), "u long, v long")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -181,6 +181,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(simhashes(encoded(b.column(1))).view(np.int64))], names=[*COLUMNS, "fp"])
 
-    rows = docs.mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long, fp long")
+    rows = docs.mapInArrow(tidy(run), "doc_id long, text string, lang string, source string, n_chars long, fp long")
     met = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("chosen")))
     return met.dropDuplicates(["label"]).select(*COLUMNS)

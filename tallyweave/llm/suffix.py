@@ -26,15 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import Rolling, repeated
-from .common import COLUMNS_SCHEMA, batch, by_bytes, checkpoint, document_columns, encoded, filesystem, joined_to_counts, ranges, texts, work_dir
+from .common import COLUMNS_SCHEMA, batch, by_bytes, checkpoint, document_columns, encoded, filesystem, joined_to_counts, ranges, texts, tidy, work_dir
 
 SIZE = 200
 #: Bytes of the strings whose hashes name anchors.
 GRAM = 64
 #: Different contexts of an anchor that are compared at once.
 CONTEXTS = 512
+#: Bytes of text whose anchors are looked for at once.
+ANCHOR_BYTES = 1 << 20
 #: Context bytes that a task merges at once.
-MERGE_BYTES = 2 << 20
+MERGE_BYTES = 1 << 20
 _ROW = 40  # bits of a row's number within its partition
 _KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -76,7 +78,7 @@ def _write(source: DataFrame, folder: str) -> list[tuple[int, int]]:
         own = f"{path}.{os.getpid()}-{os.urandom(4).hex()}"
         for b in batches:
             items = encoded(b.column(1))
-            for lo, hi in by_bytes(items):
+            for lo, hi in by_bytes(items, ANCHOR_BYTES):
                 found = anchors(items[lo:hi])
                 cut = np.searchsorted(found[0], np.arange(hi - lo + 1))
                 blobs = [[x[i:j].astype(kind).tobytes() for i, j in zip(cut[:-1], cut[1:])] for x, kind in zip(found[1:], ("<i8", "<i8", "<i4", "<i4"))]
@@ -96,7 +98,7 @@ def _write(source: DataFrame, folder: str) -> list[tuple[int, int]]:
 
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
-    return [(r["part"], r["n"]) for r in source.mapInArrow(run, "part int, n long").collect()]
+    return [(r["part"], r["n"]) for r in source.mapInArrow(tidy(run), "part int, n long").collect()]
 
 
 def _batches(folder: str, part: int, columns: list[str]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -120,7 +122,7 @@ def _anchor_rows(parts: DataFrame, folder: str) -> DataFrame:
                     flat = [np.frombuffer(b"".join(y), kind) for y, kind in zip(blobs, ("<i8", "<i8", "<i4", "<i4"))]
                     yield batch({"anchor": (flat[0], pa.int64()), "context": (flat[1], pa.int64()), "row": (rows, pa.int64()), "start": (flat[2], pa.int32()), "size": (flat[3], pa.int32())})
 
-    return parts.mapInArrow(run, "anchor long, context long, row long, start int, size int")
+    return parts.mapInArrow(tidy(run), "anchor long, context long, row long, start int, size int")
 
 
 def _by_part(rows: DataFrame, parts: int) -> DataFrame:
@@ -167,7 +169,7 @@ def _context_rows(chosen: DataFrame, folder: str, parts: int) -> DataFrame:
                     out.append(text[start[i] : start[i] + size[i]])
                 yield batch({"anchor": (anchor[lo:hi], pa.int64()), "context": (context[lo:hi], pa.int64()), "own": (own[lo:hi], pa.int32()), "blocks": (blocks[lo:hi], pa.int32()), "bytes": (out, pa.binary())})
 
-    return _by_part(chosen, parts).mapInArrow(run, "anchor long, context long, own int, blocks int, bytes binary")
+    return _by_part(chosen, parts).mapInArrow(tidy(run), "anchor long, context long, own int, blocks int, bytes binary")
 
 
 def _joined(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
@@ -205,7 +207,7 @@ def _repeated_windows(contexts: DataFrame, size: int) -> DataFrame:
         if held:
             yield merged(held)
 
-    return contexts.mapInArrow(run, "anchor long, context long, `from` int, `to` int")
+    return contexts.mapInArrow(tidy(run), "anchor long, context long, `from` int, `to` int")
 
 
 def _finish(removed: DataFrame, folder: str, parts: int, schema: str, make) -> DataFrame:
@@ -235,7 +237,7 @@ def _finish(removed: DataFrame, folder: str, parts: int, schema: str, make) -> D
                     out.append(make(row, text, gone))
                 yield batch({n: (c, k) for n, c, k in zip(names, zip(*out), types)})
 
-    return _by_part(removed, parts).mapInArrow(run, schema)
+    return _by_part(removed, parts).mapInArrow(tidy(run), schema)
 
 
 def _kept(text: bytes, gone: np.ndarray | None) -> bytes:

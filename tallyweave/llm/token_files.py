@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, filesystem, shuffle_parts, texts, work_dir
+from .common import batch, filesystem, shuffle_parts, texts, tidy, work_dir
 from .tokens import encoder
 
 MAGIC = b"TALLYTOK"
@@ -94,10 +94,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, part
 
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
-    ids = texts(docs).mapInArrow(encode, "doc_id long, ids binary, part int")
+    ids = texts(docs).mapInArrow(tidy(encode), "doc_id long, ids binary, part int")
     dealt = ids.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("doc_id", "ids")
     shards, tokens, before = [], 0, 0
-    for row in sorted(dealt.mapInArrow(write, "part int, n_docs long, n_tokens long").collect()):
+    for row in sorted(dealt.mapInArrow(tidy(write), "part int, n_docs long, n_tokens long").collect()):
         shards.append({"part": row.part, "n_docs": row.n_docs, "n_tokens": row.n_tokens, "first_token": tokens, "first_doc": before})
         tokens, before = tokens + row.n_tokens, before + row.n_docs
     _write(folder, "shards.json", [json.dumps({"end_id": end_id, "shards": shards}).encode()])
@@ -128,7 +128,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                     yield batch({"doc_id": ([None if k == NO_ID else int(k) for k in keys[lo : lo + 4096]], pa.int64()), "start": (base + at[:-1], pa.int64()), "n_tokens": (np.diff(at), pa.int64()), "ids_crc32": (crc, pa.int64())})
 
     listed = spark.createDataFrame([(s["part"], s["first_token"]) for s in shards], "part int, base long")
-    return listed.repartitionById(max(1, len(shards)), F.col("part")).mapInArrow(read, _OUT)
+    return listed.repartitionById(max(1, len(shards)), F.col("part")).mapInArrow(tidy(read), _OUT)
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
