@@ -916,3 +916,14 @@ def frame_source(spark, sf_dir):
     got = spark.read.format("ledger_frames").load(f"{root}/files")
     number = F.conv(B.reversed_hex(F.lower(F.hex(F.substring("payload", 1, 8)))), 16, 10).cast("long")
     return got.select(number.alias("event_id"), "command", F.sha2(F.expr("substring(payload, 9)"), 256).alias("payload"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS height, '000000000019d6689c085ae165831e934ff763ae46a2a6c172b3f1b60a8ce26f' AS hash, '4a5e1e4baab89f3a32518a88c31bc87f618f76673e2cc77ab2127b7afdeda33b' AS merkle_root, CAST(1231006505 AS BIGINT) AS time, CAST(486604799 AS BIGINT) AS bits, CAST(2083236893 AS BIGINT) AS nonce, '4a5e1e4baab89f3a32518a88c31bc87f618f76673e2cc77ab2127b7afdeda33b' AS txid, CAST(5000000000 AS BIGINT) AS value, true AS meets_target")
+def genesis_block(spark, sf_dir):
+    """The constant first block, decoded."""
+    from .sources import genesis
+
+    tx = genesis.transactions(spark).select("height", B.reversed_hex(F.col("txid")).alias("txid"), F.get("outputs", F.lit(0))["value"].alias("value"))
+    h = genesis.header(spark).join(tx, "height")
+    shown = B.reversed_hex(F.col("hash"))
+    return h.select("height", shown.alias("hash"), B.reversed_hex(F.col("merkle_root")).alias("merkle_root"), "time", "bits", "nonce", "txid", "value", W.meets_target(shown, W.target_hex(F.col("bits"))).alias("meets_target"))

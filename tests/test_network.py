@@ -69,3 +69,15 @@ def test_frame_source(spark, tmp_path):
 
 def test_window_bounds():
     assert window_bounds(0, 12, 1000) == (0, 52) and window_bounds(70, 12, 1000) == (60, 52) and window_bounds(990, 12, 1000) == (948, 52) and window_bounds(0, 12, 20) == (0, 20)
+
+
+def test_genesis(spark):
+    from tallyweave.functions.binary import reversed_hex
+    from tallyweave.sources import genesis
+
+    assert len(genesis.BLOCK) == 2 * 285
+    first = genesis.header(spark).select("*", reversed_hex(F.col("hash")).alias("shown")).first()
+    assert first.shown == genesis.HASH and first.prev_hash == "00" * 32
+    assert genesis.transactions(spark).first().txid == first.merkle_root
+    one = spark.createDataFrame([(1, first.hash)], "height long, prev_hash string")
+    assert genesis.seeded(one).count() == 2 and genesis.seeded(genesis.seeded(one)).count() == 2
