@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import binary as B
@@ -22,7 +22,6 @@ from .functions import work as W
 from .operators import chain as C
 from .operators import index as I
 from .operators import validate as V
-from .operators.prefix import with_running_sum
 from .plans import api
 from .streaming import ingest as T
 
