@@ -107,9 +107,8 @@ def _step(donor: tuple[int, ...], takers: list[tuple[int, ...]], capacity: int):
         room = capacity - have
         if have < fill:
             continue
-        rest = Counter(donor) if taker != donor else Counter(donor)
         short = sorted(set(taker))
-        for x in sorted(rest, reverse=True):
+        for x in sorted(set(donor), reverse=True):
             gains = [(x, ())] if x <= room else []
             at = bisect_left(short, max(1, x - room))
             if at < len(short) and short[at] < x:
@@ -185,7 +184,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0)
     found = checkpoint(pieces(docs, tokenizer, capacity, end_id))
     held = checkpoint(found.groupBy("part", "length").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    full = counts.pop(capacity, 0)  # these are sequences already
+    counts.pop(capacity, None)  # these are sequences already
     bins = local_search(best_fit(counts, capacity), capacity)
     first_full = sum(bins.values())
     table = places(bins)
@@ -205,6 +204,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0)
                 offset[own] = offsets[run]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    if full and not first_full and not counts:
-        table = {}
     return ranked.mapInArrow(tidy(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
