@@ -23,6 +23,8 @@ from .common import COLUMNS, LOWER_AZ, batch, by_bytes, checkpoint, document_col
 from .components import components
 
 WORDS, SEED, BITS = 3, 42, 3
+#: Shingles whose bits are counted at once.
+SHINGLES = 1 << 19
 #: Rows of a cell that are compared at once; larger cells are dealt out by pairs of blocks.
 CELL = 512
 _EVEN = np.uint64(0x5555555555555555)
@@ -43,19 +45,42 @@ def fingerprint(words: list[bytes], size: int = WORDS, seed: int = SEED) -> np.n
 
 def simhashes(items: list[bytes], size: int = WORDS, seed: int = SEED) -> np.ndarray:
     """The fingerprint of each text; zero for one without words."""
-    hashes = [fingerprint(x.translate(LOWER_AZ).split(), size, seed) for x in items]
-    counts = np.array([len(h) for h in hashes], np.int64)
     out = np.zeros(len(items), np.uint64)
-    have = np.flatnonzero(counts)
-    if len(have):
-        flat = np.concatenate([hashes[i] for i in have]).astype("<u8")
-        bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        at = np.concatenate([[0], np.cumsum(counts[have])[:-1]])
-        ones = np.add.reduceat(bits, at, axis=0, dtype=np.uint32)
-        out[have] = np.packbits(2 * ones > counts[have, None], axis=1, bitorder="little").view("<u8").ravel()
+    held: list[tuple[int, np.ndarray]] = []
+    weight = 0
+
+    def settle() -> None:
+        if held:
+            counts = np.array([len(h) for _, h in held], np.int64)
+            bits = _bits(np.concatenate([h for _, h in held]))
+            ones = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(counts)[:-1]]), axis=0, dtype=np.uint32)
+            out[[i for i, _ in held]] = _majority(ones, counts)
+            held.clear()
+
+    for i, x in enumerate(items):
+        hashes = fingerprint(x.translate(LOWER_AZ).split(), size, seed)
+        if len(hashes) > SHINGLES:  # a very long text, in parts
+            ones = sum(_bits(hashes[k : k + SHINGLES]).sum(axis=0, dtype=np.uint32) for k in range(0, len(hashes), SHINGLES))
+            out[i] = _majority(ones[None], np.array([len(hashes)]))[0]
+        elif len(hashes):
+            held.append((i, hashes))
+            weight += len(hashes)
+            if weight > SHINGLES:
+                settle()
+                weight = 0
+    settle()
     return out
 
 
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def _majority(ones: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of the hashes."""
+    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
 def fingerprints(docs: DataFrame, size: int = WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, fp): fp holds the unsigned 64 bits as a long."""
 

@@ -68,6 +68,17 @@ def anchors(items: list[bytes], size: int = SIZE, gram: int = GRAM) -> tuple[np.
     return owner, hashes[own[first]].view(np.int64), rolling.of(lo, hi + size).view(np.int64), lo - at[owner], hi + size - lo
 
 
+def anchors_in_parts(items: list[bytes], size: int = SIZE, most: int = ANCHOR_BYTES) -> tuple[np.ndarray, ...]:
+    """anchors, a text over most bytes in parts: the windows that begin in each. A context may end at a part's end, and is another one then."""
+    if len(items) != 1 or len(items[0]) <= 2 * most:
+        return anchors(items, size)
+    found = []
+    for at in range(0, len(items[0]) - size + 1, most):
+        owner, anchor, context, start, length = anchors([items[0][at : at + most + size - 1]], size)
+        found.append((owner, anchor, context, start + at, length))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _write(source: DataFrame, folder: str) -> list[tuple[int, int]]:
     """Write (doc_id, text, further string columns) with the texts' anchors; return the partitions and their rows."""
     more = source.columns[2:]
@@ -79,7 +90,7 @@ def _write(source: DataFrame, folder: str) -> list[tuple[int, int]]:
         for b in batches:
             items = encoded(b.column(1))
             for lo, hi in by_bytes(items, ANCHOR_BYTES):
-                found = anchors(items[lo:hi])
+                found = anchors_in_parts(items[lo:hi])
                 cut = np.searchsorted(found[0], np.arange(hi - lo + 1))
                 blobs = [[x[i:j].astype(kind).tobytes() for i, j in zip(cut[:-1], cut[1:])] for x, kind in zip(found[1:], ("<i8", "<i8", "<i4", "<i4"))]
                 out = batch(

@@ -447,3 +447,20 @@ def test_queries_against_sql(spark, small, name):
     want = con.execute(ORACLE_SQL[name])
     columns = [d[0] for d in want.description]
     assert Counter(tuple(r[c] for c in columns) for r in got.collect()) == Counter(want.fetchall())
+
+
+def test_long_texts_in_parts(monkeypatch):
+    rng = random.Random(2)
+    text = prose(rng, 3000).encode()
+    text += text[500:1500] + b"end"
+    whole, parts = suffix.anchors([text]), suffix.anchors_in_parts([text], most=700)
+
+    def windows(found):
+        return {x: (a, x - s) for a, s, n in zip(*(found[i].tolist() for i in (1, 3, 4))) for x in range(s, s + n - 199)}
+
+    assert windows(whole).keys() == windows(parts).keys() == set(range(len(text) - 199))
+    assert {x: a for x, (a, _) in windows(whole).items()} == {x: a for x, (a, _) in windows(parts).items()}
+    items = [text, b"", b"one two", text[:300]]
+    before = simhash.simhashes(items)
+    monkeypatch.setattr(simhash, "SHINGLES", 50)
+    assert (simhash.simhashes(items) == before).all() and before[0] == brute_simhash(text.decode())
