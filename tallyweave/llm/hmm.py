@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, batch, by_bytes, checkpoint, crc32_of, encoded, gathered, texts, tidy
+from .common import LOWER_AZ, batch, by_bytes, checkpoint, crc32_of, encoded, gathered, texts, tidy, work_dir
 
 #: Hidden states, frequent words with a symbol of their own, and classes of the others.
 STATES, FREQUENT, CLASSES = 8, 30_000, 4096
@@ -30,8 +31,8 @@ ROUNDS = 3
 HELD_WORDS = 300_000
 #: Symbols in a row that training takes at once; longer texts are counted in runs. Scores go through whole texts.
 TRAIN_RUN = 512
-#: Bytes of text that are scored at once, longer texts alone.
-SCORE_BYTES = 6 << 20
+#: Bytes of codes that are scored at once, longer texts alone.
+SCORE_BYTES = 2 << 20
 #: What smoothing adds to expected emission and transition counts.
 EMIT_PRIOR, STEP_PRIOR = 0.05, 1.0
 #: The end of a text; no word holds a space.
@@ -274,42 +275,50 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     known = np.concatenate([np.fromiter(frequent.values(), float, len(frequent)), [ends]])
     base_known = np.concatenate([np.log10((known + 0.5) / base_all), np.zeros(CLASSES)])
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            items = encoded(b.column(1))
-            codes = [symbols.codes(words_of(x)).astype("<u2").tobytes() for x in items]
-            yield batch({"codes": (codes, pa.binary())})
-
     assert symbols.size <= 1 << 16
-    coded = checkpoint(source.where(~held).mapInArrow(tidy(encode), "codes binary"))
-    model = train(coded, symbols.size, shares, rounds)
-    # A row's own number: doc_id may repeat.
-    numbered = source.select("doc_id", held.alias("held_out"), "text")
-    shared = spark.sparkContext.broadcast((model.start, model.step, model.emit, symbols, base_known))
+    names = spark.sparkContext.broadcast((symbols, base_known))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        start, step, emit, names, base = shared.value
-        own, end, row = Model(start, step, emit), names.end, TaskContext.get().partitionId() << 40
+        symbols_, base = names.value
+        end, row = symbols_.end, TaskContext.get().partitionId() << 40  # a row's own number, as doc_id may repeat
+        for b in batches:
+            words = [words_of(x) for x in encoded(b.column(2))]
+            codes = [symbols_.codes(w) for w in words]
+            rare = [Counter(w for w, c in zip(ws, cs) if c > end) for ws, cs in zip(words, codes)]
+            rows = range(row, row + b.num_rows)
+            row += b.num_rows
+            yield batch(
+                {
+                    "row": (rows, pa.int64()),
+                    "doc_id": (b.column(0), pa.int64()),
+                    "held_out": (b.column(1), pa.bool_()),
+                    "n_tokens": ([len(c) for c in codes], pa.int64()),
+                    "sure": ([int((c <= end).sum()) for c in codes], pa.int64()),
+                    "base": ([float(base[c].sum()) for c in codes], pa.float64()),
+                    "codes": ([c.astype("<u2").tobytes() for c in codes], pa.binary()),
+                    "words": (pa.array([list(r) for r in rare], pa.list_(pa.binary())), None),
+                    "times": (pa.array([list(r.values()) for r in rare], pa.list_(pa.int32())), None),
+                }
+            )
+
+    # Words are taken apart once; rounds and scores read the codes alone, the join the rarer words alone.
+    path = work_dir(spark, "hmm-codes")
+    source.select("doc_id", held.alias("held_out"), "text").mapInArrow(tidy(read), "row long, doc_id long, held_out boolean, n_tokens long, sure long, base double, codes binary, words array<binary>, times array<int>").write.parquet(path)
+    coded = spark.read.parquet(path)
+    model = train(coded.where("not held_out").select("codes"), symbols.size, shares, rounds)
+    shared = spark.sparkContext.broadcast((model.start, model.step, model.emit))
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
         for b in gathered(batches, SCORE_BYTES):
-            items = encoded(b.column(2))
-            for lo, hi in by_bytes(items, SCORE_BYTES):
-                words = [words_of(x) for x in items[lo:hi]]
-                codes = [names.codes(w) for w in words]
-                scores = forward(own, codes)
-                rare = [Counter(w for w, c in zip(ws, cs) if c > end) for ws, cs in zip(words, codes)]
-                sums = [(len(c), float(base[c].sum()), int((c <= end).sum())) for c in codes]
-                rows = range(row, row + hi - lo)
-                row += hi - lo
-                head = {"row": (rows, pa.int64()), "doc_id": (b.column(0).slice(lo, hi - lo), pa.int64()), "held_out": (b.column(1).slice(lo, hi - lo), pa.bool_())}
-                tail = {"n_tokens": ([x[0] for x in sums], pa.int64()), "sure": ([x[2] for x in sums], pa.int64()), "base": ([x[1] for x in sums], pa.float64()), "score": (scores, pa.float64())}
-                words_ = pa.array([list(r) for r in rare], pa.list_(pa.binary()))
-                times = pa.array([list(r.values()) for r in rare], pa.list_(pa.int32()))
-                yield batch(head | tail | {"words": (words_, None), "times": (times, None)})
-
-    read_ = checkpoint(numbered.mapInArrow(tidy(read), "row long, doc_id long, held_out boolean, n_tokens long, sure long, base double, score double, words array<binary>, times array<int>"))
-    rare = read_.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("n"))
+            codes = b.column(6).to_pylist()
+            for lo, hi in by_bytes(codes, SCORE_BYTES):
+                scores = forward(own, [np.frombuffer(x, "<u2") for x in codes[lo:hi]])
+                cut = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*cut.columns[:6], pa.array(scores, pa.float64())], names=["row", "doc_id", "held_out", "n_tokens", "sure", "base", "score"])
+
+    rated = coded.select("row", "doc_id", "held_out", "n_tokens", "sure", "base", "codes").mapInArrow(tidy(rate), "row long, doc_id long, held_out boolean, n_tokens long, sure long, base double, score double")
+    rare = coded.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("n"))
     size = F.length("word")
     byte = lambda i: F.conv(F.hex(F.substring(F.col("word"), i, 1)), 16, 10).cast("int")
     kind = F.pmod(byte(1) * 131 + byte(-1) * 31 + F.when(size > 1, byte(-2) * 7).otherwise(0), F.lit(CLASSES))
@@ -323,7 +332,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         F.sum(F.when(F.col("c") > 0, n).otherwise(0)).alias("tail_known"),
     )
     zero = lambda x: F.coalesce(x, F.lit(0))
-    return read_.drop("words", "times").join(tails, "row", "left").select(
+    return rated.join(tails, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
