@@ -34,9 +34,9 @@ GRAM = 64
 #: Different contexts of an anchor that are compared at once.
 CONTEXTS = 512
 #: Bytes of text whose anchors are looked for at once.
-ANCHOR_BYTES = 1 << 20
+ANCHOR_BYTES = 1 << 19
 #: Context bytes that a task merges at once.
-MERGE_BYTES = 1 << 20
+MERGE_BYTES = 1 << 19
 _ROW = 40  # bits of a row's number within its partition
 _KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
