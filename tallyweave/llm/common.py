@@ -92,7 +92,8 @@ def joined_to_counts(rows: DataFrame, counts: DataFrame, keys: list[str], n: str
     frequent = counts.where(F.col(n) > max(FREQUENT_LEAST, most // FREQUENT_KEYS)).select(*keys, *[F.col(c).alias(f"__f_{c}") for c in others])
     marked = rows.join(F.broadcast(frequent), keys, "left")
     deal = F.when(F.col(f"__f_{n}").isNotNull(), 1 + F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(1 << 20))).otherwise(0)
-    plain = counts.withColumn("__deal", F.lit(0).cast("long")).hint("merge")
+    # Always 0, but not a literal, which the optimizer would take out of the join's keys.
+    plain = counts.withColumn("__deal", F.pmod(F.xxhash64(*keys), F.lit(1).cast("long"))).hint("merge")
     met = marked.withColumn("__deal", deal.cast("long")).hint("merge").join(plain, [*keys, "__deal"], "left")
     return met.select(*rows.columns, *[F.coalesce(f"__f_{c}", c).alias(c) for c in others]).where(F.col(n).isNotNull())
 

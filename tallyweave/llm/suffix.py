@@ -294,8 +294,9 @@ def _removed(source: DataFrame, size: int, schema: str, make) -> DataFrame:
     met = checkpoint(joined_to_counts(rows, again, ["anchor"]).select("anchor", "context", "row", "start", "size", (F.col("low") == F.col("high")).alias("sure")))
     unsure = met.where(~F.col("sure"))
     kinds = checkpoint(unsure.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.first("row").alias("row"), F.first("start").alias("start"), F.first("size").alias("size")))
-    width = kinds.groupBy("anchor").agg(F.ceil(F.count("*") / CONTEXTS).cast("int").alias("blocks"))
-    chosen = _joined(kinds, width, "anchor").select("row", "anchor", "context", "start", "size", F.pmod("context", F.col("blocks").cast("long")).cast("int").alias("own"), "blocks")
+    width = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    counted = joined_to_counts(kinds, width, ["anchor"], "kinds").withColumn("blocks", F.ceil(F.col("kinds") / CONTEXTS).cast("int"))
+    chosen = counted.select("row", "anchor", "context", "start", "size", F.pmod("context", F.col("blocks").cast("long")).cast("int").alias("own"), "blocks")
     contexts = _context_rows(chosen, folder, parts)
     pairs = contexts.select("anchor", "context", "bytes", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     block = (F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")).alias("block")
