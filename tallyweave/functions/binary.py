@@ -121,13 +121,14 @@ def merkle_level(level: Column) -> Column:
     return F.when(F.size(level) > 1, F.transform(F.sequence(F.lit(0), F.floor((F.size(level) - 1) / 2).cast("int")), lambda i: sha256d(pair(i)))).otherwise(level)
 
 
-#: Levels that a tree may have: blocks hold fewer than 2^20 transactions.
-LEVELS = 20
+def _levels(leaves: Column) -> Column:
+    """One item for each level above the leaves, one at least."""
+    return F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(F.greatest(F.size(leaves), F.lit(1)))), F.lit(1)).cast("int"))
 
 
 def merkle_root(leaves: Column) -> Column:
     """The root over 32-byte hashes; 32 zero bytes for none."""
-    top = F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), leaves, lambda level, _: merkle_level(level))
+    top = F.aggregate(_levels(leaves), leaves, lambda level, _: merkle_level(level))
     return F.when(F.size(leaves) == 0, F.unhex(F.lit("00" * 32))).otherwise(F.element_at(top, 1))
 
 
@@ -136,4 +137,4 @@ def merkle_mutated(leaves: Column) -> Column:
     twins = lambda level: F.exists(F.sequence(F.lit(1), F.greatest(F.size(level) - 1, F.lit(1)), F.lit(2)), lambda i: F.coalesce(F.get(level, i - 1) == F.get(level, i), F.lit(False)))
     start = F.struct(leaves.alias("level"), F.lit(False).alias("bad"))
     step = lambda s, _: F.struct(merkle_level(s["level"]).alias("level"), (s["bad"] | twins(s["level"])).alias("bad"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), start, step, lambda s: s["bad"])
+    return F.aggregate(_levels(leaves), start, step, lambda s: s["bad"])

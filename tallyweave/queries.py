@@ -410,8 +410,7 @@ def hash_display_order(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", B.display_hash(B.sha256d(data)).alias("shown"), B.to_hex(B.checksum(data)).alias("checksum"))
 
 
-def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").where("doc_id % 20 < 5")
+def _leaves(docs: DataFrame) -> DataFrame:
     return docs.select("source", F.col("doc_id").alias("tx_index"), B.sha256d(F.col("text").cast("binary")).alias("txid"))
 
 
@@ -424,12 +423,24 @@ up(source, l, bad, depth) AS (SELECT source, l, bad, 0 FROM lists
 
 @query(f"{_MERKLE} SELECT source, l[1] AS root FROM up WHERE len(l) = 1")
 def merkle_root_by_source(spark, sf_dir):
-    return V.merkle_roots(_leaves(spark, sf_dir), "source").select("source", "root")
+    """Over the documents that the SQL covers; merkle_root_all_documents takes all."""
+    return V.merkle_roots(_leaves(_t(spark, sf_dir, "documents").where("doc_id % 20 < 5")), "source").select("source", "root")
 
 
 @query(f"{_MERKLE} SELECT source, bad AS mutated FROM up WHERE len(l) = 1")
 def merkle_mutation_flag(spark, sf_dir):
-    return V.merkle_roots(_leaves(spark, sf_dir), "source").select("source", "mutated")
+    """Over the documents that the SQL covers; merkle_mutation_all_documents takes all."""
+    return V.merkle_roots(_leaves(_t(spark, sf_dir, "documents").where("doc_id % 20 < 5")), "source").select("source", "mutated")
+
+
+@query()
+def merkle_root_all_documents(spark, sf_dir):
+    return V.merkle_roots(_leaves(_t(spark, sf_dir, "documents")), "source").select("source", "root")
+
+
+@query()
+def merkle_mutation_all_documents(spark, sf_dir):
+    return V.merkle_roots(_leaves(_t(spark, sf_dir, "documents")), "source").select("source", "mutated")
 
 
 _HEXN = "lpad(lower(to_hex(CAST({0} AS BIGINT))), {1}, '0')"
