@@ -322,7 +322,17 @@ def tx_lookup(spark, sf_dir):
 @query(f"""WITH {_CHAIN}, k AS (SELECT CASE WHEN height % 3 = 0 THEN {_REVERSED.format('hash')} ELSE CAST(height AS VARCHAR) END AS key FROM chain WHERE height < 300)
 SELECT key, CASE WHEN length(key) = 64 THEN NULL ELSE CAST(key AS BIGINT) END AS height, CASE WHEN length(key) = 64 THEN {_REVERSED.format('key')} END AS hash FROM k""")
 def parse_block_keys(spark, sf_dir):
-    keys = chain(spark, sf_dir).where("height < 300").select(F.when(F.col("height") % 3 == 0, B.reversed_hex(F.col("hash"))).otherwise(F.col("height").cast("string")).alias("key"))
+    """Over the heights that the SQL covers; parse_block_keys_all takes all."""
+    return _parsed_keys(chain(spark, sf_dir).where("height < 300"))
+
+
+@query()
+def parse_block_keys_all(spark, sf_dir):
+    return _parsed_keys(chain(spark, sf_dir))
+
+
+def _parsed_keys(headers: DataFrame) -> DataFrame:
+    keys = headers.select(F.when(F.col("height") % 3 == 0, B.reversed_hex(F.col("hash"))).otherwise(F.col("height").cast("string")).alias("key"))
     return keys.select("key", api.parse_block_key(F.col("key")).alias("p")).select("key", "p.height", "p.hash")
 
 
@@ -720,10 +730,18 @@ def _sql_relative(s: str) -> str:
 
 @query(f"WITH v AS (SELECT event_id, (event_id - 300) * (event_id - 300) * (event_id - 300) AS s FROM events WHERE event_id < 2000) SELECT event_id, {_sql_relative('s')} AS shown FROM v")
 def relative_time(spark, sf_dir):
+    """Over the events that the SQL covers; relative_time_all takes all."""
     i = F.col("event_id") - 300
     return _t(spark, sf_dir, "events").where("event_id < 2000").select("event_id", FM.relative_time(i * i * i).alias("shown"))
 
 
+@query()
+def relative_time_all(spark, sf_dir):
+    """Squares with a sign, as cubes of large event ids don't fit a long."""
+    i = F.col("event_id") - 300
+    return _t(spark, sf_dir, "events").select("event_id", FM.relative_time(i * F.abs(i)).alias("shown"))
+
+
 @query("""WITH v AS (SELECT event_id, (event_id * event_id * 977) // 1000 AS s FROM events), p AS (SELECT event_id, CASE WHEN s >= 86400 THEN s // 86400 || 'd' ELSE '' END || CASE WHEN s // 3600 % 24 > 0 THEN s // 3600 % 24 || 'h' ELSE '' END || CASE WHEN s // 60 % 60 > 0 THEN s // 60 % 60 || 'm' ELSE '' END || CASE WHEN s % 60 > 0 THEN s % 60 || 's' ELSE '' END AS t FROM v)
 SELECT event_id, CASE WHEN t = '' THEN '0s' ELSE t END AS shown FROM p""")
 def format_duration(spark, sf_dir):
@@ -733,9 +751,18 @@ def format_duration(spark, sf_dir):
 
 @query("SELECT o_orderkey, 'BTC ' || format('{:,.2f}', CAST(o_orderkey * 25000000 AS DOUBLE) / 100000000) AS coins, format('{:,}', o_orderkey) AS height, '0x' || lpad(lower(to_hex(o_orderkey % 4294967296)), 8, '0') AS version, CAST(month(o_orderdate) AS VARCHAR) || '/' || day(o_orderdate) || '/' || year(o_orderdate) AS day, CAST(least(o_orderkey / 4000000.0, 1) AS DOUBLE) AS fill FROM orders WHERE o_orderkey % 2 = 0")
 def format_bitcoin(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
+    """Over the orders that the SQL covers; format_bitcoin_all takes all."""
+    return _formatted(_t(spark, sf_dir, "orders").where("o_orderkey % 2 = 0"))
+
+
+@query()
+def format_bitcoin_all(spark, sf_dir):
+    return _formatted(_t(spark, sf_dir, "orders"))
+
+
+def _formatted(orders: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
-    return o.select("o_orderkey", FM.bitcoin(k * 25_000_000).alias("coins"), FM.height(k).alias("height"), FM.version(k).alias("version"), FM.date(F.col("o_orderdate")).alias("day"), FM.fill_ratio(k).alias("fill"))
+    return orders.select("o_orderkey", FM.bitcoin(k * 25_000_000).alias("coins"), FM.height(k).alias("height"), FM.version(k).alias("version"), FM.date(F.col("o_orderdate")).alias("day"), FM.fill_ratio(k).alias("fill"))
 
 
 # ---------------------------------------------------------------- streams
@@ -895,11 +922,20 @@ def headers_messages(spark, sf_dir):
 
 @query("SELECT event_id, event_type AS command, sha256(props) AS payload FROM events WHERE event_id < 500")
 def frame_source(spark, sf_dir):
-    """Frames written to files and read through the data source."""
+    """Frames written to files and read through the data source, of the events that the SQL covers; frame_source_all takes all."""
+    return _framed(spark, _t(spark, sf_dir, "events").where("event_id < 500").repartitionByRange(4, "event_id"))
+
+
+@query()
+def frame_source_all(spark, sf_dir):
+    return _framed(spark, _t(spark, sf_dir, "events").repartitionByRange("event_id"))
+
+
+def _framed(spark: SparkSession, events: DataFrame) -> DataFrame:
     from .sources.frames import MAGIC, register
 
     _, root = _store(spark, "frames")
-    rows = _t(spark, sf_dir, "events").where("event_id < 500").select("event_id", "event_type", "props")
+    rows = events.select("event_id", "event_type", "props")
 
     def write(batches):
         import os
@@ -921,7 +957,7 @@ def frame_source(spark, sf_dir):
                 fs.move(own, name)
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
 
-    rows.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").mapInArrow(write, "n long").count()
+    rows.sortWithinPartitions("event_id").mapInArrow(write, "n long").count()
     register(spark)
     got = spark.read.format("ledger_frames").load(f"{root}/files")
     number = F.conv(B.reversed_hex(F.lower(F.hex(F.substring("payload", 1, 8)))), 16, 10).cast("long")

@@ -1,5 +1,6 @@
 """Queries that take their whole tables, against brute force on small fixtures."""
 
+import datetime
 import hashlib
 
 import pytest
@@ -38,3 +39,44 @@ def test_merkle_of_all_documents(spark, tables):
     roots = {r.source: r.root for r in QUERIES["merkle_root_all_documents"](spark, at).collect()}
     flags = {r.source: r.mutated for r in QUERIES["merkle_mutation_all_documents"](spark, at).collect()}
     assert roots == {s: w[0] for s, w in want.items()} and flags == {s: w[1] for s, w in want.items()} == {"a": True, "b": False}
+
+
+EVENTS = "event_id long, ts timestamp, user_id long, event_type string, props string"
+
+
+def events(n):
+    return [(i, datetime.datetime(2024, 1, 1), i % 7, ("view", "error")[i % 2], f'{{"k": {i * i}}}') for i in range(n)]
+
+
+def test_format_bitcoin_of_all_orders(spark, tables):
+    rows = [(k, datetime.datetime(2020, 1 + k % 12, 1 + k % 28)) for k in (1, 2, 3, 7, 999, 1000, 4_000_001, 5_999_999)]
+    got = {r.o_orderkey: tuple(r)[1:] for r in QUERIES["format_bitcoin_all"](spark, tables(orders=(rows, "o_orderkey long, o_orderdate timestamp"))).collect()}
+    assert got == {k: (f"BTC {k // 4:,}.{k % 4 * 25:02d}", f"{k:,}", f"0x{k:08x}", f"{d.month}/{d.day}/{d.year}", min(k / 4_000_000, 1.0)) for k, d in rows}
+
+
+def test_relative_time_of_all_events(spark, tables):
+    units = (("year", 31_556_952), ("month", 2_419_200), ("week", 604_800), ("day", 86_400), ("hour", 3600), ("minute", 60), ("second", 1))
+
+    def shown(i):
+        s = (i - 300) * abs(i - 300)
+        unit, size = next(((u, z) for u, z in units if abs(s) >= z), (None, 1))
+        n = (2 * s + size) // (2 * size)
+        text = f"{abs(n)} {unit}{'' if abs(n) == 1 else 's'}"
+        return "now" if unit is None else f"{text} ago" if n < 0 else f"in {text}"
+
+    rows = events(2400) + [(3_000_000, *events(1)[0][1:])]
+    got = {r.event_id: r.shown for r in QUERIES["relative_time_all"](spark, tables(events=(rows, EVENTS))).collect()}
+    assert got == {r[0]: shown(r[0]) for r in rows}
+
+
+def test_frames_of_all_events(spark, tables):
+    rows = events(1203)
+    got = sorted(map(tuple, QUERIES["frame_source_all"](spark, tables(events=(rows, EVENTS))).collect()))
+    assert got == [(i, kind, hashlib.sha256(props.encode()).hexdigest()) for i, _, _, kind, props in rows]
+
+
+def test_parse_all_block_keys(spark, tables):
+    rows = events(700)
+    got = sorted(map(tuple, QUERIES["parse_block_keys_all"](spark, tables(events=(rows, EVENTS))).collect()))
+    digests = {i: sha256d(f"{i}|{kind}|{user}".encode()) for i, _, user, kind, _ in rows}
+    assert got == sorted((d[::-1].hex(), None, d.hex()) if i % 3 == 0 else (str(i), i, None) for i, d in digests.items())
