@@ -4,11 +4,15 @@ A text is brought to a canonical form: A-Z to lower case, lines of copyright
 notices dropped, everything but letters and digits to single blanks, equivalent
 spellings to one. Its SHA-256 is looked up among those of known licences in a
 hash join; so are the digests of its lines, as notices often stand in a line of
-their own. Only DataFrame functions; the same steps are given as SQL.
+their own. Only DataFrame functions; the same steps are given as SQL, with the
+texts of KNOWN.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +66,22 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
 )
+# Full texts that stand in license_texts (identifier, file); a text doesn't tell "only" from "or later".
+FULL = (
+    ("Apache-2.0", "Apache-2.0"),
+    ("Artistic-1.0-Perl", "Artistic"),
+    ("CC0-1.0", "CC0-1.0"),
+    ("GFDL-1.2", "GFDL-1.2"),
+    ("GFDL-1.3", "GFDL-1.3"),
+    ("GPL-1.0", "GPL-1"),
+    ("GPL-2.0", "GPL-2"),
+    ("GPL-3.0", "GPL-3"),
+    ("LGPL-2.0", "LGPL-2"),
+    ("LGPL-2.1", "LGPL-2.1"),
+    ("LGPL-3.0", "LGPL-3"),
+    ("MPL-1.1", "MPL-1.1"),
+    ("MPL-2.0", "MPL-2.0"),
+)
 # Equivalent spellings, brought to the second.
 SPELLINGS = (
     ("licence", "license"),
@@ -82,6 +102,8 @@ SPELLINGS = (
     ("wilful", "willful"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Known texts that scan takes at most, as every row looks into all of them.
+MOST_KNOWN = 2000
 #: A line that is a copyright notice, and what is neither an ASCII letter or digit nor outside ASCII.
 NOTICE = r"(?m)^[^a-z\n]*(copyright|\(c\)|\x{a9})[ \t][^\n]*$"
 OTHER = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
@@ -100,30 +122,71 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def known(spark: SparkSession) -> DataFrame:
-    """(digest, license) of the known texts: as many rows as KNOWN at most."""
-    rows = spark.createDataFrame(list(KNOWN), "license string, text string")
-    return rows.select(digest(F.col("text")).alias("digest"), "license").distinct()
+def _full_texts() -> list[tuple[str, str]]:
+    """The full texts, also without what follows their terms, and the BSD ones with and without numbers, title and reservation."""
+    folder = Path(__file__).parent / "license_texts"
+    out = []
+    for name, file in FULL:
+        text = (folder / f"{file}.txt").read_text("utf-8")
+        out.append((name, text))
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        if end:
+            out += [(name, terms), (name, terms + end)]
+    regents = (folder / "BSD.txt").read_text("utf-8")
+    owner = regents.replace("name of the University", "name of the copyright holder").replace("BY THE REGENTS AND", "BY THE COPYRIGHT HOLDERS AND").replace("THE REGENTS OR", "THE COPYRIGHT HOLDER OR")
+    for three in (regents, owner):
+        third, end = three.index("3. Neither"), three.index("THIS SOFTWARE")
+        for name, text in (("BSD-3-Clause", three), ("BSD-2-Clause", three[:third] + three[end:])):
+            body = text[text.index("Redistribution") :]
+            for rules in (body, re.sub(r"(?m)^\d\. ", "* ", body)):
+                out += [(name, f"{title}{rights}{rules}") for title in ("", f"{name.replace('-', ' ', 1)} License\n\n") for rights in ("", "All rights reserved.\n\n")]
+    return out
+
+
+def known(spark: SparkSession, licenses: DataFrame | None = None) -> DataFrame:
+    """(digest, license, form) of the known texts, KNOWN and the full texts unless others are given as (license, text); form is canonical.
+
+    Of licences whose texts have the same form, the first by name. Null and blank texts are dropped.
+    """
+    rows = spark.createDataFrame([*KNOWN, *_full_texts()], "license string, text string") if licenses is None else licenses.select("license", "text").limit(MOST_KNOWN + 1)
+    held = rows.select(canonical(F.col("text")).alias("form"), "license").where("license is not null and trim(form) <> ''")
+    return held.groupBy("form").agg(F.min("license").alias("license")).select(F.sha2(F.col("form").cast("binary"), 256).alias("digest"), "license", "form")
+
+
+def _needed(forms: list[str]) -> str:
+    """A pattern that any line with one of the forms matches: "license" in some spelling, or else a long word of the form that no spelling touches."""
+    touched = {w for _, to in SPELLINGS for w in to.split()}
+    words = {"licen[cs]e"}
+    for form in forms:
+        if "license" not in form:
+            words.add(max((w for w in form.split() if w not in touched), key=lambda w: (len(w), w), default=""))
+    return "" if "" in words else "|".join(sorted(words))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license (of the entire text), line_licenses and n_license_lines.
 
-    A null text is as an empty one, and matches nothing; licences of lines are
-    distinct, ascending and joined by blanks, an empty string if there are none;
-    rows with equal or null doc_id are each scanned; an empty table gives an
-    empty result. Known digests are few and fixed, so they stand in an array
-    that every row looks into, and no row moves.
+    Known licences are KNOWN and the full texts in license_texts, or those of
+    the given table (license, text), of at most MOST_KNOWN rows; ValueError for
+    more. A null text is as an empty one, and matches nothing; licences of lines
+    are distinct, ascending and joined by blanks, an empty string if there are
+    none; rows with equal or null doc_id are each scanned; an empty table gives
+    an empty result. Known digests are few, so they stand in an array that every
+    row looks into, and no row moves.
     """
-    table = known(docs.sparkSession).collect()  # at most len(KNOWN) rows
-    lookup = F.create_map(*[F.lit(x) for r in table for x in (r["digest"], r["license"])])
+    spark = docs.sparkSession
+    if licenses is not None and licenses.limit(MOST_KNOWN + 1).count() > MOST_KNOWN:
+        raise ValueError(f"more than {MOST_KNOWN} known licences")
+    table = known(spark, licenses).collect()  # at most MOST_KNOWN rows
+    held = spark.createDataFrame([(r["digest"], r["license"]) for r in table], "digest string, license string")
+    lookup = F.create_map(*[F.lit(x) for r in table for x in (r["digest"], r["license"])]) if table else F.lit(None).cast("map<string,string>")
     text = F.coalesce(F.col("text"), F.lit(""))
-    # Every known notice of one line holds the word in some spelling; digests are made of such lines alone.
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, UPPER, LOWER).rlike("licen[cs]e"))
+    needed = _needed([r["form"] for r in table])
+    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, UPPER, LOWER).rlike(needed))
     found = F.filter(F.transform(lines, lambda x: F.try_element_at(lookup, digest(x))), lambda x: x.isNotNull())
     whole = digest(text)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("digest"), found.alias("found"))
-    return rows.join(F.broadcast(known(docs.sparkSession)), "digest", "left").select("doc_id", "digest", "license", F.array_join(F.array_sort(F.array_distinct("found")), " ").alias("line_licenses"), F.size("found").cast("long").alias("n_license_lines"))
+    return rows.join(F.broadcast(held), "digest", "left").select("doc_id", "digest", "license", F.array_join(F.array_sort(F.array_distinct("found")), " ").alias("line_licenses"), F.size("found").cast("long").alias("n_license_lines"))
 
 
 def _sql_canonical(text: str) -> str:
