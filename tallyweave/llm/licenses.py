@@ -5,7 +5,7 @@ notices dropped, everything but letters and digits to single blanks, equivalent
 spellings to one. Its SHA-256 is looked up among those of known licences in a
 hash join; so are the digests of its lines, as notices often stand in a line of
 their own. Only DataFrame functions; the same steps are given as SQL, with the
-texts of KNOWN.
+texts of KNOWN and a coarser rule for notices.
 """
 
 from __future__ import annotations
@@ -104,14 +104,22 @@ SPELLINGS = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Known texts that scan takes at most, as every row looks into all of them.
 MOST_KNOWN = 2000
-#: A line that is a copyright notice, and what is neither an ASCII letter or digit nor outside ASCII.
+#: A line that is a copyright notice: with a year or placeholder, with (c) and an owner, or an owner alone in a paragraph of its own.
+_MARK = r"(?:copyright|\(c\)|\x{a9})"
+_NO_OWNER = r"(?!(?:notices?|holders?|owners?|laws?|licen[cs]e[sd]?|disclaimers?|statements?|interests?|and|or|in|on|of|is|to|for)\b)"
+NOTICE_LINE = "|".join((
+    rf"(?m)^[^a-z\n]*{_MARK}(?:[ \t]*{_MARK})*[ \t:,]*(?:\d{{4}}\b|[<\[{{])[^\n]*$",
+    r"^[^a-z\n]*copyright[ \t]*(?:\(c\)|\x{a9})[ \t]*+(?!year\b|yyyy\b|19yy\b|19xx\b)[^\n]*$",
+    rf"(?<=\A|\n[ \t\r]{{0,8}}\n)[^a-z\n]*copyright[ \t]+{_NO_OWNER}[^\n]*(?=\n[ \t\r]*\n|\n?\z|\n[ \t]*all rights)",
+))
+#: The SQL's notices: any line that begins so. And what is neither an ASCII letter or digit nor outside ASCII.
 NOTICE = r"(?m)^[^a-z\n]*(copyright|\(c\)|\x{a9})[ \t][^\n]*$"
 OTHER = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 
 
 def canonical(text: Column) -> Column:
     """The canonical form, a blank at either end."""
-    out = F.regexp_replace(F.translate(text, UPPER, LOWER), NOTICE, "")
+    out = F.regexp_replace(F.translate(text, UPPER, LOWER), NOTICE_LINE, "")
     out = F.regexp_replace(F.concat(F.lit(" "), out, F.lit(" ")), OTHER, " ")
     for spelling, to in SPELLINGS:
         out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {to} "))

@@ -1,4 +1,7 @@
-"""Full licence texts, tables of licences from the caller."""
+"""Full licence texts, tables of licences from the caller, and texts wrapped anew."""
+
+import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,3 +28,34 @@ def test_given_licenses(spark):
     assert [r.license for r in scanned(spark, ["Ask before use"], known.limit(0))] == [None]
     with pytest.raises(ValueError):
         licenses.scan(known.select(F.lit(1).alias("doc_id"), "text"), spark.range(licenses.MOST_KNOWN + 1).select(F.col("id").cast("string").alias("license"), F.lit("x").alias("text")))
+
+
+NOTICE = re.compile(r"\W*copyright (\(c\) )?(<|\[|\d{4}|the regents)", re.I)
+
+
+def wrapped(text, width):
+    """Paragraphs filled anew; lines of copyright notices stay lines."""
+    out = []
+    for paragraph in re.split(r"\n[ \t]*\n", text):
+        lines = [[]]
+        for line in paragraph.split("\n"):
+            if NOTICE.match(line):
+                lines += [[line], []]
+            else:
+                lines[-1].append(line)
+        out.append("\n".join(x[0] if len(x) == 1 and NOTICE.match(x[0]) else textwrap.fill(" ".join(x), width, break_long_words=False, break_on_hyphens=False) for x in lines if x))
+    return "\n\n".join(out)
+
+
+def test_wrapped_texts(spark):
+    texts = [*licenses.KNOWN, *licenses._full_texts()]
+    got = scanned(spark, [wrapped(t, w) for w in (70, 72, 74, 76, 78, 80) for _, t in texts])
+    missed = [(n, w) for (n, w), r in zip([(n, w) for w in (70, 72, 74, 76, 78, 80) for n, _ in texts], got) if r.license != n]
+    assert not missed
+
+
+def test_notices(spark):
+    drop = ["copyright 2019 jane", "copyright (c) <year> <owner>", "(c) 2001 x", "© 2020 y", "copyright © 2020", "// copyright (c) microsoft corporation.", "copyright [yyyy] [name]", "copyright jane doe"]
+    stay = ["copyright notice and this permission notice appear in all copies.", "copyright holders be liable", "(c) you must retain all notices", "copyright and related rights", "copyrighted 2019"]
+    rows = spark.createDataFrame([(x,) for x in drop + stay], "t string").select("t", F.trim(licenses.canonical(F.col("t"))).alias("c")).collect()
+    assert {r.t for r in rows if not r.c} == set(drop)
