@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 from .common import batch, checkpoint, texts, tidy
 from .tokens import encoder
 
-#: Steps of the local search at most. Each works on whole groups of bins, so the bound doesn't depend on the corpus.
-SEARCH_STEPS = 2_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, part_rank long"
 
 
@@ -68,35 +66,50 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter:
     return out
 
 
-def local_search(bins: Counter, capacity: int, steps: int = SEARCH_STEPS) -> Counter:
-    """Empty the least filled bins into other underfull ones by swaps and moves.
+def local_search(bins: Counter, capacity: int) -> Counter:
+    """Empty the least filled bins into other underfull ones by swaps and moves, until no bin has a step.
 
     A donor gives a piece to an underfull bin (move), or gives its longer piece
     for a shorter one (one for one) or for two shorter ones (two for one) of a
     bin that has room for the difference and is no less filled; so every step
-    raises the sum of squared fills. Equal bins take the same step together.
+    raises the sum of squared fills, and steps end. Equal bins take the same step
+    together. A donor without a step is tried again with patterns that are new since.
     """
     bins = +bins
-    done: set[tuple[int, ...]] = set()  # donors that nothing can be taken from
-    for _ in range(steps):
-        under = sorted((p for p in bins if sum(p) < capacity), key=lambda p: (sum(p), p))
-        donor = next((p for p in under if p not in done), None)
-        if donor is None or len(under) < 2 and bins[donor] < 2:
-            break
-        step = _step(donor, [p for p in under if p != donor or bins[p] > 1], capacity)
-        if step is None:
-            done.add(donor)
-            continue
+    under = sorted((sum(p), p) for p in bins if sum(p) < capacity)
+    fresh: list[tuple[int, ...]] = []  # patterns that came up, or had more than one bin again, in order
+    seen: dict[tuple[int, ...], int] = {}  # donors that had no step, and how many of fresh they were tried with
+
+    def change(pattern: tuple[int, ...], n: int) -> None:
+        had = bins[pattern]
+        bins[pattern] = had + n
+        key = (sum(pattern), pattern)
+        if key[0] < capacity:
+            if not had:
+                insort(under, key)
+            if n > 0 and had < 2:
+                fresh.append(pattern)
+            if not had + n:
+                del under[bisect_left(under, key)]
+        if not had + n:
+            del bins[pattern]
+
+    while True:
+        for _, donor in under:
+            takers = fresh[seen[donor] :] if donor in seen else [p for _, p in under]
+            step = _step(donor, [p for p in takers if bins[p] > (p == donor)], capacity) if takers else None
+            if step is not None:
+                break
+            seen[donor] = len(fresh)
+        else:
+            return bins
         taker, new_donor, new_taker = step
         n = bins[donor] // 2 if taker == donor else min(bins[donor], bins[taker])
-        bins[donor] -= n
-        bins[taker] -= n
+        change(donor, -n)
+        change(taker, -n)
         if new_donor:
-            bins[new_donor] += n
-        bins[new_taker] += n
-        bins = +bins
-        done.clear()  # there is other room now
-    return +bins
+            change(new_donor, n)
+        change(new_taker, n)
 
 
 def _step(donor: tuple[int, ...], takers: list[tuple[int, ...]], capacity: int):
