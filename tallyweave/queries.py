@@ -911,13 +911,28 @@ def blacklist_append(spark, sf_dir):
 
 @query(f"""WITH {_CHAIN}, n AS (SELECT user_id, count(*) AS n FROM chain GROUP BY 1) SELECT user_id AS peer, n AS headers, true AS same FROM n""")
 def headers_messages(spark, sf_dir):
-    """Headers messages of each peer's headers, read back."""
+    """Messages of at most MOST_HEADERS of each peer's headers, read back, and their sums by peer."""
     from .sources import messages
 
     raw = F.concat(F.lit("01000000"), F.col("hash"), F.col("hash"), F.lit("00" * 12))
-    held = chain(spark, sf_dir).groupBy(F.col("user_id").alias("peer")).agg(F.transform(F.array_sort(F.collect_list(F.struct("height", raw.alias("raw")))), lambda x: x["raw"]).alias("l"))
+    rows = chain(spark, sf_dir).select(F.col("user_id").alias("peer"), "height", raw.alias("raw"))
+    held = _numbered(rows, messages.MOST_HEADERS).groupBy("peer", "message").agg(F.transform(F.array_sort(F.collect_list(F.struct("height", "raw"))), lambda x: x["raw"]).alias("l"))
     read = held.select("peer", "l", messages.headers(messages.headers_message(F.col("l"))).alias("back"))
-    return read.select("peer", F.size("back").cast("long").alias("headers"), (F.col("back") == F.col("l")).alias("same"))
+    same = F.coalesce(F.col("back") == F.col("l"), F.lit(False))
+    return read.groupBy("peer").agg(F.sum(F.size("back").cast("long")).alias("headers"), F.min(same).alias("same"))
+
+
+def _numbered(rows: DataFrame, most: int) -> DataFrame:
+    """rows (peer, height) with a message number: each peer's in order of height, at most so many a message.
+
+    Ranks are two-level, by peer and range of heights, so a peer with very many rows is no group in one task.
+    """
+    bucketed = rows.withColumn("bucket", F.floor(F.col("height") / most))
+    counts = bucketed.groupBy("peer", "bucket").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("peer").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("peer", "bucket").orderBy("height")) - 1
+    ranked = bucketed.withColumn("rank", rank).join(counts.select(F.col("peer").alias("of"), F.col("bucket").alias("at"), before.alias("before")), F.col("peer").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at")))
+    return ranked.withColumn("message", F.floor((F.col("before") + F.col("rank")) / most)).drop("bucket", "rank", "before", "of", "at")
 
 
 @query("SELECT event_id, event_type AS command, sha256(props) AS payload FROM events WHERE event_id < 500")

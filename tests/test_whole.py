@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+from collections import Counter
 
 import pytest
 
@@ -80,3 +81,10 @@ def test_parse_all_block_keys(spark, tables):
     got = sorted(map(tuple, QUERIES["parse_block_keys_all"](spark, tables(events=(rows, EVENTS))).collect()))
     digests = {i: sha256d(f"{i}|{kind}|{user}".encode()) for i, _, user, kind, _ in rows}
     assert got == sorted((d[::-1].hex(), None, d.hex()) if i % 3 == 0 else (str(i), i, None) for i, d in digests.items())
+
+
+def test_headers_of_a_busy_peer(spark, tables):
+    """Peer 3 has more headers than a message may hold."""
+    rows = [(i, t, 3 if i % 10 else i % 7 or None, kind, props) for i, t, _, kind, props in events(5003)]
+    got = {r.peer: (r.headers, r.same) for r in QUERIES["headers_messages"](spark, tables(events=(rows, EVENTS))).collect()}
+    assert got == {peer: (n, True) for peer, n in Counter(r[2] for r in rows).items()} and got[3][0] > 4000
