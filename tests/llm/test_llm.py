@@ -304,37 +304,6 @@ def test_licenses(spark, table):
     assert got[54][0].license == "MIT" and got[53][0].line_licenses == "MIT" and got[44][0].license is None and got[0][0].line_licenses == ""
 
 
-def test_pieces(spark, table):
-    got = by_id(pieces.encode_decode(make(spark, table), SP))
-    assert all(r.round_trip for x in got.values() for r in x)
-    assert got[0][0].decoded_sha256 == hashlib.sha256(table[0][1].encode()).hexdigest()
-
-
-def test_streaming_search_is_viterbi():
-    own, rng = pieces.Pieces(SP), random.Random(6)
-
-    def best(text):
-        """All positions, kept to the end."""
-        score = [0.0] + [-1e300] * len(text)
-        for end in range(1, len(text) + 1):
-            for start in range(max(0, end - own.longest), end):
-                hit = own.ids.get(text[start:end])
-                w = hit[1] if hit else (own.byte_weight * len(text[start].encode()) if end - start == 1 else None)
-                if w is not None:
-                    score[end] = max(score[end], score[start] + w)
-        return score[-1]
-
-    weight = {i: w for i, w in own.ids.values()}
-    for _ in range(300):
-        text = "".join(rng.choice(["the", "ing", "a", "▁", "▁▁", "é", "日", "🙂", "tion", "\n", "x", "́"]) for _ in range(rng.randint(1, 40)))
-        ids = list(own.stream(text))
-        assert abs(sum(weight.get(i, own.byte_weight) for i in ids) - best(text)) < 1e-6
-        assert b"".join(own.inverse[i] for i in ids).decode() == text.replace("▁", " ")
-        assert len(text) > 2 * own.longest or own._within(text) == ids
-    whole = "".join(rng.choice("abcdef ▁") for _ in range(5000)).replace(" ", "▁")
-    assert list(own.stream(iter(whole))) == list(own.stream(whole))
-
-
 def brute_repeats(items, size):
     seen = Counter(b[k : k + size] for b in items for k in range(len(b) - size + 1))
     out = []
