@@ -4,11 +4,18 @@ Texts are written once, compressed, a file for each input partition in the
 shared folder; everything that moves afterwards is small rows. Every window of
 ``size`` bytes names one anchor, the least rolling hash of its ``GRAM``-byte
 strings, so equal windows name equal anchors. Anchors that stand once have no
-repeated window. The windows of an anchor lie in one stretch, its context: equal
-contexts repeat as a whole, and different contexts of one anchor go to a task
-that builds transforms of shards of them and merges these (``bwt``); intervals
-of the merged order that hold two or more suffixes give the repeated windows.
-An anchor with very many different contexts is dealt out by pairs of blocks.
+repeated window; that is all that hashes decide. The windows of another anchor
+lie in stretches, its contexts, and those of an anchor meet in one task, which
+builds transforms of shards of contexts and merges these (``bwt``): where
+neighbours of the merged order share a window's length, both windows repeat.
+
+Equal contexts of one partition are found where their text is read, byte by
+byte, and only one goes on. An anchor with very many contexts is narrowed in
+rounds: of equal contexts one stays, and a context falls into two by where in
+its windows the anchor stands, each half with the longer string that all its
+windows hold around the anchor in place of it. So no key keeps more than
+``HOT`` contexts, and a string that stands in very many places moves once for
+each partition.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,24 +39,28 @@ from .common import COLUMNS_SCHEMA, batch, by_bytes, checkpoint, document_column
 SIZE = 200
 #: Bytes of the strings whose hashes name anchors.
 GRAM = 64
-#: Different contexts of an anchor that are compared at once.
-CONTEXTS = 512
+#: Contexts of a key that meet in one merge; keys with more are narrowed first.
+HOT = 1024
 #: Bytes of text whose anchors are looked for at once.
 ANCHOR_BYTES = 1 << 19
-#: Context bytes that a task merges at once.
-MERGE_BYTES = 1 << 19
+#: Context bytes that a task merges at once, sixteen shards or more.
+MERGE_BYTES = 1 << 20
+#: Context bytes of a partition that are told apart where the texts are read, before it begins anew.
+SEEN_BYTES = 8 << 20
 _ROW = 40  # bits of a row's number within its partition
+#: A context (bytes) of a key, or a stretch that goes (bytes null): where it is, its length, the anchor's place in it, and the places (from, to) of the anchor in its windows.
+_CONTEXT = "key long, row long, start int, size int, at int, `from` int, `to` int, bytes binary"
+_STRETCH = "row long, start int, end int"
 _KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def anchors(items: list[bytes], size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Anchors of all windows: item, hash of the anchor's string, hash of its context, and the context's start and length."""
+    """Anchors of all windows: item, hash of the anchor's string, and its context's start and length."""
     sizes = np.array([len(x) for x in items], np.int64)
     at, data = ranges(sizes), np.frombuffer(b"".join(items), np.uint8)
     if len(data) < size:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    rolling = Rolling(data)
-    hashes = rolling.every(gram)
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    hashes = Rolling(data).every(gram)
     width = size - gram + 1
     n = len(hashes)
     packed = np.full(-(-n // width) * width, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -65,17 +77,17 @@ def anchors(items: list[bytes], size: int = SIZE, gram: int = GRAM) -> tuple[np.
     lo = start[first]
     hi = start[np.append(first[1:], len(start)) - 1] if len(first) else lo
     owner = item[lo]
-    return owner, hashes[own[first]].view(np.int64), rolling.of(lo, hi + size).view(np.int64), lo - at[owner], hi + size - lo
+    return owner, hashes[own[first]].view(np.int64), lo - at[owner], hi + size - lo
 
 
 def anchors_in_parts(items: list[bytes], size: int = SIZE, most: int = ANCHOR_BYTES) -> tuple[np.ndarray, ...]:
-    """anchors, a text over most bytes in parts: the windows that begin in each. A context may end at a part's end, and is another one then."""
+    """anchors, a text over most bytes in parts: the windows that begin in each. A context may end at a part's end, and go on in a second one."""
     if len(items) != 1 or len(items[0]) <= 2 * most:
         return anchors(items, size)
     found = []
     for at in range(0, len(items[0]) - size + 1, most):
-        owner, anchor, context, start, length = anchors([items[0][at : at + most + size - 1]], size)
-        found.append((owner, anchor, context, start + at, length))
+        owner, anchor, start, length = anchors([items[0][at : at + most + size - 1]], size)
+        found.append((owner, anchor, start + at, length))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -92,11 +104,11 @@ def _write(source: DataFrame, folder: str) -> list[tuple[int, int]]:
             for lo, hi in by_bytes(items, ANCHOR_BYTES):
                 found = anchors_in_parts(items[lo:hi])
                 cut = np.searchsorted(found[0], np.arange(hi - lo + 1))
-                blobs = [[x[i:j].astype(kind).tobytes() for i, j in zip(cut[:-1], cut[1:])] for x, kind in zip(found[1:], ("<i8", "<i8", "<i4", "<i4"))]
+                blobs = [[x[i:j].astype(kind).tobytes() for i, j in zip(cut[:-1], cut[1:])] for x, kind in zip(found[1:], ("<i8", "<i4", "<i4"))]
                 out = batch(
                     {"doc_id": (b.column(0).slice(lo, hi - lo), pa.int64()), "text": ([zlib.compress(x, 1) for x in items[lo:hi]], pa.large_binary())}
                     | {name: (b.column(2 + i).slice(lo, hi - lo), None) for i, name in enumerate(more)}
-                    | {name: (x, pa.large_binary()) for name, x in zip(("anchor", "context", "start", "size"), blobs)}
+                    | {name: (x, pa.large_binary()) for name, x in zip(("anchor", "start", "size"), blobs)}
                 )
                 if writer is None:
                     writer = pq.ParquetWriter(own, out.schema, filesystem=fs, compression="none", use_dictionary=False, write_statistics=False)
@@ -126,14 +138,14 @@ def _anchor_rows(parts: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in b.column(0).to_pylist():
-                for row, x in _batches(folder, part, ["anchor", "context", "start", "size"]):
-                    blobs = [x.column(i).to_pylist() for i in range(4)]
+                for row, x in _batches(folder, part, ["anchor", "start", "size"]):
+                    blobs = [x.column(i).to_pylist() for i in range(3)]
                     counts = np.array([len(y) // 8 for y in blobs[0]])
                     rows = (part << _ROW) + row + np.repeat(np.arange(x.num_rows), counts)
-                    flat = [np.frombuffer(b"".join(y), kind) for y, kind in zip(blobs, ("<i8", "<i8", "<i4", "<i4"))]
-                    yield batch({"anchor": (flat[0], pa.int64()), "context": (flat[1], pa.int64()), "row": (rows, pa.int64()), "start": (flat[2], pa.int32()), "size": (flat[3], pa.int32())})
+                    flat = [np.frombuffer(b"".join(y), kind) for y, kind in zip(blobs, ("<i8", "<i4", "<i4"))]
+                    yield batch({"anchor": (flat[0], pa.int64()), "row": (rows, pa.int64()), "start": (flat[1], pa.int32()), "size": (flat[2], pa.int32())})
 
-    return parts.mapInArrow(tidy(run), "anchor long, context long, row long, start int, size int")
+    return parts.mapInArrow(tidy(run), "anchor long, row long, start int, size int")
 
 
 def _by_part(rows: DataFrame, parts: int) -> DataFrame:
@@ -163,62 +175,163 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.n
         yield from whole()
 
 
-def _context_rows(chosen: DataFrame, folder: str, parts: int) -> DataFrame:
-    """Rows (row, anchor, context, start, size, own, blocks) with the bytes of their context."""
+class _Contexts:
+    """Rows of _CONTEXT that are put together."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+
+    def add(self, key: int, row: int, start: int, at: int, low: int, high: int, text: bytes) -> None:
+        self.rows.append((key, row, start, len(text), at, low, high, text))
+
+    def goes(self, row: int, start: int, size: int) -> None:
+        # No key of its own is needed, so such rows are dealt out evenly.
+        self.rows.append(((row * 0x9E3779B1 + start * 0x85EBCA6B) & 0x7FFFFFFFFFFFFFFF, row, start, size, 0, 0, 0, None))
+
+    def batch(self) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.binary())
+        columns = list(zip(*self.rows)) or [[]] * 8
+        self.rows = []
+        return batch({name: (x, kind) for name, x, kind in zip(("key", "row", "start", "size", "at", "from", "to", "bytes"), columns, kinds)})
+
+
+def _anchor_places(texts_: list[bytes], keys: list[int], gram: int) -> list[int]:
+    """Where in each text the string of its anchor stands first."""
+    cut = ranges(np.array([len(x) for x in texts_]))
+    hashes = Rolling(np.frombuffer(b"".join(texts_), np.uint8)).every(gram).view(np.int64)
+    hit = np.flatnonzero(hashes == np.repeat(np.array(keys, np.int64), np.diff(cut))[: len(hashes)])
+    return (hit[np.searchsorted(hit, cut[:-1])] - cut[:-1]).tolist()
+
+
+def _context_rows(met: DataFrame, folder: str, parts: int, size: int, hot: bool) -> DataFrame:
+    """_CONTEXT of rows (row, anchor, start, size): of equal contexts of a partition one, while all of them go. hot: with the anchors' places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, (rows, anchor, context, start, size, own, blocks) in _grouped(batches):
-            rows = rows & ((1 << _ROW) - 1)
+        out = _Contexts()
+        for part, (rows, anchor, start, length) in _grouped(batches):
+            numbers = rows & ((1 << _ROW) - 1)
+            seen: dict[tuple[int, bytes], tuple[int, int] | None] = {}
+            weight = 0
             for row, x in _batches(folder, part, ["text"]):
-                lo, hi = np.searchsorted(rows, [row, row + x.num_rows])
+                lo, hi = np.searchsorted(numbers, [row, row + x.num_rows])
                 if lo == hi:
                     continue
-                out, last, text = [], -1, b""
-                for i in range(lo, hi):
-                    if rows[i] != last:
-                        last, text = rows[i], zlib.decompress(x.column(0)[int(rows[i] - row)].as_py())
-                    out.append(text[start[i] : start[i] + size[i]])
-                yield batch({"anchor": (anchor[lo:hi], pa.int64()), "context": (context[lo:hi], pa.int64()), "own": (own[lo:hi], pa.int32()), "blocks": (blocks[lo:hi], pa.int32()), "bytes": (out, pa.binary())})
+                last, text, fresh = -1, b"", []
+                own = zip(numbers[lo:hi].tolist(), rows[lo:hi].tolist(), anchor[lo:hi].tolist(), start[lo:hi].tolist(), length[lo:hi].tolist())
+                for number, row_id, key, begin, n in own:
+                    if number != last:
+                        last, text = number, zlib.decompress(x.column(0)[number - row].as_py())
+                    piece = text[begin : begin + n]
+                    if (key, piece) not in seen:
+                        seen[key, piece] = row_id, begin
+                        weight += n
+                        fresh.append((key, row_id, begin, piece))
+                        continue
+                    out.goes(row_id, begin, n)
+                    if (first := seen[key, piece]) is not None:
+                        out.goes(*first, n)
+                        seen[key, piece] = None
+                    if weight > SEEN_BYTES:
+                        seen, weight = {}, 0
+                places = _anchor_places([f[3] for f in fresh], [f[0] for f in fresh], GRAM) if hot and fresh else [0] * len(fresh)
+                for (key, row_id, begin, piece), at in zip(fresh, places):
+                    out.add(key, row_id, begin, at, 0, size - GRAM + 1, piece)
+                yield out.batch()
+
+    return _by_part(met.select("row", "anchor", "start", "size"), parts).mapInArrow(tidy(run), _CONTEXT)
+
+
+def _narrowed(contexts: DataFrame, size: int) -> DataFrame:
+    """Contexts once each (all of equal ones go), in two halves by the place of the anchor in their windows.
+
+    The key of a half is what all of its windows hold around the anchor. Halves of a single place are one window, and need no other key.
+    """
+
+    def halves(out: _Contexts, row: int, start: int, at: int, low: int, high: int, text: bytes) -> None:
+        middle = (low + high) // 2
+        for a, b in ((low, middle), (middle, high)):
+            # A window that starts at s has the anchor at place at - s.
+            first, end = max(0, at - b + 1), min(len(text) - size, at - a) + 1
+            if a < b and first < end:
+                key = xxhash.xxh64_intdigest(text[at - a : at - b + 1 + size], a << 16 | b)
+                out.add(key - (1 << 64) * (key >> 63), row, start + first, at - first, a, b, text[first : end - 1 + size])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held, alone = _Contexts(), None, True
+        for b in batches:
+            for key, row, start, at, low, high, text in zip(*(b.column(i).to_pylist() for i in range(7))):
+                if held is not None and (held[0], held[-1]) == (key, text):
+                    out.goes(row, start, len(text))
+                    if alone:
+                        out.goes(held[1], held[2], len(text))
+                    alone = False
+                    continue
+                if held is not None and held[5] - held[4] > 1:
+                    halves(out, *held[1:])
+                held, alone = (key, row, start, at, low, high, text), True
+            yield out.batch()
+        if held is not None and held[5] - held[4] > 1:
+            halves(out, *held[1:])
+            yield out.batch()
 
-    return _by_part(chosen, parts).mapInArrow(tidy(run), "anchor long, context long, own int, blocks int, bytes binary")
+    dealt = contexts.select("key", "row", "start", "at", "from", "to", "bytes").repartition(F.col("key"), F.xxhash64("bytes")).sortWithinPartitions("key", "bytes")
+    return dealt.mapInArrow(tidy(run), _CONTEXT)
 
 
-def _joined(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
-    """An inner join that is never broadcast: the rows come out of files whose size the optimizer doesn't know."""
-    return a.hint("merge").join(b.hint("merge"), list(keys))
+def _cooled(contexts: DataFrame, size: int) -> DataFrame:
+    """_CONTEXT with at most HOT contexts of a key; those whose key no other has are dropped.
+
+    A round halves the places that a key stands for, and then a key has only equal windows, of which one stays: there are few rounds.
+    """
+    live, out = checkpoint(contexts), None
+    while True:
+        counts = checkpoint(live.where("bytes is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+        met = joined_to_counts(live.where("bytes is not null"), counts, ["key"])
+        cold = live.where("bytes is null").unionByName(met.where(F.col("n") <= HOT).drop("n"))
+        out = cold if out is None else out.unionByName(cold)
+        if not counts.where(F.col("n") > HOT).limit(1).count():
+            return out
+        live = checkpoint(_narrowed(met.where(F.col("n") > HOT), size))
 
 
-def _repeated_windows(contexts: DataFrame, size: int) -> DataFrame:
-    """(anchor, context, from, to): runs of a context's windows that stand again in a context of the same anchor.
+def _stretches(contexts: DataFrame, size: int) -> DataFrame:
+    """_STRETCH of what goes: rows without bytes, and the windows of contexts that stand again in a context of their key.
 
-    Rows (anchor, block, context, bytes) come with those of an anchor and block together.
+    Rows (key, row, start, size, bytes) come with those of a key together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
-        weight = 0
-
-        def merged(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-            # A context stands in several blocks of its anchor; here it must be once.
-            rows = list({(anchor, context): (anchor, block, context, text) for anchor, block, context, text in rows}.values())
-            out: list[tuple[int, int, int, int]] = []
-            for (anchor, _, context, _), mask in zip(rows, repeated([r[3] for r in rows], size)):
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).view(np.int8)))
-                out += [(anchor, context, int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])]
-            columns = list(zip(*out)) or [[]] * 4
-            return batch({"anchor": (columns[0], pa.int64()), "context": (columns[1], pa.int64()), "from": (columns[2], pa.int32()), "to": (columns[3], pa.int32())})
+        held: list[tuple[int, int, bytes]] = []
+        weight, last = 0, None
+
+        def merged() -> Iterator[tuple[int, int, int]]:
+            held.sort(key=lambda x: x[:2])  # a shard's contexts are from the same partitions
+            for (row, start, _), mask in zip(held, repeated([x[2] for x in held], size)):
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).view(np.int8))).tolist()
+                for a, b in zip(edges[::2], edges[1::2]):
+                    yield row, start + a, start + b + size - 1
+            held.clear()
+
+        def out(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            columns = list(zip(*found)) or [[]] * 3
+            return batch({"row": (columns[0], pa.int64()), "start": (columns[1], pa.int32()), "end": (columns[2], pa.int32())})
 
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if weight > MERGE_BYTES and r[:2] != held[-1][:2]:
-                    yield merged(held)
-                    held, weight = [], 0
-                held.append(r)
-                weight += len(r[3])
-        if held:
-            yield merged(held)
+            found = []
+            for key, row, start, n, text in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if text is None:
+                    found.append((row, start, start + n))
+                    continue
+                if weight > MERGE_BYTES and key != last:
+                    found += merged()
+                    weight = 0
+                held.append((row, start, text))
+                weight, last = weight + len(text), key
+            yield out(found)
+        yield out(list(merged()))
 
-    return contexts.mapInArrow(tidy(run), "anchor long, context long, `from` int, `to` int")
+    dealt = contexts.select("key", "row", "start", "size", "bytes").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(tidy(run), _STRETCH)
 
 
 def _finish(removed: DataFrame, folder: str, parts: int, schema: str, make) -> DataFrame:
@@ -290,20 +403,13 @@ def _removed(source: DataFrame, size: int, schema: str, make) -> DataFrame:
     parts = max((p for p, _ in listed), default=0) + 1
     files = spark.createDataFrame([(p,) for p, _ in listed], "part int").repartitionById(parts, F.col("part"))
     rows = _anchor_rows(files, folder)
-    again = checkpoint(rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1"))
-    met = checkpoint(joined_to_counts(rows, again, ["anchor"]).select("anchor", "context", "row", "start", "size", (F.col("low") == F.col("high")).alias("sure")))
-    unsure = met.where(~F.col("sure"))
-    kinds = checkpoint(unsure.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.first("row").alias("row"), F.first("start").alias("start"), F.first("size").alias("size")))
-    width = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    counted = joined_to_counts(kinds, width, ["anchor"], "kinds").withColumn("blocks", F.ceil(F.col("kinds") / CONTEXTS).cast("int"))
-    chosen = counted.select("row", "anchor", "context", "start", "size", F.pmod("context", F.col("blocks").cast("long")).cast("int").alias("own"), "blocks")
-    contexts = _context_rows(chosen, folder, parts)
-    pairs = contexts.select("anchor", "context", "bytes", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    block = (F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")).alias("block")
-    dealt = pairs.select("anchor", block, "context", "bytes").repartition("anchor", "block").sortWithinPartitions("anchor", "block")
-    found = _repeated_windows(dealt, size)
-    whole = met.where("sure").select("row", "start", (F.col("start") + F.col("size")).alias("end"))
-    equal = joined_to_counts(unsure, kinds.where("n > 1").select("anchor", "context", "n"), ["anchor", "context"]).select("row", "start", (F.col("start") + F.col("size")).alias("end"))
-    partly = _joined(kinds.where("n = 1"), found, "anchor", "context").select("row", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to") + (size - 1)).alias("end"))
-    none = spark.createDataFrame([(p << _ROW, -1, -1) for p, _ in listed], "row long, start int, end int")  # so that each file is read
-    return _finish(whole.unionByName(equal).unionByName(partly).unionByName(none), folder, parts, schema, make)
+    again = checkpoint(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    met = joined_to_counts(rows, again, ["anchor"])
+    if again.where(F.col("n") > HOT).limit(1).count():
+        met = checkpoint(met)
+        hot = _cooled(_context_rows(met.where(F.col("n") > HOT), folder, parts, size, True), size)
+        contexts = _context_rows(met.where(F.col("n") <= HOT), folder, parts, size, False).unionByName(hot)
+    else:
+        contexts = _context_rows(met, folder, parts, size, False)
+    none = spark.createDataFrame([(p << _ROW, -1, -1) for p, _ in listed], _STRETCH)  # so that each file is read
+    return _finish(_stretches(contexts, size).unionByName(none), folder, parts, schema, make)

@@ -330,12 +330,15 @@ def test_repeats(spark, table):
         assert texts[i] == bytes(np.frombuffer((t or "").encode(), np.uint8)[~gone]).decode("utf-8", "ignore")
 
 
-def test_repeats_in_blocks(spark, monkeypatch):
-    """An anchor with many different contexts, cut into pairs of blocks."""
-    monkeypatch.setattr(suffix, "CONTEXTS", 3)
+@pytest.mark.parametrize("hot", [1, 3, 10])
+def test_frequent_anchors(spark, monkeypatch, hot):
+    """Anchors with many contexts, equal and different ones, are narrowed."""
+    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "SEEN_BYTES", 500)
     rng = random.Random(1)
     common = prose(rng, 30)[:150]
     rows = [(i, prose(rng, 20 + i % 3)[: 60 + i] + common + (prose(random.Random(i % 4), 30)), None) for i in range(40)]
+    rows += [(100 + i, common + "!" + common[:120] + str(i // 3), None) for i in range(30)] + [(200 + i, "same text " * 40, None) for i in range(30)]
     masks = brute_repeats([t.encode() for _, t, _ in rows], 200)
     got = {r.doc_id: r.n_removed for r in suffix.remove_repeats(make(spark, rows)).collect()}
     assert got == {i: int(g.sum()) for (i, _, _), g in zip(rows, masks)} and any(got.values())
@@ -425,7 +428,7 @@ def test_long_texts_in_parts(monkeypatch):
     whole, parts = suffix.anchors([text]), suffix.anchors_in_parts([text], most=700)
 
     def windows(found):
-        return {x: (a, x - s) for a, s, n in zip(*(found[i].tolist() for i in (1, 3, 4))) for x in range(s, s + n - 199)}
+        return {x: (a, x - s) for a, s, n in zip(*(found[i].tolist() for i in (1, 2, 3))) for x in range(s, s + n - 199)}
 
     assert windows(whole).keys() == windows(parts).keys() == set(range(len(text) - 199))
     assert {x: a for x, (a, _) in windows(whole).items()} == {x: a for x, (a, _) in windows(parts).items()}
