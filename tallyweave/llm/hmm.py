@@ -4,10 +4,15 @@ A state emits a symbol: one of the most frequent words, the end, or, for any
 other word, a class given by its first and last letters; within its class a
 word has its smoothed share, whatever the state. So the probability of a text
 is that of its symbols, by the scaled forward recursion, times the shares of
-its rarer words. Baum-Welch counts are taken over every training document in
-each partition and added up; what is broadcast (the frequent words, the
+its rarer words. Baum-Welch counts are taken over every whole training document
+in each partition and added up; what is broadcast (the frequent words, the
 parameters) has a fixed size, and counts of rarer words meet the texts in a
 join.
+
+A long text is taken in runs side by side, without a cut between them: the
+product of a run's steps and emissions, a matrix of states, carries the forward
+chances over it, and back over it the backward ones, so that each run starts
+and ends with what the whole text gives there.
 """
 
 from __future__ import annotations
@@ -29,8 +34,8 @@ STATES, FREQUENT, CLASSES = 8, 30_000, 4096
 ROUNDS = 3
 #: Distinct words that a task counts in memory before it hands them on.
 HELD_WORDS = 300_000
-#: Symbols in a row that training takes at once; longer texts are counted in runs. Scores go through whole texts.
-TRAIN_RUN = 512
+#: Symbols of a run, and symbols whose chances are held at once. Neither changes any result.
+RUN, HELD_SYMBOLS = 512, 1 << 19
 #: Bytes of codes that are scored at once, longer texts alone.
 SCORE_BYTES = 2 << 20
 #: What smoothing adds to expected emission and transition counts.
@@ -89,6 +94,11 @@ class Symbols:
         return np.array(got, np.int32)
 
 
+def code_type(size: int) -> str:
+    """How codes of so many symbols are written."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 class Model:
     """start (states), step (states x states) and emit (symbols x states)."""
 
@@ -146,33 +156,113 @@ def forward(model: Model, texts_: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _products(model: Model, runs: list[np.ndarray]) -> np.ndarray:
+    """For each run the product of its steps and emissions, each up to a factor."""
+    codes, active, order = by_position(runs)
+    back = np.ascontiguousarray(model.step.T, np.float32)
+    emits = np.ascontiguousarray((model.emit / model.emit.max(1, keepdims=True)).T, np.float32)
+    # By row of the matrices, then by column, then by run, which are many.
+    product = np.zeros((STATES, STATES, len(runs)), np.float32)
+    product[range(STATES), range(STATES)] = 1
+    at = 0
+    for t, n in enumerate(active):
+        now = back @ product[:, :, :n]
+        now *= emits[:, codes[at : at + n]]
+        if t % 4 == 3:
+            now /= now.max((0, 1))
+        product[:, :, :n] = now
+        at += n
+    out = np.empty((len(runs), STATES, STATES))
+    out[order] = product.transpose(2, 0, 1)
+    return out
+
+
+def _carried(model: Model, texts_: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' runs, which of them begin a text, the forward chances before each (0 for those) and the backward ones after it, up to a factor."""
+    runs, owner = [], []
+    for k, x in enumerate(texts_):
+        parts = [x[i : i + RUN] for i in range(0, len(x), RUN)]
+        runs += parts
+        owner += [k] * len(parts)
+    owner = np.array(owner)
+    first = np.concatenate([[True], owner[1:] != owner[:-1]])
+    before, after = np.zeros((len(runs), STATES)), np.ones((len(runs), STATES))
+    long = np.flatnonzero(~first | np.append(~first[1:], False))  # runs of texts that have several
+    if len(long):
+        products, at_once = np.empty((len(runs), STATES, STATES)), max(1, HELD_SYMBOLS // RUN)
+        for lo in range(0, len(long), at_once):
+            part = long[lo : lo + at_once]
+            products[part] = _products(model, [runs[i] for i in part])
+        # The first runs of such texts are whole ones; a first symbol has no step before it.
+        heads = long[first[long]]
+        codes = np.stack([runs[i] for i in heads], axis=1)
+        chances = model.start * model.emit[codes[0]]
+        for c in codes[1:]:
+            chances = (chances / chances.sum(1, keepdims=True) @ model.step) * model.emit[c]
+        heads = dict(zip(heads.tolist(), chances / chances.sum(1, keepdims=True)))
+        for i in long.tolist():
+            if i in heads:
+                chance = heads[i]
+            else:
+                before[i] = chance
+                chance = chance @ products[i]
+                chance /= chance.sum()
+        for i in long[::-1]:
+            if i + 1 < len(runs) and not first[i + 1]:
+                after[i] = products[i + 1] @ after[i + 1]
+                after[i] /= after[i].max()
+    return runs, first, before, after
+
+
 def expected(model: Model, texts_: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts of some coded texts: start, step, emit."""
-    codes, active, _ = by_position(texts_)
+    """Baum-Welch counts of some whole coded texts: start, step, emit."""
+    runs, first, before, after = _carried(model, texts_)
+    sums, lo = (np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((size, STATES))), 0
+    while lo < len(runs):
+        hi, held = lo, 0
+        while hi < len(runs) and (hi == lo or held + len(runs[hi]) <= HELD_SYMBOLS):
+            held += len(runs[hi])
+            hi += 1
+        for total, x in zip(sums, _expected_in_runs(model, runs[lo:hi], first[lo:hi], before[lo:hi], after[lo:hi], size)):
+            total += x
+        lo = hi
+    return sums
+
+
+def _expected_in_runs(model: Model, runs: list[np.ndarray], starts: np.ndarray, before: np.ndarray, after: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    codes, active, order = by_position(runs)
+    # By state, then by run, which are many.
+    starts = starts[order]
+    before, after = (np.ascontiguousarray(x[order].T, np.float32) for x in (before, after))
     first = np.concatenate([[0], np.cumsum(active)])
-    step, emits, ones = model.step.astype(np.float32), model.emit.astype(np.float32), np.ones(STATES, np.float32)
-    begin = model.start.astype(np.float32)
-    alphas = np.empty((len(codes), STATES), np.float32)
-    scales = np.empty(len(codes), np.float32)
+    step, emits = model.step.astype(np.float32), np.ascontiguousarray(model.emit.T, np.float32)
+    back = np.ascontiguousarray(step.T)
+    alphas, scales = np.empty((STATES, len(codes)), np.float32), np.empty(len(codes), np.float32)
+    alpha = np.where(starts, model.start.astype(np.float32)[:, None], back @ before)
     for t, n in enumerate(active):
-        a = first[t]
-        emit = emits[codes[a : a + n]]
-        alpha = emit * begin if t == 0 else (alphas[first[t - 1] : first[t - 1] + n] @ step) * emit
-        scales[a : a + n] = scale = alpha @ ones
-        alphas[a : a + n] = alpha / scale[:, None]
+        here = slice(first[t], first[t] + n)
+        alpha = (alpha if t == 0 else back @ alpha[:, :n]) * emits[:, codes[here]]
+        scales[here] = scale = alpha.sum(0)
+        alpha /= scale
+        alphas[:, here] = alpha
     steps = np.zeros((STATES, STATES))
-    beta = np.ones((len(texts_), STATES), np.float32)
+    beta, ends = after, np.append(active[1:], 0)
     gamma = alphas
     for t in range(len(active) - 1, -1, -1):
-        a, n = first[t], active[t]
-        if t + 1 < len(active):
-            b, m = first[t + 1], active[t + 1]
-            after = emits[codes[b : b + m]] * beta[:m] / scales[b : b + m, None]
-            steps += alphas[a : a + m].T @ after
-            beta[:m] = after @ step.T
-        gamma[a : a + n] *= beta[:n]  # alphas of t are used no more
-    emit = np.stack([np.bincount(codes, weights=np.ascontiguousarray(gamma[:, k]), minlength=size) for k in range(STATES)], axis=1)
-    return gamma[: active[0]].sum(0), steps * step, emit
+        a, n, m = first[t], active[t], ends[t]  # from m on, runs end here
+        if m < n:
+            beta[:, m:n] /= (alphas[:, a + m : a + n] * beta[:, m:n]).sum(0)
+        if m:
+            after_it = slice(first[t + 1], first[t + 1] + m)
+            ahead = emits[:, codes[after_it]] * beta[:, :m]
+            ahead /= scales[after_it]
+            steps += alphas[:, a : a + m] @ ahead.T
+            beta[:, :m] = step @ ahead
+        if t == 0:
+            steps += before @ (emits[:, codes[:n]] * beta[:, :n] / scales[:n]).T  # the step into a run that goes on
+        gamma[:, a : a + n] *= beta[:, :n]  # alphas of t are used no more
+    emit = np.stack([np.bincount(codes, weights=x, minlength=size) for x in gamma], axis=1)
+    return gamma[:, : active[0]][:, starts].sum(1), steps * step, emit
 
 
 def _pack(parts: tuple[np.ndarray, ...]) -> bytes:
@@ -186,7 +276,7 @@ def _unpack(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def train(coded: DataFrame, size: int, shares: np.ndarray, rounds: int = ROUNDS) -> Model:
     """Baum-Welch over all rows (codes binary); each task's counts go, slice by slice, to sums over tasks."""
-    spark = coded.sparkSession
+    spark, kind = coded.sparkSession, code_type(size)
     model = Model.first(shares * 1e6)
     slices = 16  # of a task's counts, so that their sums are made by several tasks
     for _ in range(rounds):
@@ -197,8 +287,7 @@ def train(coded: DataFrame, size: int, shares: np.ndarray, rounds: int = ROUNDS)
             for b in batches:
                 items = b.column(0).to_pylist()
                 for lo, hi in by_bytes(items, 1 << 20):
-                    runs = [np.frombuffer(x, "<u2")[i : i + TRAIN_RUN] for x in items[lo:hi] for i in range(0, len(x) // 2, TRAIN_RUN)]
-                    got = expected(own, runs, size)
+                    got = expected(own, [np.frombuffer(x, kind) for x in items[lo:hi]], size)
                     sums = got if sums is None else tuple(x + y for x, y in zip(sums, got))
             if sums is not None:
                 data = np.array_split(np.frombuffer(_pack(sums), "<f8"), slices)
@@ -222,22 +311,24 @@ def train(coded: DataFrame, size: int, shares: np.ndarray, rounds: int = ROUNDS)
     return model
 
 
-def _cut(words: DataFrame) -> int:
-    """The least bound that at most FREQUENT words' counts are above."""
+def _most_frequent(words: DataFrame, most: int) -> dict[bytes, int]:
+    """The most frequent words with their counts, ties by the word. Only about as many are sorted."""
     digits = F.greatest(F.floor(F.log2("c")) - 9, F.lit(0)).cast("int")  # of a count, all but the first ten bits are dropped
     kinds = words.select((F.expr("c") - F.pmod(F.col("c"), F.pow(F.lit(2), digits).cast("long"))).alias("low")).groupBy("low").agg(F.count("*").alias("n")).collect()
-    taken = 0
+    taken, least = 0, 0
     for low, n in sorted(kinds, reverse=True):
-        if taken + n > FREQUENT:
-            return low + (1 << max(0, low.bit_length() - 10)) - 1
-        taken += n
-    return 0
+        taken, least = taken + n, low
+        if taken >= most:
+            break
+    return {bytes(r["word"]): r["c"] for r in words.where(F.col("c") >= least).orderBy(F.desc("c"), "word").limit(most).collect()}
 
 
-def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, rounds: int = ROUNDS, frequent_words: int = FREQUENT) -> DataFrame:
     """Scores of all documents by a model of those whose crc32(doc_id as text) mod 5 isn't 1.
 
-    Null and empty texts are the end alone; a null doc_id's remainder counts as
+    frequent_words: how many words have a symbol, and so chances of their own in
+    each state; with as many as there are words, all have. They are broadcast.
+    Texts count and are scored whole, however long. Null and empty texts are the end alone; a null doc_id's remainder counts as
     0, so such rows train; rows with equal doc_id are each scored, as they are
     each counted; an empty table gives an empty result. If nothing trains, all
     words are unknown.
@@ -248,7 +339,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     counts = checkpoint(count_words(source.where(~held)))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words = counts.where(F.col("word") != F.lit(END).cast("binary"))
-    frequent = {bytes(r["word"]): r["c"] for r in words.where(F.col("c") > _cut(words)).orderBy(F.desc("c"), "word").collect()}
+    frequent = _most_frequent(words, frequent_words)
     symbols = Symbols(list(frequent))
     ends = counts.where(F.col("word") == F.lit(END).cast("binary")).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
 
@@ -275,7 +366,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     known = np.concatenate([np.fromiter(frequent.values(), float, len(frequent)), [ends]])
     base_known = np.concatenate([np.log10((known + 0.5) / base_all), np.zeros(CLASSES)])
 
-    assert symbols.size <= 1 << 16
+    kind_of_code = code_type(symbols.size)
     names = spark.sparkContext.broadcast((symbols, base_known))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +386,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                     "n_tokens": ([len(c) for c in codes], pa.int64()),
                     "sure": ([int((c <= end).sum()) for c in codes], pa.int64()),
                     "base": ([float(base[c].sum()) for c in codes], pa.float64()),
-                    "codes": ([c.astype("<u2").tobytes() for c in codes], pa.binary()),
+                    "codes": ([c.astype(kind_of_code).tobytes() for c in codes], pa.binary()),
                     "words": (pa.array([list(r) for r in rare], pa.list_(pa.binary())), None),
                     "times": (pa.array([list(r.values()) for r in rare], pa.list_(pa.int32())), None),
                 }
@@ -313,7 +404,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         for b in gathered(batches, SCORE_BYTES):
             codes = b.column(6).to_pylist()
             for lo, hi in by_bytes(codes, SCORE_BYTES):
-                scores = forward(own, [np.frombuffer(x, "<u2") for x in codes[lo:hi]])
+                scores = forward(own, [np.frombuffer(x, kind_of_code) for x in codes[lo:hi]])
                 cut = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*cut.columns[:6], pa.array(scores, pa.float64())], names=["row", "doc_id", "held_out", "n_tokens", "sure", "base", "score"])
 

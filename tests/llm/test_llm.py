@@ -124,6 +124,61 @@ def test_baum_welch_raises_the_likelihood():
     assert abs(start.sum() - 1) < 1e-4 and abs(step.sum() - 2) < 1e-4 and np.allclose(emit.sum(1)[[1, 2, 3]], 1, atol=1e-4)
 
 
+def brute_counts(model, text):
+    """Expected start, step and emit counts of one text, in plain scaled recursions."""
+    n = len(text)
+    alpha, beta, scale = np.zeros((n, hmm.STATES)), np.ones((n, hmm.STATES)), np.zeros(n)
+    for t, c in enumerate(text):
+        alpha[t] = (model.start if t == 0 else alpha[t - 1] @ model.step) * model.emit[c]
+        scale[t] = alpha[t].sum()
+        alpha[t] /= scale[t]
+    step, emit = np.zeros_like(model.step), np.zeros_like(model.emit)
+    for t in range(n - 2, -1, -1):
+        ahead = model.emit[text[t + 1]] * beta[t + 1] / scale[t + 1]
+        step += np.outer(alpha[t], ahead) * model.step
+        beta[t] = model.step @ ahead
+    np.add.at(emit, text, alpha * beta)
+    return alpha[0] * beta[0], step, emit
+
+
+@pytest.mark.parametrize("run", [1, 7, 512])
+def test_counts_are_those_of_whole_texts(monkeypatch, run):
+    monkeypatch.setattr(hmm, "RUN", run)
+    monkeypatch.setattr(hmm, "HELD_SYMBOLS", 900)
+    rng = np.random.default_rng(4)
+    model = hmm.Model.first(rng.uniform(1, 9, 50) ** 3)
+    model = hmm.Model.fitted(np.arange(hmm.STATES) * 3.0, rng.uniform(0, 9, (hmm.STATES, hmm.STATES)) ** 2, model.emit * 1000, np.full(50, 1 / 50))
+    texts = [rng.integers(0, 50, n) for n in (2000, 1, 3, 512, 513, 40, 1025)]
+    want = [sum(x) for x in zip(*(brute_counts(model, t) for t in texts))]
+    for got, x in zip(hmm.expected(model, texts, 50), want):
+        assert np.allclose(got, x, rtol=2e-3, atol=2e-3)
+
+
+def test_scores_of_rarer_words(spark, table, monkeypatch):
+    """score against the model's definition, with few words that have symbols of their own."""
+    held = []
+    monkeypatch.setattr(hmm, "train", lambda coded, size, shares, rounds: held.append(hmm.Model.first(shares * 1e6)) or held[-1])
+    got = by_id(hmm.score(make(spark, table), frequent_words=25))
+    model = held[0]
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    counts = Counter(w for i, t, _ in table if not out(i) for w in lowered(t))
+    own = {w: k for k, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w.encode()))[:25])}
+    kind = lambda w: hmm.word_class(w.encode())
+    in_class, kinds = Counter(), Counter()
+    for w, c in counts.items():
+        if w not in own:
+            in_class[kind(w)] += c
+            kinds[kind(w)] += 1
+    for i, t, _ in table:
+        words, alpha, total = lowered(t), None, 0.0
+        for code in [own[w] if w in own else 26 + kind(w) for w in words] + [25]:
+            alpha = (model.start if alpha is None else alpha @ model.step) * model.emit[code]
+            total += log10(alpha.sum())
+            alpha /= alpha.sum()
+        total += sum(log10((counts[w] + 0.5) / (in_class[kind(w)] + 0.5 * (kinds[kind(w)] + 1))) for w in words if w not in own)
+        assert abs(got[i][0].score - total) < 1e-6 * max(1, abs(total))
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
