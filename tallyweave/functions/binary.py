@@ -115,26 +115,35 @@ def height_push_hex(height: Column) -> Column:
     return F.concat(little_endian_hex((F.length(number) / 2).cast("long"), 1), number)
 
 
-def merkle_level(level: Column) -> Column:
-    """The level above: hashes of pairs, the last one with itself where it stands alone."""
+def _pairs(level: Column) -> Column:
+    """Hashes of pairs, the last one with itself where it stands alone."""
     pair = lambda i: F.concat(F.element_at(level, (2 * i + 1).cast("int")), F.element_at(level, F.least(2 * i + 2, F.size(level)).cast("int")))
-    return F.when(F.size(level) > 1, F.transform(F.sequence(F.lit(0), F.floor((F.size(level) - 1) / 2).cast("int")), lambda i: sha256d(pair(i)))).otherwise(level)
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(level) - 1) / 2).cast("int")), lambda i: sha256d(pair(i)))
+
+
+def merkle_fold(leaves: Column, levels: Column, whole: Column) -> Column:
+    """STRUCT<node, bad> of a tree's top after some levels over one leaf or more: bad if real siblings are equal at any of them.
+
+    whole: the leaves are all of the tree, which then ends where one node is
+    left; else they are a part of it, and a last node alone is paired with itself
+    up to the top.
+    """
+    twins = lambda level: F.exists(F.sequence(F.lit(1), F.greatest(F.size(level) - 1, F.lit(1)), F.lit(2)), lambda i: F.coalesce(F.get(level, i - 1) == F.get(level, i), F.lit(False)))
+    start = F.struct(leaves.alias("level"), F.lit(False).alias("bad"))
+    more = lambda level: (F.size(level) > 1) | ~whole
+    step = lambda s, _: F.struct(F.when(more(s["level"]), _pairs(s["level"])).otherwise(s["level"]).alias("level"), (s["bad"] | twins(s["level"])).alias("bad"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))), start, step, lambda s: F.struct(F.element_at(s["level"], 1).alias("node"), s["bad"].alias("bad")))
 
 
 def _levels(leaves: Column) -> Column:
-    """One item for each level above the leaves, one at least."""
-    return F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(F.greatest(F.size(leaves), F.lit(1)))), F.lit(1)).cast("int"))
+    return F.ceil(F.log2(F.greatest(F.size(leaves), F.lit(1)))).cast("int")
 
 
 def merkle_root(leaves: Column) -> Column:
-    """The root over 32-byte hashes; 32 zero bytes for none."""
-    top = F.aggregate(_levels(leaves), leaves, lambda level, _: merkle_level(level))
-    return F.when(F.size(leaves) == 0, F.unhex(F.lit("00" * 32))).otherwise(F.element_at(top, 1))
+    """The root over an array of 32-byte hashes; 32 zero bytes for none. For trees of one row; validate.merkle_roots takes any."""
+    return F.when(F.size(leaves) == 0, F.unhex(F.lit("00" * 32))).otherwise(merkle_fold(leaves, _levels(leaves), F.lit(True))["node"])
 
 
 def merkle_mutated(leaves: Column) -> Column:
     """Whether two real siblings are equal at any level, so that another list of leaves has the same root."""
-    twins = lambda level: F.exists(F.sequence(F.lit(1), F.greatest(F.size(level) - 1, F.lit(1)), F.lit(2)), lambda i: F.coalesce(F.get(level, i - 1) == F.get(level, i), F.lit(False)))
-    start = F.struct(leaves.alias("level"), F.lit(False).alias("bad"))
-    step = lambda s, _: F.struct(merkle_level(s["level"]).alias("level"), (s["bad"] | twins(s["level"])).alias("bad"))
-    return F.aggregate(_levels(leaves), start, step, lambda s: s["bad"])
+    return F.when(F.size(leaves) == 0, False).otherwise(merkle_fold(leaves, _levels(leaves), F.lit(True))["bad"])

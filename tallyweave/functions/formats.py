@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Units, from the smallest, and the sizes of those of time.
 BINARY_UNITS = ("B", "KiB", "MiB", "GiB", "TiB", "PiB")
 DECIMAL_UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
 PLAIN_UNITS = ("", "K", "M", "G", "T", "P", "E", "Z")
@@ -43,9 +44,15 @@ def difficulty(value: Column) -> Column:
     return scaled(value, 1000, PLAIN_UNITS, "")
 
 
+#: Hashes a second are shown as difficulties are, without a unit of their own.
 hash_rate = difficulty
 
 
+def hues(digits: Column) -> Column:
+    """The hues of a hash's stripe, one for each byte of its hex digits: 0 to 360 degrees."""
+    return F.transform(F.regexp_extract_all(digits, F.lit("(..)"), F.lit(1)), lambda x: F.floor(F.conv(x, 16, 10).cast("double") / 255 * 360 + 0.5).cast("int"))
+
+
 def height(value: Column) -> Column:
     return F.format_number(value, 0)
 
@@ -58,7 +65,7 @@ def date(ts: Column) -> Column:
     return F.date_format(ts, "M/d/yyyy")
 
 
-def bitcoin(sats: Column) -> Column:
+def coins(sats: Column) -> Column:
     """Whole and part coins from the smallest unit, two decimals."""
     return F.concat(F.when(sats < 0, "-").otherwise(""), F.lit("BTC "), F.format_number((F.abs(sats) / F.lit(100_000_000).cast("decimal(9,0)")).cast("decimal(38,8)"), 2))
 

@@ -6,11 +6,14 @@ height, so a chain of any length is checked in parallel.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.work import EPOCH, meets_target, target_hex, work_table
-from .prefix import with_running_sum
+from ..plans.shared import checkpoint
+from .prefix import with_index, with_running_sum
 
 
 def with_link(headers: DataFrame) -> DataFrame:
@@ -51,27 +54,75 @@ def with_cumulative_work(headers: DataFrame) -> DataFrame:
     return with_running_sum(with_work(headers), "cumulative_work", F.col("work").cast("decimal(38,0)"), F.floor(F.col("height") / EPOCH), ["height"])
 
 
+def _reach(headers: DataFrame, weight: Column) -> list[DataFrame]:
+    """By round, where each header's pointers lead: (hash, up, far, weight), far headers on, these weighing so much with itself.
+
+    Each round doubles how far that is, until it is out of the headers, so a
+    chain of n takes about log2(n) rounds; equal headers count once.
+    """
+    reach = checkpoint(headers.select("hash", F.col("prev_hash").alias("up"), F.lit(1).cast("long").alias("far"), weight.cast("decimal(38,0)").alias("weight")).dropDuplicates(["hash"]))
+    rounds = [reach]
+    for _ in range(max(1, reach.count()).bit_length() + 1):  # more would be a circle
+        on = reach.select(F.col("hash").alias("up"), F.col("up").alias("further"), F.col("far").alias("more"), F.col("weight").alias("heavier"))
+        met = reach.join(on, "up", "left")
+        grown = [F.coalesce("further", "up").alias("up"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), (F.col("weight") + F.coalesce("heavier", F.lit(0))).cast("decimal(38,0)").alias("weight")]
+        new = checkpoint(met.select("hash", *grown, F.col("further").isNotNull().alias("moved")))
+        if not new.where("moved").limit(1).count():
+            break
+        reach = new.drop("moved")
+        rounds.append(reach)
+    return rounds
+
+
+def with_heights(headers: DataFrame, known: DataFrame) -> DataFrame:
+    """Headers (hash, prev_hash, ...) in any order, with the height that their pointers give them above known ones (hash, height).
+
+    Headers whose pointers lead to no known one have a null height, as have
+    those on a circle.
+    """
+    base = known.select(F.col("hash").alias("up"), F.col("height").alias("__base"))
+    placed = _reach(headers, F.lit(0))[-1].join(base, "up", "left").select("hash", (F.col("__base") + F.col("far")).alias("height"))
+    return headers.drop("height").join(placed, "hash")
+
+
+def heaviest(headers: DataFrame) -> DataFrame:
+    """Of headers (hash, prev_hash, bits, ...), the branch of most work that leads to one of them, from where it leaves all of them on."""
+    rounds = _reach(with_work(headers), F.col("work"))
+    best = rounds[-1].orderBy(F.desc("weight"), "hash").select("hash").limit(1)
+    on_branch = checkpoint(best)
+    for reach in reversed(rounds):
+        further = reach.join(on_branch, "hash", "left_semi").select(F.col("up").alias("hash"))
+        on_branch = checkpoint(on_branch.unionByName(further).distinct())
+    return headers.join(on_branch, "hash", "left_semi")
+
+
 def choose_branch(ours: DataFrame, branch: DataFrame) -> DataFrame:
     """The canonical headers after branch, a batch linked to one of ours, is offered.
 
     The valid prefix of branch is taken if it extends our tip, or has strictly
     more work than ours above the height it leaves from; else, and if it
     attaches nowhere, ours stay. Heights of branch count from 0 on input order
-    and are set here.
+    and are set here. Only where it leaves and the tip are looked for in all of
+    ours; work is summed above the split alone.
     """
-    first = branch.agg(F.min_by("prev_hash", "height").alias("hash"), F.min("height").alias("__base"))
-    split = ours.join(F.broadcast(first), "hash").select(F.col("height").alias("__split"), "__base")
-    good = valid_prefix(branch)
-    placed = good.join(F.broadcast(split)).withColumn("height", F.col("height") - F.col("__base") + F.col("__split") + 1)
-    tip = ours.agg(F.max("height").alias("__tip"))
-    theirs = with_work(placed.drop("__split", "__base")).agg(F.sum("work").alias("__theirs"))
-    mine = with_work(ours).join(F.broadcast(split)).where("height > __split").agg(F.sum("work").alias("__mine"))
-    verdict = split.select("__split").crossJoin(tip).crossJoin(theirs).crossJoin(mine)  # one row each
-    verdict = verdict.select("__split", ((F.col("__split") == F.col("__tip")) | (F.col("__theirs") > F.coalesce("__mine", F.lit(0)))).alias("__take"))
-    verdict = F.broadcast(verdict)
-    kept = ours.join(verdict, how="left").where("__take is null or not __take or height <= __split").drop("__take", "__split")
-    taken = placed.drop("__split", "__base").join(verdict).where("__take").drop("__take", "__split")
-    return kept.unionByName(taken.select(*kept.columns))
+    split, take, placed = weighed(ours, branch)
+    if not take:
+        return ours
+    return ours.where(F.col("height") <= split).unionByName(placed.select(*ours.columns))
+
+
+def weighed(ours: DataFrame, branch: DataFrame) -> tuple[int | None, bool, DataFrame | None]:
+    """The height that branch leaves from, whether it is taken, and its valid prefix with heights above that."""
+    first = branch.agg(F.min_by("prev_hash", "height").alias("hash"), F.min("height").alias("base")).first()
+    split, tip = ours.agg(F.max(F.when(F.col("hash") == F.lit(first["hash"]), F.col("height"))), F.max("height")).first()
+    if split is None:
+        return None, False, None
+    placed = valid_prefix(branch).withColumn("height", F.col("height") - first["base"] + split + 1)
+    if split == tip:
+        return split, True, placed
+    theirs = with_work(placed).agg(F.sum("work")).first()[0] or 0
+    mine = with_work(ours.where(F.col("height") > split)).agg(F.sum("work")).first()[0] or 0
+    return split, theirs > mine, placed
 
 
 def replace_suffix(rows: DataFrame, suffix: DataFrame, split: int, height: str = "height") -> DataFrame:
@@ -115,24 +166,91 @@ def want_set(headers: DataFrame, bodies: DataFrame, in_flight: DataFrame) -> Dat
     return headers.select("height").join(bodies.select("height"), "height", "left_anti").join(in_flight.select("height"), "height", "left_anti")
 
 
-def round_robin(rows: DataFrame, slots: int, order: str) -> DataFrame:
-    """rows with slot 0 to slots - 1 in turn. order: dense integers."""
-    return rows.withColumn("slot", F.pmod(F.col(order), F.lit(slots)).cast("int"))
+def requests(wanted: DataFrame, peers: DataFrame, batch: int = 16, most: int = 256) -> DataFrame:
+    """(height, peer, message) of what is asked next of whom: peers (peer, in_flight) in turn, no more than most in flight with each.
 
+    The lowest heights go first, in messages of batch heights; what no peer has
+    room for is left out, to be asked later.
+    """
+    room = peers.select("peer", F.floor(F.greatest(most - F.col("in_flight"), F.lit(0)) / batch).cast("int").alias("rounds"))
+    # Peers take turns: a round gives a message to each that still has room.
+    slots = room.where("rounds > 0").select("peer", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("round"))
+    slots = with_index(slots, "message", F.col("round"), ["round", "peer"]).select("message", "peer")
+    bucket = F.floor(F.col("height") / (1 << 16))
+    listed = with_index(wanted.select("height"), "__at", bucket, ["height"])
+    return listed.select("height", F.floor(F.col("__at") / batch).alias("message")).join(slots, "message").select("height", "peer", "message")
 
-def pack_by_budget(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
-    """rows with chunk: each group's rows in order fill chunks up to budget; one that is larger stands alone.
 
-    Where a chunk ends depends on all before, so each group is one ordered fold;
-    groups (ranges of heights) bound what a task holds.
-    """
-    listed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("l"))
-    start = F.struct(F.lit(-1).cast("long").alias("chunk"), F.lit(0).cast("long").alias("fill"), F.array().cast(f"array<struct<o:{dict(rows.dtypes)[order]},chunk:bigint>>").alias("out"))
+def spare_room(peers: DataFrame, most: int = 256) -> DataFrame:
+    """One row: how much more all peers (peer, in_flight) may be asked for."""
+    return peers.agg(F.coalesce(F.sum(F.greatest(most - F.col("in_flight"), F.lit(0))), F.lit(0)).alias("spare"))
+
+
+def round_robin(rows: DataFrame, slots: int, order: str, width: int = 1 << 16) -> DataFrame:
+    """rows with slot 0 to slots - 1 in turn. order: integers, which may have gaps."""
+    placed = with_index(rows, "__at", F.floor(F.col(order) / width), [order])
+    return placed.withColumn("slot", F.pmod("__at", F.lit(slots)).cast("int")).drop("__at")
+
 
-    def step(s: Column, x: Column) -> Column:
-        new = (s["chunk"] < 0) | (s["fill"] + x["s"] > budget)
-        chunk = F.when(new, s["chunk"] + 1).otherwise(s["chunk"])
-        return F.struct(chunk.alias("chunk"), F.when(new, x["s"]).otherwise(s["fill"] + x["s"]).alias("fill"), F.concat(s["out"], F.array(F.struct(x["o"].alias("o"), chunk.alias("chunk")))).alias("out"))
+def _next_chunks(sizes: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of sizes before each row (and all), and for each row that begins a chunk, the one that begins the next."""
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(len(sizes))
+    return sums, np.maximum(np.searchsorted(sums[1:], sums[:-1] + budget, side="right"), at + 1)
 
-    packed = listed.select(group, F.explode(F.aggregate("l", start, step, lambda s: s["out"])).alias("p"))
-    return rows.join(packed.select(group, F.col("p.o").alias(order), F.col("p.chunk").alias("chunk")), [group, order])
+
+def pack_by_budget(rows: DataFrame, group: str, order: str, size: str, budget: int, width: int = 1 << 16) -> DataFrame:
+    """rows with chunk: each group's rows in order fill chunks up to budget; one that is larger stands alone.
+
+    Where a chunk ends depends on all rows before, but only by how full the open
+    chunk is. So each range of the order (integers, width of them) first tells,
+    for every row that may be its first to begin a chunk, how many chunks follow
+    and how full the last one is; these few numbers are folded along each group,
+    and then every range is filled by itself. Null sizes count as 0.
+    """
+    kinds = dict(rows.dtypes)
+    listed = rows.select(F.col(group).alias("g"), F.floor(F.col(order) / width).alias("b"), F.col(order).alias("o"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("s"))
+
+    def sorted_by(table: pa.Table, column: str) -> pa.Table:
+        return table.sort_by([(column, "ascending")])
+
+    def summary(table: pa.Table) -> pa.Table:
+        table = sorted_by(table, "o")
+        sums, after = _next_chunks(table.column("s").to_numpy(), budget)
+        n = len(after)
+        chunks, fill = np.ones(n, np.int64), sums[n] - sums[:-1]
+        for i in range(n - 1, -1, -1):
+            if after[i] < n:
+                chunks[i], fill[i] = 1 + chunks[after[i]], fill[after[i]]
+        firsts = min(n, int(np.searchsorted(sums[1:], budget, side="right")) + 1)  # rows that may be the first to begin a chunk
+        held = [("sums", sums[1 : firsts + 1]), ("chunks", chunks[:firsts]), ("fills", fill[:firsts])]
+        return pa.table([table.column("g").slice(0, 1), table.column("b").slice(0, 1), pa.array([int(sums[n])]), *[pa.array([x.tolist()], pa.list_(pa.int64())) for _, x in held]], names=["g", "b", "total", *[k for k, _ in held]])
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = sorted_by(table, "b")
+        chunk, fill, out = -1, budget + 1, []
+        for total, sums, chunks, fills in zip(*(table.column(c).to_pylist() for c in ("total", "sums", "chunks", "fills"))):
+            out.append((chunk, fill))
+            first = 0 if chunk < 0 else int(np.searchsorted(sums, budget - fill, side="right"))
+            if first < len(sums):
+                chunk, fill = chunk + chunks[first], fills[first]
+            else:
+                fill += total
+        return pa.table([table.column("g"), table.column("b"), pa.array([c for c, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["g", "b", "chunk", "fill"])
+
+    def fill(table: pa.Table, state: pa.Table) -> pa.Table:
+        table = sorted_by(table, "o")
+        sums, after = _next_chunks(table.column("s").to_numpy(), budget)
+        chunk, held, n = state.column("chunk")[0].as_py(), state.column("fill")[0].as_py(), len(after)
+        at = 0 if chunk < 0 else int(np.searchsorted(sums[1:], budget - held, side="right"))
+        begins = np.zeros(n, np.int64)
+        while at < n:
+            begins[at] = 1
+            at = int(after[at])
+        return pa.table([table.column("g"), table.column("o"), pa.array(chunk + np.cumsum(begins), pa.int64())], names=["g", "o", "chunk"])
+
+    told = listed.groupBy("g", "b").applyInArrow(summary, f"g {kinds[group]}, b bigint, total bigint, sums array<bigint>, chunks array<bigint>, fills array<bigint>")
+    states = told.groupBy("g").applyInArrow(fold, f"g {kinds[group]}, b bigint, chunk bigint, fill bigint")
+    filled = listed.groupBy("g", "b").cogroup(states.groupBy("g", "b")).applyInArrow(fill, f"g {kinds[group]}, o {kinds[order]}, chunk bigint")
+    placed = filled.select(F.col("g").alias("__g"), F.col("o").alias("__o"), "chunk")
+    return rows.join(placed, rows[group].eqNullSafe(F.col("__g")) & (rows[order] == F.col("__o"))).drop("__g", "__o")

@@ -39,3 +39,36 @@ def with_index(rows: DataFrame, name: str, bucket: Column, order: list, ranks: d
     own |= {k: F.row_number().over(Window.partitionBy(_BUCKET, *groups).orderBy(*line)) for k, (groups, line) in (ranks or {}).items()}
     placed = rows.select("*", *[(c.cast("long") - 1).alias(k) for k, c in own.items()])
     return placed.join(_before(rows, F.lit(1)), _BUCKET).withColumn(name, F.col(name) + F.col(_BEFORE)).drop(_BUCKET, _BEFORE)
+
+
+def with_rank(rows: DataFrame, name: str, group: str, order: str, width: int = 1 << 16) -> DataFrame:
+    """rows with their place in their group, from 0. order: integers; a range of so many of them is ranked at once, so no group is one task's."""
+    rows = rows.withColumn(_BUCKET, F.floor(F.col(order) / width))
+    counts = rows.groupBy(group, _BUCKET).agg(F.count("*").alias("__n"))
+    over = Window.partitionBy(group).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(F.col(group).alias("__of"), F.col(_BUCKET).alias("__at"), F.coalesce(F.sum("__n").over(over), F.lit(0)).alias(_BEFORE))
+    own = rows.withColumn(name, F.row_number().over(Window.partitionBy(group, _BUCKET).orderBy(order)).cast("long") - 1)
+    met = own.join(bases, F.col(group).eqNullSafe(F.col("__of")) & F.col(_BUCKET).eqNullSafe(F.col("__at")))
+    return met.withColumn(name, F.col(name) + F.col(_BEFORE)).drop(_BUCKET, _BEFORE, "__of", "__at")
+
+
+def with_neighbours(rows: DataFrame, group: str, order: str, bucket: Column, before: dict[str, str], after: dict[str, str]) -> DataFrame:
+    """rows with columns of the row before and after in their group: {new name: column}.
+
+    Neighbours are sought within a group's buckets, which follow the order; then
+    the first and last rows of buckets, two for each, meet in a window over the
+    group. So a group with very many rows is as many tasks as it has buckets.
+    """
+    line = Window.partitionBy(group, _BUCKET).orderBy(order)
+    inner = rows.withColumn(_BUCKET, bucket).select(
+        "*",
+        *[F.lag(c).over(line).alias(n) for n, c in before.items()],
+        *[F.lead(c).over(line).alias(n) for n, c in after.items()],
+        F.lag(F.lit(1)).over(line).isNull().alias("__first"),
+        F.lead(F.lit(1)).over(line).isNull().alias("__last"),
+    )
+    over = Window.partitionBy(group).orderBy(order)
+    found = {n: F.when(F.col("__first"), F.lag(c).over(over)).otherwise(F.col(n)) for n, c in before.items()}
+    found |= {n: F.when(F.col("__last"), F.lead(c).over(over)).otherwise(F.col(n)) for n, c in after.items()}
+    edges = inner.where("__first or __last").withColumns(found)
+    return inner.where("not (__first or __last)").unionByName(edges).drop(_BUCKET, "__first", "__last")

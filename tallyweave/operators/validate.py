@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binary import height_push_hex, merkle_mutated, merkle_root, to_hex
+from ..functions.binary import height_push_hex, merkle_fold, to_hex
+from .prefix import with_rank
+
+#: Levels of a Merkle tree that are folded in one row.
+LEVELS = 10
 
 # From this height a coinbase must begin with its height, and the two blocks before it whose
 # coinbase transactions may repeat earlier ones (height, hash as displayed).
@@ -30,10 +34,26 @@ def repeated_txids(txs: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def merkle_roots(txs: DataFrame, block: str = "height") -> DataFrame:
-    """(block, root as hex in wire order, mutated, txs) over (block, tx_index, txid BINARY)."""
-    leaves = F.transform(F.array_sort(F.collect_list(F.struct("tx_index", "txid"))), lambda x: x["txid"])
-    held = txs.groupBy(block).agg(leaves.alias("leaves"))
-    return held.select(block, to_hex(merkle_root(F.col("leaves"))).alias("root"), merkle_mutated(F.col("leaves")).alias("mutated"), F.size("leaves").cast("long").alias("txs"))
+    """(block, root as hex in wire order, mutated, txs) over (block, tx_index, txid BINARY).
+
+    Parts of the tree of 2^LEVELS leaves are folded, each in a row, then parts of
+    what they give: so a block of any size takes a few rounds, and no row has
+    more than that many hashes.
+    """
+    fan = 1 << LEVELS
+    nodes = with_rank(txs.select(block, "tx_index", F.col("txid").alias("__node")), "__i", block, "tx_index").select(block, "__i", "__node", F.lit(False).alias("__bad"))
+    sizes = nodes.groupBy(F.col(block).alias("__of")).agg(F.count("*").alias("txs"))
+    most = sizes.agg(F.max("txs")).first()[0] or 0
+    nodes = nodes.join(sizes, F.col(block).eqNullSafe(F.col("__of"))).drop("__of").withColumn("__n", F.col("txs"))
+    while True:
+        held = nodes.groupBy(block, "txs", "__n", F.floor(F.col("__i") / fan).alias("__at")).agg(F.array_sort(F.collect_list(F.struct("__i", "__node"))).alias("l"), F.max("__bad").alias("__bad"))
+        alone = F.col("__n") <= fan
+        levels = F.when(alone, F.ceil(F.log2(F.col("__n"))).cast("int")).otherwise(F.lit(LEVELS))
+        top = merkle_fold(F.transform("l", lambda x: x["__node"]), levels, alone)
+        nodes = held.withColumn("t", top).select(block, "txs", F.col("__at").alias("__i"), F.ceil(F.col("__n") / fan).alias("__n"), F.col("t.node").alias("__node"), (F.col("__bad") | F.col("t.bad")).alias("__bad"))
+        most = -(-most // fan)
+        if most <= 1:
+            return nodes.select(block, to_hex(F.col("__node")).alias("root"), F.col("__bad").alias("mutated"), "txs")
 
 
 def bad_merkle_roots(txs: DataFrame, headers: DataFrame) -> DataFrame:

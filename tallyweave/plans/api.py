@@ -1,12 +1,14 @@
 """The read queries over a ledger: pages, lookups, the tip, blocks and transactions.
 
-Every method is a filter that reaches the scan (height, hash or place in the
-block), so that a page reads its own rows and not the table.
+A page reads its own rows and not the table: a tip or a hash is first looked up
+among the headers, for its height alone, and then all tables are filtered by
+heights as numbers, which reaches their scans.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,52 +43,55 @@ def block_range_to(to: int, take: int) -> tuple[int, int]:
 
 
 class Ledger:
-    """headers (height, hash, ...; hash in wire order as hex), blocks (height, tx_count, wire_size), txs (height, tx_index, txid, ...)."""
+    """headers (height, hash, ...; hash in wire order as hex), blocks (height, tx_count, wire_size), txs (height, tx_index, txid, ...).
 
-    def __init__(self, headers: DataFrame, blocks: DataFrame, txs: DataFrame):
-        self.headers, self.blocks, self.txs = headers, blocks, txs
+    bodies: blocks and txs of the heights from one to before another, where the
+    tables have a way to them that is better than a filter on height.
+    """
 
-    def _blocks(self, headers: DataFrame, within: Column | None = None) -> DataFrame:
-        """Headers with info, null where the body isn't there yet."""
-        coinbase = self.txs.where("tx_index = 0")
-        bodies, first = (self.blocks, coinbase) if within is None else (self.blocks.where(within), coinbase.where(within))
-        cb = F.get(F.col("inputs"), F.lit(0))["script"] if "inputs" in self.txs.columns else F.lit(None).cast("string")
-        joined = headers.join(bodies, "height", "left").join(first.select("height", cb.alias("coinbase"), F.lit(True).alias("__cb")), "height", "left")
+    def __init__(self, headers: DataFrame, blocks: DataFrame, txs: DataFrame, bodies: Callable[[int, int], tuple[DataFrame, DataFrame]] | None = None):
+        self.headers, self.blocks, self.txs = headers, blocks, txs
+        self._bodies = bodies or (lambda first, end: (blocks.where(_between(first, end)), txs.where(_between(first, end))))
+
+    def _blocks(self, first: int, end: int) -> DataFrame:
+        """Headers from first to before end with info, null where the body isn't there yet."""
+        blocks, txs = self._bodies(first, end)
+        cb = F.get(F.col("inputs"), F.lit(0))["script"] if "inputs" in txs.columns else F.lit(None).cast("string")
+        coinbases = txs.where("tx_index = 0").select("height", cb.alias("coinbase"), F.lit(True).alias("__cb"))
+        joined = self.headers.where(_between(first, end)).join(blocks, "height", "left").join(coinbases, "height", "left")
         info = F.struct("wire_size", "tx_count", F.col("coinbase").alias("coinbase_script"))
-        return joined.select(*headers.columns, F.when(F.col("tx_count").isNotNull() & F.col("__cb"), info).alias("info"))
+        return joined.select(*self.headers.columns, F.when(F.col("tx_count").isNotNull() & F.col("__cb"), info).alias("info"))
 
     def blocks_from(self, start: int, take: int = MOST_BLOCKS) -> DataFrame:
-        first, end = block_range_from(start, take)
-        within = (F.col("height") >= first) & (F.col("height") < end)
-        return self._blocks(self.headers.where(within), within).orderBy("height")
+        return self._blocks(*block_range_from(start, take)).orderBy("height")
 
     def blocks_to(self, to: int, take: int = MOST_BLOCKS) -> DataFrame:
-        first, end = block_range_to(to, take)
-        within = (F.col("height") >= first) & (F.col("height") < end)
-        return self._blocks(self.headers.where(within), within).orderBy("height")
+        return self._blocks(*block_range_to(to, take)).orderBy("height")
 
     def tip(self) -> DataFrame:
-        top = self.headers.agg(F.max("height").alias("height"))
-        return self._blocks(self.headers.join(F.broadcast(top), "height", "left_semi"))
+        top = self.headers.agg(F.max("height")).first()[0]
+        return self._blocks(*(0, 0) if top is None else (top, top + 1))
 
-    def _found(self, block: int | str) -> DataFrame:
+    def _height(self, block: int | str) -> int | None:
+        """The height of a block named by it or by its hash as displayed; None for an unknown hash."""
         if isinstance(block, str) and len(block) == 64:
             wire = bytes.fromhex(block)[::-1].hex()
-            return self.headers.where(F.col("hash") == wire)
+            return self.headers.where(F.col("hash") == wire).agg(F.max("height")).first()[0]
         height = int(block)
         if height < 0:
             raise ValueError("heights are not negative")
-        return self.headers.where(F.col("height") == height)
+        return height
 
     def block(self, block: int | str) -> DataFrame:
         """The block of a height, or of a hash as displayed."""
-        return self._blocks(self._found(block))
+        height = self._height(block)
+        return self._blocks(*(0, 0) if height is None else (height, height + 1))
 
     def block_txs(self, block: int | str, start: float | None = 0, take: float | None = MOST_TXS) -> DataFrame:
         """txid, wtxid (as displayed), counts and size of a page of a block's transactions."""
-        first, n = page_bounds(start, take)
-        page = self.txs.where((F.col("tx_index") >= first) & (F.col("tx_index") < first + n))
-        rows = page.join(self._found(block).select("height"), "height", "left_semi").orderBy("tx_index")
+        (first, n), height = page_bounds(start, take), self._height(block)
+        _, txs = self._bodies(*(0, 0) if height is None else (height, height + 1))
+        rows = txs.where((F.col("tx_index") >= first) & (F.col("tx_index") < first + n)).orderBy("tx_index")
         return rows.select("tx_index", reversed_hex(F.col("txid")).alias("txid"), reversed_hex(F.col("wtxid")).alias("wtxid"), F.size("inputs").alias("inputs"), F.size("outputs").alias("outputs"), "wire_size")
 
     def tx(self, txid: str) -> DataFrame:
@@ -95,6 +100,10 @@ class Ledger:
         return self.txs.where(F.col("txid") == wire).orderBy(F.desc("height"), F.desc("tx_index")).limit(1)
 
 
+def _between(first: int, end: int) -> Column:
+    return (F.col("height") >= first) & (F.col("height") < end)
+
+
 def parse_block_key(key: Column) -> Column:
     """STRUCT<height, hash>: 64 characters are a hash as displayed, else a height."""
     is_hash = F.length(key) == 64

@@ -4,7 +4,11 @@ A commit writes its data in new folders and then a manifest, whole or not at
 all, that names every table's folders; readers take the newest manifest and so
 never see half a commit. What a crash leaves has no manifest and is ignored.
 Going back publishes a manifest with a bound on the height; data is removed
-only by ``vacuum``.
+only by ``vacuum``, and ``compact`` writes a table's many parts as one.
+
+A version is published by one writer: its manifest is created only if there is
+none. Who comes second puts its rows on top of what was published meanwhile, or
+fails with ``Conflict`` if it was to be on top of a certain version.
 """
 
 from __future__ import annotations
@@ -19,6 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+class Conflict(RuntimeError):
+    """Another writer published the version first."""
+
+
 class Snapshots:
     """Tables under a folder that driver and executors share (a path or URI)."""
 
@@ -36,44 +44,83 @@ class Snapshots:
         """The manifest of a version, the newest by default; an empty one before the first commit."""
         found = self.versions()
         if not found and version is None:
-            return {"version": 0, "tables": {}, "batches": [], "facts": {}}
+            return {"version": 0, "tables": {}, "batches": [], "streams": {}, "facts": {}}
         with self.fs.open_input_file(f"{self.path}/manifests/{version or found[-1]:010d}.json") as f:
             return json.loads(f.read())
 
-    def _publish(self, manifest: dict) -> int:
-        manifest["version"] += 1
-        own = f"{self.path}/manifests/.{uuid.uuid4().hex}"
+    def _publish(self, manifest: dict) -> bool:
+        """Publish a manifest as its version; False if that is there already."""
+        own, to = f"{self.path}/manifests/.{uuid.uuid4().hex}", f"{self.path}/manifests/{manifest['version']:010d}.json"
         with self.fs.open_output_stream(own) as f:
             f.write(json.dumps(manifest).encode())
-        self.fs.move(own, f"{self.path}/manifests/{manifest['version']:010d}.json")
-        return manifest["version"]
+        if isinstance(self.fs, pafs.LocalFileSystem):
+            try:
+                os.link(own, to)  # fails where the name is taken
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(own)
+            return True
+        jvm = self.spark._jvm
+        path = lambda x: jvm.org.apache.hadoop.fs.Path(self.root[: -len(self.path)] + x)
+        hadoop = path(own).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        done = not hadoop.exists(path(to)) and hadoop.rename(path(own), path(to))  # HDFS renames to a new name only
+        if not done:
+            self.fs.delete_file(own)
+        return done
+
+    def _seen(self, manifest: dict, batch: str | tuple[str, int] | None) -> bool:
+        if isinstance(batch, tuple):
+            return batch[1] <= manifest["streams"].get(batch[0], -1)
+        return batch is not None and batch in manifest["batches"]
 
-    def commit(self, tables: dict[str, DataFrame], batch: int | str | None = None, facts: dict | None = None, replace_above: int | None = None, overwrite: tuple[str, ...] = ()) -> int:
+    def commit(self, tables: dict[str, DataFrame], batch: str | tuple[str, int] | None = None, facts: dict | None = None, replace_above: int | None = None, overwrite: tuple[str, ...] = (), expect: int | None = None) -> int:
         """Append rows to tables and publish all together; return the version.
 
-        batch: a name that is committed once; a second time nothing happens.
+        batch: what is committed once, and a second time does nothing: a name, or
+        (stream, number) with numbers that ascend, of which only the last is kept.
         facts: values to keep beside the tables. replace_above: rows already
         there above this height are out (a reorganisation). overwrite: tables whose
-        earlier rows are out.
+        earlier rows are out. expect: the version that this is to follow.
         """
         now = self.manifest()
-        if batch is not None and batch in now["batches"]:
+        if self._seen(now, batch):
             return now["version"]
         written = {}
         for name, rows in tables.items():
             written[name] = f"data/{name}/{uuid.uuid4().hex}"
             rows.write.option("compression", "zstd").parquet(f"{self.root}/{written[name]}")
-        for entry in now["tables"].values():
+        schemas = {name: rows.schema.jsonValue() for name, rows in tables.items()}
+        while True:
+            now = self.manifest()
+            if self._seen(now, batch):  # by another writer, while this one wrote
+                return now["version"]
+            if expect is not None and now["version"] != expect:
+                raise Conflict(f"version {expect} was to be followed, but there is version {now['version']}")
             if replace_above is not None:
-                entry["parts"] = [p | {"most": min(p["most"], replace_above) if p["most"] is not None else replace_above} for p in entry["parts"]]
-        for name, folder in written.items():
-            entry = now["tables"].setdefault(name, {"schema": tables[name].schema.jsonValue(), "parts": []})
-            if name in overwrite:
-                entry["parts"] = []
-            entry["parts"].append({"folder": folder, "most": None})
-        now["batches"] += [batch] if batch is not None else []
-        now["facts"] |= facts or {}
-        return self._publish(now)
+                for entry in now["tables"].values():
+                    entry["parts"] = [p | {"most": replace_above if p["most"] is None else min(p["most"], replace_above)} for p in entry["parts"]]
+            for name, folder in written.items():
+                entry = now["tables"].setdefault(name, {"schema": schemas[name], "parts": []})
+                if name in overwrite:
+                    entry["parts"] = []
+                entry["parts"].append({"folder": folder, "most": None})
+            if isinstance(batch, tuple):
+                now["streams"][batch[0]] = batch[1]
+            elif batch is not None:
+                now["batches"].append(batch)
+            now["facts"] |= facts or {}
+            now["version"] += 1
+            if self._publish(now):
+                return now["version"]
+
+    def compact(self, table: str, most_parts: int = 1) -> int:
+        """Write a table's parts as one if there are more than so many; return the version. Conflict if another writer was faster."""
+        now = self.manifest()
+        entry = now["tables"].get(table)
+        if entry is None or len(entry["parts"]) <= most_parts:
+            return now["version"]
+        return self.commit({table: self.read(table, now["version"])}, overwrite=(table,), expect=now["version"])
 
     def truncate(self, height: int, facts: dict | None = None) -> int:
         """Publish a version without rows above height."""

@@ -9,6 +9,7 @@ transactions; ``events`` are a chain of headers by ``event_id``; texts of
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,6 +23,7 @@ from .functions import work as W
 from .operators import chain as C
 from .operators import index as I
 from .operators import validate as V
+from .operators.prefix import with_rank
 from .plans import api
 from .streaming import ingest as T
 
@@ -63,8 +65,7 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inputs(found: DataFrame) -> DataFrame:
-    line = Window.partitionBy("script").orderBy("output_index")
-    return found.select(F.col("tx").alias("prev_tx"), F.col("vout").alias("prev_vout"), F.lead("tx").over(line).alias("tx")).where("tx is not null")
+    return I.spent_by_next(found)
 
 
 @query(f"WITH {_OUT} SELECT * FROM out")
@@ -141,7 +142,7 @@ SELECT spends.tx, prev_tx, prev_vout, output_index, CASE WHEN prev_tx <= m THEN
 FROM spends JOIN out ON out.tx = prev_tx AND out.vout = prev_vout, h WHERE spends.tx > m""")
 def two_pass_prevout_resolution(spark, sf_dir):
     found = outputs(spark, sf_dir)
-    half = found.agg(F.floor(F.max("tx") / 2).alias("m"))  # one row
+    half = _t(spark, sf_dir, "lineitem").agg(F.floor(F.max("l_orderkey") / 2).alias("m"))  # one row
     marked = found.join(F.broadcast(half))
     # Committed outputs and those of the batch are one relation, so each input is looked up once.
     batch = inputs(found).join(F.broadcast(half)).where("tx > m").drop("m")
@@ -162,6 +163,41 @@ def tx_in_out_value(spark, sf_dir):
     return made.join(paid, "tx", "left").select("tx", F.coalesce("paid_in", F.lit(0)).alias("paid_in"), "paid_out")
 
 
+@query(f"""WITH {_OUT}, {_SPENDS}, o AS (SELECT tx, string_agg(script || ':' || value, ',' ORDER BY vout) AS outputs FROM out GROUP BY tx),
+i AS (SELECT tx, string_agg(sha256('tx' || prev_tx) || ':' || prev_vout, ',' ORDER BY prev_tx, prev_vout) AS inputs, CASE WHEN count(*) FILTER (WHERE prev_tx % 2 = 0) > 0 THEN count(*) ELSE 0 END AS stacks FROM spends GROUP BY tx)
+SELECT tx, sha256('tx' || tx) AS txid, coalesce(inputs, repeat('00', 32) || ':4294967295') AS inputs, outputs, coalesce(stacks, 0) AS stacks FROM o LEFT JOIN i USING (tx)""")
+def stored_to_wire(spark, sf_dir):
+    """Stored transactions, whose inputs name transactions and whose outputs name scripts by surrogate, with real ids and scripts."""
+    found = outputs(spark, sf_dir)
+    dictionary = I.script_dictionary(found).select("script", "script_id")
+    stored = found.join(dictionary, "script").select("tx", "vout", "script_id", "value")
+    txs = found.select("tx").distinct().withColumn("txid", F.sha2(F.concat(F.lit("tx"), F.col("tx").cast("string")), 256))
+    item = F.when(F.col("prev_tx") % 2 == 0, F.array(F.col("prev_vout").cast("string"))).otherwise(F.array().cast("array<string>"))
+    vin = F.row_number().over(Window.partitionBy("tx").orderBy("prev_tx", "prev_vout")) - 1
+    spent = inputs(found).select("tx", vin.alias("vin"), "prev_tx", "prev_vout", item.alias("witness"))
+    none = F.lit(None).cast("long")
+    coinbases = txs.join(spent, "tx", "left_anti").select("tx", F.lit(0).alias("vin"), none.alias("prev_tx"), none.alias("prev_vout"), F.array().cast("array<string>").alias("witness"))
+    wire = I.wire_transactions(txs, spent.unionByName(coinbases), stored, dictionary)
+    shown = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[a].cast("string"), x[b].cast("string"))), ",")
+    return wire.select("tx", "txid", shown("inputs", "prev_txid", "prev_vout").alias("inputs"), shown("outputs", "script", "value").alias("outputs"), F.size("witness").cast("long").alias("stacks"))
+
+
+@query(f"WITH {_OUT}, d AS (SELECT script, row_number() OVER (ORDER BY min(output_index)) - 1 AS script_id FROM out GROUP BY script) SELECT script_id, script FROM d WHERE script_id % 3 = 0")
+def surrogate_lookup(spark, sf_dir):
+    """Surrogates back to what they stand for: every third id of the dictionary."""
+    dictionary = I.script_dictionary(outputs(spark, sf_dir)).select("script_id", "script")
+    asked = dictionary.where("script_id % 3 = 0").select("script_id")
+    return I.with_scripts(asked, dictionary)
+
+
+@query(f"WITH {_OUT}, {_SPENDS}, a AS (SELECT tx, prev_tx FROM spends UNION ALL SELECT DISTINCT tx, CAST(NULL AS BIGINT) FROM out WHERE tx NOT IN (SELECT tx FROM spends)) SELECT tx // 8 // 100 * 100 AS first, count(prev_tx) AS spends FROM a GROUP BY 1")
+def spends_by_height(spark, sf_dir):
+    found = outputs(spark, sf_dir)
+    spent = inputs(found).select("tx", "prev_tx")
+    coinbases = found.select("tx").distinct().join(spent, "tx", "left_anti").select("tx", F.lit(None).cast("long").alias("prev_tx"))
+    return I.spends_by_height(spent.unionByName(coinbases).select(F.floor(F.col("tx") / 8).alias("height"), "prev_tx"), 100)
+
+
 @query(f"""SELECT o_orderkey AS tx, string_agg(l_partkey || ':' || CAST(round(l_extendedprice * 100) AS BIGINT), ',' ORDER BY {_LINE}) AS outputs, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS total
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def nested_tx_build(spark, sf_dir):
@@ -191,10 +227,15 @@ _MANTISSA, _EXPONENT = "(bits & 8388607)", "(bits >> 24)"
 _WORK = f"(CAST(1 AS HUGEINT) << (256 - 8 * ({_EXPONENT} - 3))) // {_MANTISSA}"
 
 
-def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain without its pointers."""
     body = F.concat_ws("|", F.col("event_id").cast("string"), "event_type", F.col("user_id").cast("string"))
     bits = F.get(F.array(*[F.lit(b).cast("long") for b in BITS]), (F.col("user_id") % 4).cast("int"))
-    rows = _t(spark, sf_dir, "events").select(F.col("event_id").alias("height"), B.to_hex(B.sha256d(body.cast("binary"))).alias("hash"), bits.alias("bits"), "ts", "user_id", "event_type")
+    return _t(spark, sf_dir, "events").select(F.col("event_id").alias("height"), B.to_hex(B.sha256d(body.cast("binary"))).alias("hash"), bits.alias("bits"), "ts", "user_id", "event_type")
+
+
+def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hashes(spark, sf_dir)
     below = rows.select((F.col("height") + 1).alias("height"), F.col("hash").alias("prev_hash"))
     return rows.join(below, "height", "left").withColumn("prev_hash", F.coalesce("prev_hash", F.lit("00" * 32)))
 
@@ -231,16 +272,43 @@ def cumulative_work(spark, sf_dir):
     return C.with_cumulative_work(chain(spark, sf_dir)).select("height", F.col("cumulative_work").cast("decimal(38,0)").alias("cumulative_work"))
 
 
-@query(f"""WITH {_CHAIN}, s AS (SELECT max(height) - 50 AS split FROM chain), w AS (SELECT sum({_WORK}) FILTER (WHERE height > split) AS ours, 40 * ((CAST(1 AS HUGEINT) << (256 - 8 * ((436591499 >> 24) - 3))) // (436591499 & 8388607)) AS theirs FROM chain, s)
-SELECT height, hash FROM chain, s, w WHERE height <= split OR ours >= theirs
-UNION ALL SELECT split + 1 + i AS height, sha256('branch' || i) AS hash FROM range(40) AS r(i), s, w WHERE theirs > ours""")
+_BRANCH = f"""{_CHAIN}, s AS (SELECT max(height) - 50 AS split FROM chain), w AS (SELECT sum({_WORK}) FILTER (WHERE height > split) AS ours, 40 * ((CAST(1 AS HUGEINT) << (256 - 8 * ((436591499 >> 24) - 3))) // (436591499 & 8388607)) AS theirs FROM chain, s),
+best AS (SELECT height, hash FROM chain, s, w WHERE height <= split OR ours >= theirs
+UNION ALL SELECT split + 1 + i AS height, sha256('branch' || i) AS hash FROM range(40) AS r(i), s, w WHERE theirs > ours)"""
+
+
+def branch_from(ours: DataFrame, below: int, length: int, bits: int, name: str) -> DataFrame:
+    """A branch of so many headers that leaves ours so far below the tip; heights count from 0."""
+    top = ours.agg(F.max("height")).first()[0]
+    root = ours.where(F.col("height") == top - below).select(F.col("hash").alias("root"))  # one row
+    text = lambda i: F.sha2(F.concat(F.lit(name), i.cast("string")), 256)
+    names = ours.sparkSession.range(length).select(F.col("id").alias("height"), text(F.col("id")).alias("hash"), F.when(F.col("id") > 0, text(F.col("id") - 1)).alias("p"))
+    return names.join(F.broadcast(root)).select("height", "hash", F.coalesce("p", "root").alias("prev_hash"), F.lit(bits).cast("long").alias("bits"))
+
+
+@query(f"WITH {_BRANCH} SELECT height, hash FROM best")
 def most_work_branch(spark, sf_dir):
-    ours = chain(spark, sf_dir).select("height", "hash", "prev_hash", "bits")
-    top = ours.agg(F.max("height").alias("top"))
-    root = ours.join(F.broadcast(top)).where(F.col("height") == F.col("top") - 50).select(F.col("hash").alias("root"))
-    names = spark.range(40).select(F.col("id").alias("height"), F.sha2(F.concat(F.lit("branch"), F.col("id").cast("string")), 256).alias("hash"), F.when(F.col("id") > 0, F.sha2(F.concat(F.lit("branch"), (F.col("id") - 1).cast("string")), 256)).alias("p"))
-    branch = names.join(F.broadcast(root)).select("height", "hash", F.coalesce("p", "root").alias("prev_hash"), F.lit(BITS[3]).cast("long").alias("bits"))
-    return C.choose_branch(ours, branch).select("height", "hash")
+    ours = hashes(spark, sf_dir).select("height", "hash", "bits")
+    return C.choose_branch(ours, branch_from(ours, 50, 40, BITS[3], "branch")).select("height", "hash")
+
+
+@query(f"WITH {_BRANCH} SELECT height, hash FROM best")
+def stream_reorganisation(spark, sf_dir):
+    """Headers stream in without heights: the chain, a branch of 40 from 50 below its tip, then one of two light headers that isn't taken."""
+    into, root = _store(spark, "reorganisation")
+    ours = chain(spark, sf_dir).select("hash", "prev_hash", "bits", "height")
+    schema = ours.drop("height").schema
+    for rows in (ours, branch_from(ours, 50, 40, BITS[3], "branch"), branch_from(ours, 60, 2, BITS[0], "light")):
+        rows.select(*schema.names).write.mode("append").parquet(f"{root}/source")
+        T.ingest(spark, f"{root}/source", schema, into, f"{root}/checkpoint", None, files_each=1000)
+    return into.read(T.HEADERS).select("height", "hash")
+
+
+@query(f"WITH {_CHAIN} SELECT hash, height FROM chain")
+def order_from_pointers(spark, sf_dir):
+    """Heights of headers that come without, from their pointers alone."""
+    origin = spark.createDataFrame([("00" * 32, -1)], "hash string, height long")
+    return C.with_heights(chain(spark, sf_dir).select("hash", "prev_hash"), origin).select("hash", "height")
 
 
 @query(f"""WITH {_CHAIN}, t AS (SELECT height, hash, lpad(format('{{:x}}', {_MANTISSA}) || repeat('00', CAST({_EXPONENT} - 3 AS BIGINT)), 64, '0') AS target FROM (SELECT height, hash, CASE WHEN height % 2 = 0 THEN 545259519 ELSE bits END AS bits FROM chain))
@@ -262,22 +330,22 @@ def page_from(spark, sf_dir):
     return chain(spark, sf_dir).where((F.col("height") >= first) & (F.col("height") < end)).select("height", "hash")
 
 
-@query(f"WITH {_CHAIN} SELECT height, hash FROM chain WHERE height BETWEEN 81 AND 120")
-def page_to(spark, sf_dir):
-    first, end = api.block_range_to(120, 40)
-    return chain(spark, sf_dir).where((F.col("height") >= first) & (F.col("height") < end)).select("height", "hash")
-
-
 def ledger(spark: SparkSession, sf_dir: str) -> api.Ledger:
-    """Headers from events; the bodies of all but the last hundred blocks: an order and its lines are a transaction."""
-    headers = chain(spark, sf_dir).select("height", "hash", "bits")
-    lines = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct(*LINE))).alias("outputs"))
-    orders = _t(spark, sf_dir, "orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 8).alias("height"), (F.col("o_orderkey") % 8).cast("int").alias("tx_index"))
-    name = F.sha2(F.concat(F.lit("tx"), F.col("o_orderkey").cast("string")), 256)
+    """Headers from events; the bodies of all but the last hundred blocks: an order and its lines are a transaction, eight orders a block."""
+    columns = F.struct(*LINE)
     empty = F.array().cast(f"array<struct<{','.join(f'{n}:{t}' for n, t in _t(spark, sf_dir, 'lineitem').select(*LINE).dtypes)}>>")
-    txs = orders.join(lines, "o_orderkey", "left").select("height", "tx_index", name.alias("txid"), F.sha2(name, 256).alias("wtxid"), F.array(F.struct(F.lit("00").alias("script"))).alias("inputs"), F.coalesce("outputs", empty).alias("outputs"), (F.lit(80) + F.size(F.coalesce("outputs", empty)) * 34).cast("long").alias("wire_size"))
-    blocks = txs.groupBy("height").agg(F.count("*").alias("tx_count"), (F.sum("wire_size") + 80).alias("wire_size"))
-    return api.Ledger(headers, blocks, txs)
+
+    def bodies(first: int | None = None, end: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """Blocks and transactions, of a range of heights by a plain range of the tables' own keys."""
+        within = lambda key: F.lit(True) if first is None else (F.col(key) >= 8 * first) & (F.col(key) < 8 * end)
+        lines = _t(spark, sf_dir, "lineitem").where(within("l_orderkey")).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(columns)).alias("outputs"))
+        orders = _t(spark, sf_dir, "orders").where(within("o_orderkey")).select("o_orderkey", F.floor(F.col("o_orderkey") / 8).alias("height"), (F.col("o_orderkey") % 8).cast("int").alias("tx_index"))
+        name = F.sha2(F.concat(F.lit("tx"), F.col("o_orderkey").cast("string")), 256)
+        held = F.coalesce("outputs", empty)
+        txs = orders.join(lines, "o_orderkey", "left").select("height", "tx_index", name.alias("txid"), F.sha2(name, 256).alias("wtxid"), F.array(F.struct(F.lit("00").alias("script"))).alias("inputs"), held.alias("outputs"), (F.lit(80) + F.size(held) * 34).cast("long").alias("wire_size"))
+        return txs.groupBy("height").agg(F.count("*").alias("tx_count"), (F.sum("wire_size") + 80).alias("wire_size")), txs
+
+    return api.Ledger(chain(spark, sf_dir).select("height", "hash", "bits"), *bodies(), bodies)
 
 
 _LEDGER = f"""{_CHAIN}, l AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), txs AS (SELECT o_orderkey // 8 AS height, o_orderkey % 8 AS tx_index, sha256('tx' || o_orderkey) AS txid, coalesce(n, 0) AS outputs, 80 + 34 * coalesce(n, 0) AS wire_size FROM orders LEFT JOIN l ON l_orderkey = o_orderkey),
@@ -303,6 +371,22 @@ def block_lookup(spark, sf_dir):
     return _flat(ledger(spark, sf_dir).block("77"))
 
 
+_SHOWN = "chain.height, hash, CASE WHEN cb THEN tx_count END AS tx_count, CAST(CASE WHEN cb THEN wire_size END AS BIGINT) AS wire_size FROM chain LEFT JOIN blocks USING (height)"
+
+
+@query(f"WITH {_LEDGER} SELECT {_SHOWN} WHERE chain.height BETWEEN 81 AND 120")
+def page_to(spark, sf_dir):
+    return _flat(ledger(spark, sf_dir).blocks_to(120, 40))
+
+
+@query(f"WITH {_LEDGER} SELECT {_SHOWN} WHERE chain.height = 91")
+def block_by_hash(spark, sf_dir):
+    """The block of a hash as displayed."""
+    row = _t(spark, sf_dir, "events").where("event_id = 91").select("event_id", "event_type", "user_id").first()
+    body = "|".join(map(str, row)).encode()
+    return _flat(ledger(spark, sf_dir).block(hashlib.sha256(hashlib.sha256(body).digest()).digest()[::-1].hex()))
+
+
 _REVERSED = "array_to_string(list_reverse(regexp_extract_all({0}, '..')), '')"
 
 
@@ -313,25 +397,14 @@ def block_txs_page(spark, sf_dir):
 
 @query(f"WITH {_LEDGER} SELECT height, CAST(tx_index AS INTEGER) AS tx_index, CAST(outputs AS INTEGER) AS outputs FROM txs WHERE txid = sha256('tx' || 133)")
 def tx_lookup(spark, sf_dir):
-    import hashlib
-
     shown = hashlib.sha256(b"tx133").digest()[::-1].hex()
     return ledger(spark, sf_dir).tx(shown).select("height", "tx_index", F.size("outputs").alias("outputs"))
 
 
-@query(f"""WITH {_CHAIN}, k AS (SELECT CASE WHEN height % 3 = 0 THEN {_REVERSED.format('hash')} ELSE CAST(height AS VARCHAR) END AS key FROM chain WHERE height < 300)
+@query(f"""WITH {_CHAIN}, k AS (SELECT CASE WHEN height % 3 = 0 THEN {_REVERSED.format('hash')} ELSE CAST(height AS VARCHAR) END AS key FROM chain)
 SELECT key, CASE WHEN length(key) = 64 THEN NULL ELSE CAST(key AS BIGINT) END AS height, CASE WHEN length(key) = 64 THEN {_REVERSED.format('key')} END AS hash FROM k""")
 def parse_block_keys(spark, sf_dir):
-    """Over the heights that the SQL covers; parse_block_keys_all takes all."""
-    return _parsed_keys(chain(spark, sf_dir).where("height < 300"))
-
-
-@query()
-def parse_block_keys_all(spark, sf_dir):
-    return _parsed_keys(chain(spark, sf_dir))
-
-
-def _parsed_keys(headers: DataFrame) -> DataFrame:
+    headers = hashes(spark, sf_dir)
     keys = headers.select(F.when(F.col("height") % 3 == 0, B.reversed_hex(F.col("hash"))).otherwise(F.col("height").cast("string")).alias("key"))
     return keys.select("key", api.parse_block_key(F.col("key")).alias("p")).select("key", "p.height", "p.hash")
 
@@ -350,6 +423,13 @@ def verified_hash_lookup(spark, sf_dir):
     return C.verified_lookup(stale, headers).select("hash", "height")
 
 
+@query("SELECT p_partkey, sha256('k' || p_partkey) AS hashed FROM part WHERE p_partkey % 4 = 1")
+def hashed_key_lookup(spark, sf_dir):
+    """Keys looked up by their hash alone."""
+    keys = _t(spark, sf_dir, "part").select("p_partkey", F.sha2(F.concat(F.lit("k"), F.col("p_partkey").cast("string")), 256).alias("hashed"))
+    return keys.join(keys.where("p_partkey % 4 = 1").select("hashed"), "hashed", "left_semi").select("p_partkey", "hashed")
+
+
 @query(f"""WITH RECURSIVE {_CHAIN}, r(n, height, step) AS (SELECT 1, (SELECT max(height) FROM chain), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, height - CASE WHEN n >= 10 THEN step * 2 ELSE step END, CASE WHEN n >= 10 THEN step * 2 ELSE step END FROM r WHERE height > 0),
 p AS (SELECT n, height FROM r WHERE height > 0), q AS (SELECT CAST(n - 1 AS INTEGER) AS position, height FROM p UNION ALL SELECT CAST((SELECT max(n) FROM p) AS INTEGER), 0)
 SELECT position, q.height, hash FROM q JOIN chain USING (height)""")
@@ -372,9 +452,31 @@ def want_set(spark, sf_dir):
     return C.want_set(e, e.where("height % 3 = 0"), e.where("height % 5 = 0"))
 
 
-@query("SELECT event_id, CAST(event_id % 6 AS INTEGER) AS slot FROM events")
+@query("SELECT place, CAST((row_number() OVER (ORDER BY place) - 1) % 6 AS INTEGER) AS slot FROM (SELECT event_id * 3 + event_id % 2 AS place FROM events)")
 def round_robin_assignment(spark, sf_dir):
-    return C.round_robin(_t(spark, sf_dir, "events").select("event_id"), 6, "event_id")
+    """In turn by an order that has gaps."""
+    return C.round_robin(_t(spark, sf_dir, "events").select((F.col("event_id") * 3 + F.col("event_id") % 2).alias("place")), 6, "place")
+
+
+_IN_FLIGHT = "f AS (SELECT l_suppkey AS peer, count(*) FILTER (WHERE l_linestatus = 'O' AND l_orderkey % 4 = 0) AS in_flight FROM lineitem GROUP BY 1)"
+
+
+def in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = (F.col("l_linestatus") == "O") & (F.col("l_orderkey") % 4 == 0)
+    return _t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("peer")).agg(F.count_if(held).alias("in_flight"))
+
+
+@query(f"""WITH {_IN_FLIGHT}, slots AS (SELECT peer, row_number() OVER (ORDER BY r, peer) - 1 AS message FROM f, range(0, 16) AS t(r) WHERE r < greatest(256 - in_flight, 0) // 16),
+w AS (SELECT event_id AS height, (row_number() OVER (ORDER BY event_id) - 1) // 16 AS message FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0) SELECT height, peer, message FROM w JOIN slots USING (message)""")
+def peer_requests(spark, sf_dir):
+    """What is asked next of whom: 16 heights a message, 256 in flight with a peer at most."""
+    e = _t(spark, sf_dir, "events").select(F.col("event_id").alias("height"))
+    return C.requests(C.want_set(e, e.where("height % 3 = 0"), e.where("height % 5 = 0")), in_flight(spark, sf_dir))
+
+
+@query(f"WITH {_IN_FLIGHT} SELECT CAST(sum(greatest(256 - in_flight, 0)) AS BIGINT) AS spare FROM f")
+def spare_capacity(spark, sf_dir):
+    return C.spare_room(in_flight(spark, sf_dir))
 
 
 @query("SELECT l_suppkey AS peer, count(*) FILTER (WHERE l_linestatus = 'O') AS in_flight, greatest(256 - count(*) FILTER (WHERE l_linestatus = 'O'), 0) AS spare FROM lineitem GROUP BY 1")
@@ -424,7 +526,7 @@ def _leaves(docs: DataFrame) -> DataFrame:
     return docs.select("source", F.col("doc_id").alias("tx_index"), B.sha256d(F.col("text").cast("binary")).alias("txid"))
 
 
-_MERKLE = """WITH RECURSIVE leaf AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, sha256(unhex(sha256(text))) AS h FROM documents WHERE doc_id % 20 < 5),
+_MERKLE = """WITH RECURSIVE leaf AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, sha256(unhex(sha256(text))) AS h FROM documents),
 lists AS (SELECT source, list(h ORDER BY i) AS l, false AS bad FROM leaf GROUP BY source),
 up(source, l, bad, depth) AS (SELECT source, l, bad, 0 FROM lists
  UNION ALL SELECT source, list_transform(range(0, (len(l) + 1) // 2), lambda i: sha256(unhex(sha256(unhex(l[2 * i + 1] || l[least(2 * i + 2, len(l))]))))),
@@ -433,23 +535,11 @@ up(source, l, bad, depth) AS (SELECT source, l, bad, 0 FROM lists
 
 @query(f"{_MERKLE} SELECT source, l[1] AS root FROM up WHERE len(l) = 1")
 def merkle_root_by_source(spark, sf_dir):
-    """Over the documents that the SQL covers; merkle_root_all_documents takes all."""
-    return V.merkle_roots(_leaves(_t(spark, sf_dir, "documents").where("doc_id % 20 < 5")), "source").select("source", "root")
+    return V.merkle_roots(_leaves(_t(spark, sf_dir, "documents")), "source").select("source", "root")
 
 
 @query(f"{_MERKLE} SELECT source, bad AS mutated FROM up WHERE len(l) = 1")
 def merkle_mutation_flag(spark, sf_dir):
-    """Over the documents that the SQL covers; merkle_mutation_all_documents takes all."""
-    return V.merkle_roots(_leaves(_t(spark, sf_dir, "documents").where("doc_id % 20 < 5")), "source").select("source", "mutated")
-
-
-@query()
-def merkle_root_all_documents(spark, sf_dir):
-    return V.merkle_roots(_leaves(_t(spark, sf_dir, "documents")), "source").select("source", "root")
-
-
-@query()
-def merkle_mutation_all_documents(spark, sf_dir):
     return V.merkle_roots(_leaves(_t(spark, sf_dir, "documents")), "source").select("source", "mutated")
 
 
@@ -559,8 +649,13 @@ def confirmations(spark, sf_dir):
 
 @query("SELECT md5(text) AS txid, count(*) AS txs FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_txids(spark, sf_dir):
+    """Ids of all documents, and one that two blocks bear of which one may repeat it."""
     txs = _t(spark, sf_dir, "documents").select(F.md5(F.col("text").cast("binary")).alias("txid"), F.col("doc_id").alias("height"))
-    return V.repeated_txids(txs, txs.select("height", F.lit("").alias("hash")))
+    twice = spark.createDataFrame([("twice", -1, "00"), ("twice", *V.MAY_REPEAT[0])], "txid string, height long, hash string")
+    # Documents are numbered as blocks from 200,000 on, beyond the blocks that may repeat.
+    numbered = txs.withColumn("height", F.col("height") + 200_000)
+    headers = numbered.select("height", F.lit("").alias("hash")).unionByName(twice.select("height", "hash"))
+    return V.repeated_txids(numbered.unionByName(twice.select("txid", "height")), headers)
 
 
 # ---------------------------------------------------------------- scripts and witnesses
@@ -640,12 +735,13 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One output and witness each, block = p_partkey / 10, place = p_partkey mod 10."""
     rows = scripts(spark, sf_dir).join(witnesses(spark, sf_dir), "p_partkey")
     key = F.col("p_partkey")
-    tags = S.tx_features(key % 10, F.lit("11" * 32), F.lit(0), F.array((F.lit(0xFFFFFFFD) + key % 3)), F.array("script"), F.array("items"), F.when(key % 4 == 0, key).otherwise(0))
+    zero = key % 13 == 0  # a first input that spends nothing
+    tags = S.tx_features(key % 10, F.when(zero, "00" * 32).otherwise("11" * 32), F.when(zero, 0xFFFFFFFF).otherwise(0), F.array((F.lit(0xFFFFFFFD) + key % 3)), F.array("script"), F.array("items"), F.when(key % 4 == 0, key).otherwise(0))
     return rows.select(F.floor(key / 10).alias("block"), (key % 10).alias("place"), tags.alias("tags"))
 
 
-_TAGS = """tags AS (SELECT p_partkey // 10 AS block, p_partkey % 10 AS place, list_filter([CASE WHEN p_partkey % 10 = 0 THEN 'coinbase' END, CASE WHEN p_partkey % 11 > 0 THEN 'segwit' END, CASE WHEN p_partkey % 10 = 4 THEN 'taproot' END, CASE WHEN p_partkey % 10 = 7 THEN 'data' END,
- CASE WHEN p_partkey % 10 <> 0 AND p_partkey % 3 = 0 THEN 'rbf' END, CASE WHEN p_partkey % 4 = 0 AND p_partkey <> 0 THEN 'locktime' END, CASE WHEN p_partkey % 11 = 10 THEN 'inscription' END, CASE WHEN p_partkey % 10 = 8 THEN 'multisig' END], lambda x: x IS NOT NULL) AS t FROM part)"""
+_TAGS = """tags AS (SELECT p_partkey // 10 AS block, p_partkey % 10 AS place, list_filter([CASE WHEN p_partkey % 10 = 0 OR p_partkey % 13 = 0 THEN 'coinbase' END, CASE WHEN p_partkey % 11 > 0 THEN 'segwit' END, CASE WHEN p_partkey % 10 = 4 THEN 'taproot' END, CASE WHEN p_partkey % 10 = 7 THEN 'data' END,
+ CASE WHEN p_partkey % 10 <> 0 AND p_partkey % 13 <> 0 AND p_partkey % 3 = 0 THEN 'rbf' END, CASE WHEN p_partkey % 4 = 0 AND p_partkey <> 0 THEN 'locktime' END, CASE WHEN p_partkey % 11 = 10 THEN 'inscription' END, CASE WHEN p_partkey % 10 = 8 THEN 'multisig' END], lambda x: x IS NOT NULL) AS t FROM part)"""
 
 
 @query(f"WITH {_TAGS} SELECT block, place, array_to_string(t, ' ') AS tags FROM tags")
@@ -701,6 +797,25 @@ def wire_tx_decode(spark, sf_dir):
     return decode_txs(raw, "raw", "p_partkey").select("p_partkey", "txid", "wtxid", F.get("outputs", F.lit(0))["value"].alias("value"), F.when(F.size("witness") == 0, 0).otherwise(items).cast("long").alias("witness_items"))
 
 
+@query(f"""WITH k AS (SELECT p_partkey, {_SCRIPT} AS s, p_partkey % 2 + 1 AS version FROM part),
+b AS (SELECT p_partkey, {_sql_le('version', 4)} || '01' || {_H} || '00000000' || '00' || 'ffffffff' || '01' || {_sql_le('p_partkey * 1000', 8)} || {_sql_le('length(s) // 2', 1)} || s || '00000000' AS body FROM k)
+SELECT p_partkey // 300 AS block, CAST(row_number() OVER (PARTITION BY p_partkey // 300 ORDER BY p_partkey) - 1 AS INTEGER) AS tx_index, sha256(unhex(sha256(unhex(body)))) AS txid, CAST(NULL AS VARCHAR) AS error FROM b
+UNION ALL SELECT -1, CAST(NULL AS INTEGER), NULL, '32 bytes wanted at 6 of 9'""")
+def wire_block_decode(spark, sf_dir):
+    """The transactions of blocks' bytes, some 300 to a block, and one that ends too soon."""
+    from .sources.wire import INPUT, OUTPUT, decode_txs, encode_tx
+
+    h = F.sha2(F.concat(F.lit("k"), F.col("p_partkey").cast("string")), 256)
+    ins = F.array(F.struct(h.alias("prev_txid"), F.lit(0).cast("long").alias("prev_vout"), F.lit("").alias("script"), F.lit(0xFFFFFFFF).alias("sequence"))).cast(f"array<{INPUT}>")
+    outs = F.array(F.struct((F.col("p_partkey") * 1000).alias("value"), F.col("script"))).cast(f"array<{OUTPUT}>")
+    rows = scripts(spark, sf_dir).join(witnesses(spark, sf_dir), "p_partkey")
+    raw = rows.select("p_partkey", F.hex(encode_tx(F.col("p_partkey") % 2 + 1, ins, outs, F.array("items"), F.lit(0))).alias("raw"))
+    listed = F.array_sort(F.collect_list(F.struct("p_partkey", "raw")))
+    blocks = raw.groupBy(F.floor(F.col("p_partkey") / 300).alias("block")).agg(listed.alias("l")).select("block", F.unhex(F.concat(B.compact_size_hex(F.size("l")), F.array_join(F.transform("l", lambda x: x["raw"]), ""))).alias("raw"))
+    torn = spark.createDataFrame([(-1, bytes.fromhex("010100000001abcdef"))], "block long, raw binary")
+    return decode_txs(blocks.unionByName(torn), "raw", "block", counted=True).select("block", "tx_index", "txid", "error")
+
+
 # ---------------------------------------------------------------- formats
 
 
@@ -728,16 +843,8 @@ def _sql_relative(s: str) -> str:
     return "CASE " + " ".join(f"WHEN abs({s}) >= {size} THEN {text(unit, size)}" for unit, size in FM.RELATIVE) + " ELSE 'now' END"
 
 
-@query(f"WITH v AS (SELECT event_id, (event_id - 300) * (event_id - 300) * (event_id - 300) AS s FROM events WHERE event_id < 2000) SELECT event_id, {_sql_relative('s')} AS shown FROM v")
+@query(f"WITH v AS (SELECT event_id, (event_id - 300) * abs(event_id - 300) AS s FROM events) SELECT event_id, {_sql_relative('s')} AS shown FROM v")
 def relative_time(spark, sf_dir):
-    """Over the events that the SQL covers; relative_time_all takes all."""
-    i = F.col("event_id") - 300
-    return _t(spark, sf_dir, "events").where("event_id < 2000").select("event_id", FM.relative_time(i * i * i).alias("shown"))
-
-
-@query()
-def relative_time_all(spark, sf_dir):
-    """Squares with a sign, as cubes of large event ids don't fit a long."""
     i = F.col("event_id") - 300
     return _t(spark, sf_dir, "events").select("event_id", FM.relative_time(i * F.abs(i)).alias("shown"))
 
@@ -749,20 +856,22 @@ def format_duration(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", FM.duration(i * i * 977).alias("shown"))
 
 
-@query("SELECT o_orderkey, 'BTC ' || format('{:,.2f}', CAST(o_orderkey * 25000000 AS DOUBLE) / 100000000) AS coins, format('{:,}', o_orderkey) AS height, '0x' || lpad(lower(to_hex(o_orderkey % 4294967296)), 8, '0') AS version, CAST(month(o_orderdate) AS VARCHAR) || '/' || day(o_orderdate) || '/' || year(o_orderdate) AS day, CAST(least(o_orderkey / 4000000.0, 1) AS DOUBLE) AS fill FROM orders WHERE o_orderkey % 2 = 0")
-def format_bitcoin(spark, sf_dir):
-    """Over the orders that the SQL covers; format_bitcoin_all takes all."""
-    return _formatted(_t(spark, sf_dir, "orders").where("o_orderkey % 2 = 0"))
+@query("SELECT o_orderkey, 'BTC ' || format('{:,.2f}', CAST(o_orderkey * 25000000 AS DOUBLE) / 100000000) AS coins, format('{:,}', o_orderkey) AS height, '0x' || lpad(lower(to_hex(o_orderkey % 4294967296)), 8, '0') AS version, CAST(month(o_orderdate) AS VARCHAR) || '/' || day(o_orderdate) || '/' || year(o_orderdate) AS day, CAST(least(o_orderkey / 4000000.0, 1) AS DOUBLE) AS fill FROM orders")
+def format_coins(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", FM.coins(k * 25_000_000).alias("coins"), FM.height(k).alias("height"), FM.version(k).alias("version"), FM.date(F.col("o_orderdate")).alias("day"), FM.fill_ratio(k).alias("fill"))
 
 
-@query()
-def format_bitcoin_all(spark, sf_dir):
-    return _formatted(_t(spark, sf_dir, "orders"))
+@query(f"WITH {_CHAIN} SELECT height, array_to_string(list_transform(regexp_extract_all(hash, '..'), lambda x: CAST(floor(CAST('0x' || x AS INTEGER) / 255.0 * 360 + 0.5) AS INTEGER)), ' ') AS hues FROM chain")
+def hash_hues(spark, sf_dir):
+    return hashes(spark, sf_dir).select("height", F.array_join(FM.hues(F.col("hash")).cast("array<string>"), " ").alias("hues"))
 
 
-def _formatted(orders: DataFrame) -> DataFrame:
-    k = F.col("o_orderkey")
-    return orders.select("o_orderkey", FM.bitcoin(k * 25_000_000).alias("coins"), FM.height(k).alias("height"), FM.version(k).alias("version"), FM.date(F.col("o_orderdate")).alias("day"), FM.fill_ratio(k).alias("fill"))
+@query("SELECT doc_id, text || chr(65533) || 'x' AS shown FROM documents")
+def script_texts(spark, sf_dir):
+    """Bytes that aren't UTF-8 as text."""
+    data = F.concat(F.col("text").cast("binary"), F.unhex(F.lit("ff78")))
+    return _t(spark, sf_dir, "documents").select("doc_id", FM.script_text(data).alias("shown"))
 
 
 # ---------------------------------------------------------------- streams
@@ -791,19 +900,11 @@ def latest_wins(spark, sf_dir):
 
 
 def _store(spark: SparkSession, what: str):
-    """A new folder for snapshots and files in the shared folder that the session names; a temporary one only on a local master without it."""
-    import tempfile
-    import uuid
-
+    """A new folder for snapshots and files in the shared folder that the session names."""
+    from .plans.shared import new_dir
     from .plans.snapshot import Snapshots
 
-    sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not shared:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        shared = f"file://{tempfile.mkdtemp(prefix='tallyweave-')}"
-    root = f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    root = new_dir(spark, what)
     return Snapshots(spark, root), root
 
 
@@ -823,10 +924,15 @@ def stream_ingest_available_now(spark, sf_dir):
     return T.committed(into)
 
 
-@query("SELECT event_id, doc_id FROM (SELECT event_id, CAST(NULL AS BIGINT) AS doc_id FROM events WHERE event_type = 'error') UNION ALL SELECT NULL, doc_id FROM documents WHERE length(text) < 100")
+@query("WITH f AS (SELECT coalesce(min(event_id), 1000000000) AS f FROM events WHERE event_type = 'error') SELECT event_id AS height, event_type, CASE WHEN event_type = 'error' THEN 'quarantine' WHEN event_id < f THEN 'rows' ELSE 'waiting' END AS held FROM events, f")
 def bad_record_quarantine(spark, sf_dir):
-    events = _t(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", F.lit(None).cast("long").alias("doc_id"))
-    return events.unionByName(_t(spark, sf_dir, "documents").where(F.length("text") < 100).select(F.lit(None).cast("long").alias("event_id"), "doc_id"))
+    """Bad rows are set aside for good: when their heights come again, as good ones, they are dropped."""
+    into, _ = _store(spark, "quarantine")
+    rows = _t(spark, sf_dir, "events").select(F.col("event_id").alias("height"), "event_type")
+    again = rows.where("event_type = 'error'").withColumn("event_type", F.lit("mended"))
+    for batch, given in enumerate((rows, again)):
+        T.ingest_batch(given, batch, into, F.col("event_type") != "error")
+    return T.quarantined(into).withColumn("held", F.lit("quarantine")).unionByName(into.read(T.ROWS).withColumn("held", F.lit("rows"))).unionByName(into.read(T.WAITING).withColumn("held", F.lit("waiting")))
 
 
 @query("SELECT event_id AS height, event_type, user_id FROM events WHERE event_id <= 700 UNION ALL SELECT event_id, event_type, user_id + 1 FROM events WHERE event_id > 700 AND event_id <= 750")
@@ -844,6 +950,19 @@ def snapshot_truncate_recover(spark, sf_dir):
     return into.read("blocks")
 
 
+@query("SELECT event_id AS height, event_type, user_id FROM events")
+def snapshot_compaction(spark, sf_dir):
+    """Eight commits, then one part in place of theirs, and what is no more named removed."""
+    into, _ = _store(spark, "compaction")
+    rows = _t(spark, sf_dir, "events").select(F.col("event_id").alias("height"), "event_type", "user_id")
+    for i in range(8):
+        into.commit({"blocks": rows.where(F.pmod("height", F.lit(8)) == i)}, batch=("blocks", i))
+    into.compact("blocks")
+    into.vacuum()
+    assert len(into.manifest()["tables"]["blocks"]["parts"]) == 1
+    return into.read("blocks")
+
+
 @query("SELECT event_id, ts, user_id, event_type, props FROM events")
 def zstd_archive_roundtrip(spark, sf_dir):
     _, root = _store(spark, "archive")
@@ -864,15 +983,30 @@ def peer_hosts(spark, sf_dir):
     return _t(spark, sf_dir, "supplier").select("s_suppkey", host.alias("host")).select("s_suppkey", "host", valid_host(F.col("host")).alias("valid"))
 
 
-@query("SELECT s_suppkey, '00000000000000000000ffff' || lower(format('{:02X}{:02X}{:02X}{:02X}', 10, 0, CAST(s_suppkey % 256 AS INTEGER), 7)) AS digits, '10.0.' || s_suppkey % 256 || '.7' AS host FROM supplier")
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '20010db8' || repeat('0', 20) || lpad(lower(to_hex(s_suppkey % 65535 + 1)), 4, '0') ELSE '00000000000000000000ffff' || lower(format('{:02X}{:02X}{:02X}{:02X}', 10, 0, CAST(s_suppkey % 256 AS INTEGER), 7)) END AS digits,
+CASE WHEN s_suppkey % 3 = 0 THEN '2001:db8::' || lower(to_hex(s_suppkey % 65535 + 1)) ELSE '10.0.' || s_suppkey % 256 || '.7' END AS host FROM supplier""")
 def peer_addresses(spark, sf_dir):
     from .functions.network import address_hex, address_text
 
-    host = F.concat(F.lit("10.0."), (F.col("s_suppkey") % 256).cast("string"), F.lit(".7"))
+    k = F.col("s_suppkey")
+    host = F.when(k % 3 == 0, F.concat(F.lit("2001:db8::"), F.lower(F.hex(k % 65535 + 1)))).otherwise(F.concat(F.lit("10.0."), (k % 256).cast("string"), F.lit(".7")))
     rows = _t(spark, sf_dir, "supplier").select("s_suppkey", address_hex(host).alias("digits"))
     return rows.select("s_suppkey", "digits", address_text(F.col("digits")).alias("host"))
 
 
+@query("""SELECT s_suppkey, CAST(70016 AS BIGINT) AS version, CAST(s_suppkey AS DECIMAL(20,0)) AS services, 1700000000 + s_suppkey AS time, '10.0.0.' || s_suppkey % 256 AS to_host, CAST(s_suppkey % 65536 AS INTEGER) AS to_port, '2001:db8::' || lower(to_hex(s_suppkey % 65535 + 1)) AS from_host, CAST(8333 AS INTEGER) AS from_port,
+CAST(s_suppkey * 1000003 AS DECIMAL(20,0)) AS nonce, '/node:' || s_suppkey || '/' AS user_agent, s_suppkey - 5 AS height, s_suppkey % 2 = 0 AS relay, CAST(s_suppkey * 1000003 AS DECIMAL(20,0)) AS pong FROM supplier""")
+def handshakes(spark, sf_dir):
+    """Version messages and pings, written and read back."""
+    from .sources import messages as M
+
+    k, lit = F.col("s_suppkey").cast("long"), F.lit
+    fields = {"version": lit(70016), "services": k, "time": k + 1_700_000_000, "to_services": lit(0), "to_host": F.concat(lit("10.0.0."), (k % 256).cast("string")), "to_port": k % 65536, "from_services": lit(9), "from_host": F.concat(lit("2001:db8::"), F.lower(F.hex(k % 65535 + 1))), "from_port": lit(8333), "nonce": k * 1000003}
+    payload = M.version_payload(fields, F.concat(lit("/node:"), k.cast("string"), lit("/")), k - 5, k % 2 == 0)
+    read = _t(spark, sf_dir, "supplier").select("s_suppkey", payload.alias("p"), M.ping_nonce(M.ping_message(k * 1000003)).alias("pong")).withColumn("v", M.version_message(F.col("p")))
+    return read.select("s_suppkey", *[F.col(f"v.{n}").alias(n) for n in ("version", "services", "time", "to_host", "to_port", "from_host", "from_port", "nonce", "user_agent", "height", "relay")], "pong")
+
+
 @query(f"""WITH {_CHAIN}, f AS (SELECT height, CASE height % 5 WHEN 0 THEN '#/block/' || height WHEN 1 THEN '#/block/' || hash WHEN 2 THEN '#/tx/' || hash WHEN 3 THEN '#/tx/' || height ELSE '#/block/-' || height END AS fragment, hash FROM chain)
 SELECT fragment, CASE height % 5 WHEN 0 THEN 'block.height' WHEN 1 THEN 'block.hash' WHEN 2 THEN 'tx' ELSE 'home' END AS kind, CASE WHEN height % 5 = 0 THEN height END AS height, CASE WHEN height % 5 IN (1, 2) THEN {_REV.format('hash')} END AS hash FROM f""")
 def url_fragments(spark, sf_dir):
@@ -896,8 +1030,39 @@ def timeline_window(spark, sf_dir):
 @query(f"WITH {_OUT}, b AS (SELECT tx // 100 AS block, min(output_index) AS first FROM out GROUP BY 1) SELECT block, first, coalesce(lead(first) OVER (ORDER BY block), (SELECT count(*) FROM out)) AS \"end\" FROM b")
 def tx_region_bounds(spark, sf_dir):
     """Where each block's outputs begin and the next one's: a block's range is [first, end)."""
-    found = outputs(spark, sf_dir).groupBy(F.floor(F.col("tx") / 100).alias("block")).agg(F.min("output_index").alias("first"), F.max("output_index").alias("last"))
-    return found.select("block", "first", (F.col("last") + 1).alias("end"))
+    found = outputs(spark, sf_dir).groupBy(F.floor(F.col("tx") / 100).alias("block")).agg(F.min("output_index").alias("first"))
+    return I.region_bounds(found, _t(spark, sf_dir, "lineitem").count())
+
+
+@query("SELECT sha256('h' || event_id) AS hash FROM events")
+def record_file(spark, sf_dir):
+    """Hashes in files of 32-byte records, each of which ends in a part of one that a crash cut short."""
+    from .sources.records import register
+
+    _, root = _store(spark, "records")
+
+    def write(batches):
+        import os
+
+        import pyarrow as pa
+        from pyarrow import fs as pafs
+
+        fs, path = pafs.FileSystem.from_uri(f"{root}/files")
+        fs.create_dir(path, recursive=True)
+        name, n = f"{path}/.{os.urandom(8).hex()}", 0
+        with fs.open_output_stream(name) as f:
+            for b in batches:
+                for digits in b.column(0).to_pylist():
+                    f.write(bytes.fromhex(digits))
+                    n += 1
+            f.write(b"torn")
+        fs.move(name, name.replace("/.", "/"))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    _t(spark, sf_dir, "events").select(F.sha2(F.concat(F.lit("h"), F.col("event_id").cast("string")), 256).alias("hash")).repartition(4).mapInArrow(write, "n long").collect()
+    register(spark)
+    got = spark.read.format("ledger_records").option("rangeBytes", 64_000).load(f"{root}/files")
+    return got.select(F.lower(F.hex("record")).alias("hash"))
 
 
 @query("SELECT sha256('h' || event_id) AS hash FROM events WHERE event_id < 400 UNION SELECT sha256('h' || event_id) FROM events WHERE event_type = 'error'")
@@ -923,26 +1088,13 @@ def headers_messages(spark, sf_dir):
 
 
 def _numbered(rows: DataFrame, most: int) -> DataFrame:
-    """rows (peer, height) with a message number: each peer's in order of height, at most so many a message.
-
-    Ranks are two-level, by peer and range of heights, so a peer with very many rows is no group in one task.
-    """
-    bucketed = rows.withColumn("bucket", F.floor(F.col("height") / most))
-    counts = bucketed.groupBy("peer", "bucket").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("peer").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("peer", "bucket").orderBy("height")) - 1
-    ranked = bucketed.withColumn("rank", rank).join(counts.select(F.col("peer").alias("of"), F.col("bucket").alias("at"), before.alias("before")), F.col("peer").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at")))
-    return ranked.withColumn("message", F.floor((F.col("before") + F.col("rank")) / most)).drop("bucket", "rank", "before", "of", "at")
+    """rows (peer, height) with a message number: each peer's in order of height, at most so many a message."""
+    return with_rank(rows, "rank", "peer", "height").withColumn("message", F.floor(F.col("rank") / most)).drop("rank")
 
 
-@query("SELECT event_id, event_type AS command, sha256(props) AS payload FROM events WHERE event_id < 500")
+@query("SELECT event_id, event_type AS command, sha256(props) AS payload FROM events")
 def frame_source(spark, sf_dir):
-    """Frames written to files and read through the data source, of the events that the SQL covers; frame_source_all takes all."""
-    return _framed(spark, _t(spark, sf_dir, "events").where("event_id < 500").repartitionByRange(4, "event_id"))
-
-
-@query()
-def frame_source_all(spark, sf_dir):
+    """Frames written to files and read through the data source."""
     return _framed(spark, _t(spark, sf_dir, "events").repartitionByRange("event_id"))
 
 

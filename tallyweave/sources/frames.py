@@ -2,7 +2,9 @@
 
 Files of a folder hold frames as peers send them: magic, a 12-byte command, the
 payload's length and checksum, the payload. Rows are (file, position, command,
-payload). A batch read has a partition for each file; a stream's offset is the
+payload). A batch read has a partition for each file, as a mark within a payload
+is only told by what stands before it; of a file no more is held than one
+message and what is read at a time. A stream's offset is the
 last file name of the sorted listing, so files are to be added in that order.
 """
 
@@ -14,7 +16,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from .wire import frames
+from .wire import frames_in
 
 SCHEMA = "file string, position int, command string, payload binary"
 #: The main network's mark (a fixed value).
@@ -38,9 +40,8 @@ class _Reader:
     def rows(self, path: str) -> Iterator[tuple]:
         fs, _ = pafs.FileSystem.from_uri(self.uri if "://" in self.uri else f"file://{self.uri}")
         with fs.open_input_file(path) as f:
-            data = f.read()
-        for i, (command, payload) in enumerate(frames(data, self.magic)):
-            yield path.rsplit("/", 1)[-1], i, command, payload
+            for i, (command, payload) in enumerate(frames_in(f.read, self.magic)):
+                yield path.rsplit("/", 1)[-1], i, command, payload
 
 
 class _BatchReader(_Reader, DataSourceReader):

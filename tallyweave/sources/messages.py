@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.binary import compact_size_hex, from_compact_size, from_little_endian, little_endian_hex
-from ..functions.network import address_text
+from ..functions.network import address_hex, address_text
 
 MOST_HEADERS = 2000
 # Kinds of inventory entries.
@@ -48,14 +48,70 @@ def getheaders_message(version: Column, locator: Column, stop: Column) -> Column
     return F.concat(little_endian_hex(version, 4), compact_size_hex(F.size(locator)), F.array_join(locator, ""), stop)
 
 
+#: The message without a payload that answers a version.
+VERACK = ""
+
+
+def ping_message(nonce: Column) -> Column:
+    """A ping's payload, and that of the pong that answers it. nonce: a long, whose bits are taken as unsigned."""
+    return little_endian_hex(nonce, 8)
+
+
+def ping_nonce(payload: Column) -> Column:
+    """The nonce as DECIMAL; null for another length."""
+    return F.when(F.length(payload) == 16, from_little_endian(payload))
+
+
+# Fields of a version message before its user agent (name, kind, bytes); ports alone have the most significant byte first.
+VERSION_FIELDS = (
+    ("version", "int", 4),
+    ("services", "unsigned", 8),
+    ("time", "long", 8),
+    ("to_services", "unsigned", 8),
+    ("to_host", "host", 16),
+    ("to_port", "port", 2),
+    ("from_services", "unsigned", 8),
+    ("from_host", "host", 16),
+    ("from_port", "port", 2),
+    ("nonce", "unsigned", 8),
+)
+
+
+def _signed(digits: Column) -> Column:
+    n = from_little_endian(digits).cast("long")
+    return F.when(n >= 1 << 31, n - (1 << 32)).otherwise(n)
+
+
 def version_message(payload: Column) -> Column:
-    """STRUCT of the leading fields of a version message."""
-    number = lambda i, n: from_little_endian(F.substring(payload, 2 * i + 1, 2 * n))
-    return F.struct(
-        number(0, 4).cast("long").alias("version"),
-        number(4, 8).alias("services"),
-        number(12, 8).cast("long").alias("time"),
-        address_text(F.substring(payload, 57, 32)).alias("to_host"),
-        F.conv(F.substring(payload, 89, 4), 16, 10).cast("int").alias("to_port"),
-        number(72, 8).alias("nonce"),
-    )
+    """STRUCT of a version message's fields; null if it ends before the user agent, whose fields and later ones are null where they lack."""
+    read = {
+        "int": _signed,
+        "unsigned": from_little_endian,
+        "long": lambda x: from_little_endian(x).cast("long"),
+        "host": address_text,
+        "port": lambda x: F.conv(x, 16, 10).cast("int"),
+    }
+    fields, at = [], 1
+    for name, kind, size in VERSION_FIELDS:
+        fields.append(read[kind](F.substring(payload, at, 2 * size)).alias(name))
+        at += 2 * size
+    agent = F.conv(F.substring(payload, at, 2), 16, 10).cast("int") * 2
+    rest = F.substr(payload, agent + F.lit(at + 2))
+    fields.append(F.make_valid_utf8(F.unhex(F.substr(payload, F.lit(at + 2), agent)).cast("string")).alias("user_agent"))
+    fields.append(F.when(F.length(rest) >= 8, _signed(F.substring(rest, 1, 8))).alias("height"))
+    fields.append(F.when(F.length(rest) >= 10, F.substring(rest, 9, 2) != "00").alias("relay"))
+    return F.when(F.length(payload) >= at - 1, F.struct(*fields))
+
+
+def version_payload(fields: dict[str, Column], user_agent: Column, height: Column, relay: Column) -> Column:
+    """The payload of a version message from the fields that VERSION_FIELDS names."""
+    write = {
+        "int": lambda x, n: little_endian_hex(F.pmod(x.cast("long"), F.lit(1 << 32)), n),
+        "unsigned": little_endian_hex,
+        "long": little_endian_hex,
+        "host": lambda x, n: address_hex(x),
+        "port": lambda x, n: F.lower(F.lpad(F.hex(x.cast("long")), 2 * n, "0")),
+    }
+    agent = F.lower(F.hex(user_agent.cast("binary")))
+    head = [write[kind](fields[name], size) for name, kind, size in VERSION_FIELDS]
+    return F.concat(*head, little_endian_hex(F.length(agent) / 2, 1), agent, write["int"](height, 4), F.when(relay, "01").otherwise("00"))

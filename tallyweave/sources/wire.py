@@ -8,8 +8,9 @@ order, as hex.
 from __future__ import annotations
 
 import hashlib
+import io
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -136,20 +137,58 @@ def decode_txs(rows: DataFrame, raw: str, key: str, counted: bool = False) -> Da
     return rows.select(F.col(key), F.col(raw)).mapInArrow(run, schema)
 
 
-def frames(stream: bytes, magic: bytes) -> Iterator[tuple[str, bytes]]:
-    """(command, payload) of the framed messages in some bytes: looks for magic again after noise, drops bad checksums and an unfinished end."""
-    at = stream.find(magic)
-    while 0 <= at and at + 24 <= len(stream):
-        name, size, check = struct.unpack("<12sI4s", stream[at + 4 : at + 24])
-        payload = stream[at + 24 : at + 24 + size]
-        if len(payload) < size:
-            at = stream.find(magic, at + 1)
+#: Bytes that a payload may have; a length above is noise. And what is read at a time.
+MOST_PAYLOAD, READ_BYTES = 32 << 20, 1 << 20
+_FRAME_HEAD = 24
+
+
+def frames_in(read: Callable[[int], bytes], magic: bytes) -> Iterator[tuple[str, bytes]]:
+    """(command, payload) of the framed messages in what read(n) gives, n bytes at a time until there is nothing.
+
+    After noise magic is looked for again, bad checksums and an unfinished end
+    are dropped. No more is held than one message and what is read at a time.
+    """
+    held, at, ended = b"", 0, False
+
+    def more(need: int) -> bool:
+        """Whether so many bytes from at are held, read if need be."""
+        nonlocal held, at, ended
+        if len(held) - at < need and not ended:
+            parts = [held[at:]]
+            at, size = 0, len(parts[0])
+            while size < need:
+                data = read(max(READ_BYTES, need - size))
+                if not data:
+                    ended = True
+                    break
+                parts.append(data)
+                size += len(data)
+            held = b"".join(parts)
+        return len(held) - at >= need
+
+    while more(_FRAME_HEAD):
+        found = held.find(magic, at)
+        if found < 0:
+            at = len(held) - len(magic) + 1  # the mark may go on in what is read next
             continue
+        at = found
+        if not more(_FRAME_HEAD):
+            return
+        name, size, check = struct.unpack("<12sI4s", held[at + 4 : at + _FRAME_HEAD])
+        if size > MOST_PAYLOAD or not more(_FRAME_HEAD + size):
+            at += 1
+            continue
+        payload = held[at + _FRAME_HEAD : at + _FRAME_HEAD + size]
         if hashlib.sha256(hashlib.sha256(payload).digest()).digest()[:4] != check:
-            at = stream.find(magic, at + 1)
+            at += 1
             continue
         yield name.rstrip(b"\0").decode("ascii", "replace"), payload
-        at = stream.find(magic, at + 24 + size)
+        at += _FRAME_HEAD + size
+
+
+def frames(stream: bytes, magic: bytes) -> Iterator[tuple[str, bytes]]:
+    """The framed messages in some bytes."""
+    return frames_in(io.BytesIO(stream).read, magic)
 
 
 def framed(magic: bytes, command: str, payload: bytes) -> bytes:

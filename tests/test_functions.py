@@ -144,6 +144,6 @@ def test_inscriptions(spark):
 
 
 def test_formats(spark):
-    got = one(spark, FM.bytes_binary(F.lit(1536.0)), FM.bytes_decimal(F.lit(999)), FM.difficulty(F.lit(16307.42)), FM.duration(F.lit(90_061_000)), FM.duration(F.lit(-1)), FM.bitcoin(F.lit(5_000_000_000)), FM.relative_time(F.lit(-90)), FM.bytes_binary(F.lit(float("nan"))))
+    got = one(spark, FM.bytes_binary(F.lit(1536.0)), FM.bytes_decimal(F.lit(999)), FM.difficulty(F.lit(16307.42)), FM.duration(F.lit(90_061_000)), FM.duration(F.lit(-1)), FM.coins(F.lit(5_000_000_000)), FM.relative_time(F.lit(-90)), FM.bytes_binary(F.lit(float("nan"))))
     assert tuple(got) == ("1.5 KiB", "999 B", "16.31K", "1d1h1m1s", "0s", "BTC 50.00", "1 minute ago", "—")
     assert one(spark, FM.script_text(F.unhex(F.lit("41ff42")))).c0 == "A�B"

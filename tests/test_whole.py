@@ -32,13 +32,13 @@ def brute_merkle(level):
 
 
 def test_merkle_of_all_documents(spark, tables):
-    """Source a has its equal siblings at ids 6 and 7 only, which doc_id % 20 < 5 drops; source b none."""
+    """Source a has its equal siblings at ids 6 and 7 only, beyond the first five; source b none."""
     texts = {i: f"text {i - (i == 7)}" for i in range(45)}
     rows = [(i, "a", t) for i, t in texts.items()] + [(100 + i, "b", f"other {i}") for i in range(33)]
     at = tables(documents=(rows, "doc_id long, source string, text string"))
     want = {s: brute_merkle([sha256d(t.encode()) for _, own, t in rows if own == s]) for s in "ab"}
-    roots = {r.source: r.root for r in QUERIES["merkle_root_all_documents"](spark, at).collect()}
-    flags = {r.source: r.mutated for r in QUERIES["merkle_mutation_all_documents"](spark, at).collect()}
+    roots = {r.source: r.root for r in QUERIES["merkle_root_by_source"](spark, at).collect()}
+    flags = {r.source: r.mutated for r in QUERIES["merkle_mutation_flag"](spark, at).collect()}
     assert roots == {s: w[0] for s, w in want.items()} and flags == {s: w[1] for s, w in want.items()} == {"a": True, "b": False}
 
 
@@ -49,9 +49,9 @@ def events(n):
     return [(i, datetime.datetime(2024, 1, 1), i % 7, ("view", "error")[i % 2], f'{{"k": {i * i}}}') for i in range(n)]
 
 
-def test_format_bitcoin_of_all_orders(spark, tables):
+def test_format_coins_of_all_orders(spark, tables):
     rows = [(k, datetime.datetime(2020, 1 + k % 12, 1 + k % 28)) for k in (1, 2, 3, 7, 999, 1000, 4_000_001, 5_999_999)]
-    got = {r.o_orderkey: tuple(r)[1:] for r in QUERIES["format_bitcoin_all"](spark, tables(orders=(rows, "o_orderkey long, o_orderdate timestamp"))).collect()}
+    got = {r.o_orderkey: tuple(r)[1:] for r in QUERIES["format_coins"](spark, tables(orders=(rows, "o_orderkey long, o_orderdate timestamp"))).collect()}
     assert got == {k: (f"BTC {k // 4:,}.{k % 4 * 25:02d}", f"{k:,}", f"0x{k:08x}", f"{d.month}/{d.day}/{d.year}", min(k / 4_000_000, 1.0)) for k, d in rows}
 
 
@@ -66,19 +66,19 @@ def test_relative_time_of_all_events(spark, tables):
         return "now" if unit is None else f"{text} ago" if n < 0 else f"in {text}"
 
     rows = events(2400) + [(3_000_000, *events(1)[0][1:])]
-    got = {r.event_id: r.shown for r in QUERIES["relative_time_all"](spark, tables(events=(rows, EVENTS))).collect()}
+    got = {r.event_id: r.shown for r in QUERIES["relative_time"](spark, tables(events=(rows, EVENTS))).collect()}
     assert got == {r[0]: shown(r[0]) for r in rows}
 
 
 def test_frames_of_all_events(spark, tables):
     rows = events(1203)
-    got = sorted(map(tuple, QUERIES["frame_source_all"](spark, tables(events=(rows, EVENTS))).collect()))
+    got = sorted(map(tuple, QUERIES["frame_source"](spark, tables(events=(rows, EVENTS))).collect()))
     assert got == [(i, kind, hashlib.sha256(props.encode()).hexdigest()) for i, _, _, kind, props in rows]
 
 
 def test_parse_all_block_keys(spark, tables):
     rows = events(700)
-    got = sorted(map(tuple, QUERIES["parse_block_keys_all"](spark, tables(events=(rows, EVENTS))).collect()))
+    got = sorted(map(tuple, QUERIES["parse_block_keys"](spark, tables(events=(rows, EVENTS))).collect()))
     digests = {i: sha256d(f"{i}|{kind}|{user}".encode()) for i, _, user, kind, _ in rows}
     assert got == sorted((d[::-1].hex(), None, d.hex()) if i % 3 == 0 else (str(i), i, None) for i, d in digests.items())
 
