@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,6 +12,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import checkpoint, new_dir, shared_dir  # noqa: F401
+
 #: Lower-cases A-Z and nothing else, on UTF-8 bytes.
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Rows that one Arrow batch may hold, so that a batch of long texts stays small.
@@ -53,26 +54,41 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
-        sc.setCheckpointDir(at)
-    return at
+#: Folders that operators made, by the session's application; what they hold is read as long as their results are.
+_MADE: dict[str, list[str]] = {}
 
 
 def work_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new folder in the shared folder, removed by ``release`` or when the driver ends."""
+    folder = new_dir(spark, what)
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Remove the folders that operators made since so many were there, but those to keep. Results that aren't written yet can't be read any more."""
+    made = _MADE.get(spark.sparkContext.applicationId, [])
+    _remove([x for x in made[since:] if x not in keep])
+    made[since:] = [x for x in made[since:] if x in keep]
+
+
+def made(spark: SparkSession) -> int:
+    """How many folders operators have made that are still there."""
+    return len(_MADE.get(spark.sparkContext.applicationId, []))
+
+
+def _remove(folders: list[str]) -> None:
+    for folder in folders:
+        with contextlib.suppress(OSError):
+            fs, path = filesystem(folder)
+            fs.delete_dir(path)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+@atexit.register
+def _remove_all() -> None:
+    for folders in _MADE.values():
+        _remove(folders)
+    _MADE.clear()
 
 
 #: Keys that count as frequent at most, as a key must have more than the rows' share of this number; and the fewest rows of one.

@@ -122,7 +122,7 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents, with their columns, that quality keeps."""
+    """The documents, with their columns, that quality keeps: null and empty texts go, rows with equal or null doc_id are each judged, an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
