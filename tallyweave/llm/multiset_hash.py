@@ -12,6 +12,7 @@ many word pairs differ, and so their likeness.
 
 from __future__ import annotations
 
+from collections import Counter
 from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
@@ -95,13 +96,20 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     The next document is the one after in ascending doc_id, the first after the
     last; null doc_ids come first and equal ones in the order of a hash of their
-    texts. Null texts are empty; a text under four characters is its own edit;
+    texts; rows with one doc_id, or none, may be many. Very long texts count
+    whole. Null texts are empty; a text under four characters is its own edit;
     a table of one row is followed by itself; an empty one gives an empty result.
     """
     parts = shuffle_parts(docs.sparkSession)
+    bits = max(1, (parts - 1).bit_length())
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = source.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else []
-    place = F.when(F.col("doc_id").isNull(), -1).otherwise(_bucket(F.col("doc_id"), sorted(set(cuts or []))))
+    # A doc_id that is several of the quantiles is in many rows; those and null ones go on by the hash that orders them.
+    often = [x for x, n in Counter(cuts or []).items() if n > 1]
+    line_of = _bucket(F.col("doc_id"), sorted(set(cuts or []))).cast("long")
+    by_hash = F.shiftright(F.xxhash64("text"), 64 - bits) + F.lit(1 + (1 << bits - 1))
+    many = F.col("doc_id").isNull() | (F.col("doc_id").isin(often) if often else F.lit(False))
+    place = F.when(F.col("doc_id").isNull(), -1).otherwise(line_of) * F.lit(2 << bits) + F.when(many, by_hash).otherwise(F.lit(0))
     rows = source.select("doc_id", "text", place.alias("bucket"), F.xxhash64("text").alias("h"), F.lit(False).alias("ghost"))
     # The first row of each bucket follows the last one of the bucket before it, where it stands as a ghost: at most a row for each partition.
     least = source.select("doc_id", place.alias("bucket")).groupBy("bucket").agg(F.min("doc_id").alias("least"))
