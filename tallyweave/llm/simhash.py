@@ -6,6 +6,10 @@ Of two fingerprints at 3 or fewer differing bits, one half of 32 bits differs
 in at most one, so there the vectors are equal or one step apart: a range-join
 on the grid of each half's vectors, where a fingerprint stands in its own cell
 and looks into those one step up. What meets in a cell is verified exactly.
+
+A cell of very many fingerprints is split by the bits that it says nothing of:
+of their two parts one differs in at most one bit again, and so on until a cell
+has few. So the work grows with the fingerprints, not with a cell's square.
 """
 
 from __future__ import annotations
@@ -19,14 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bwt import mix
 from .common import COLUMNS, LOWER_AZ, batch, by_bytes, checkpoint, document_columns, encoded, joined_to_counts, texts, tidy
 from .components import components
 
 WORDS, SEED, BITS = 3, 42, 3
 #: Shingles whose bits are counted at once.
 SHINGLES = 1 << 19
-#: Rows of a cell that are compared at once; larger cells are dealt out by pairs of blocks.
-CELL = 512
+#: Fingerprints of a cell that are compared at once; larger cells are split by parts of the other half, the last of so many bits.
+CELL, LEAST_PART = 512, 4
 _EVEN = np.uint64(0x5555555555555555)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -156,17 +161,58 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield whole(*kept)
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, fp, at, bits): each fingerprint of a cell into the cells of the parts of the bits from at on, and one step up; the other part is left."""
+    for b in batches:
+        cell, fp = (b.column(i).to_numpy().view(np.uint64) for i in range(2))
+        at, bits = (b.column(i).to_numpy() for i in (2, 3))
+        for size in np.unique(bits):
+            own = np.flatnonzero(bits == size)
+            half = int(size) // 2
+            counts = embedding(fp[own])
+            for part in (0, 1):
+                begin = (at[own] + half * part).astype(np.uint64)
+                left = (at[own] + half * (1 - part)).astype(np.int32)
+                vector = (counts >> begin) & np.uint64((1 << half) - 1)
+                steps = [(None, own, vector)]
+                for i in range(half // 2):
+                    up = np.flatnonzero((vector >> np.uint64(2 * i)) & np.uint64(3) < 2)
+                    steps.append((up, own[up], vector[up] + np.uint64(1 << 2 * i)))
+                for up, rows, v in steps:
+                    keys = mix(mix(cell[rows]) + (v << np.uint64(1)) + np.uint64(part))
+                    n = len(rows)
+                    yield batch(
+                        {
+                            "cell": (keys.view(np.int64), pa.int64()),
+                            "fp": (fp[rows].view(np.int64), pa.int64()),
+                            "home": (np.full(n, up is None), pa.bool_()),
+                            "at": (left if up is None else left[up], pa.int32()),
+                            "bits": (np.full(n, half, np.int32), pa.int32()),
+                        }
+                    )
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Links (u, v) between distinct fingerprints (fp) that connect all at BITS or fewer differing bits."""
-    cells = checkpoint(fps.mapInArrow(tidy(_cells), "cell long, fp long, home boolean"))
-    live = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("home")).where("n > 1 and home").select("cell", "n")
-    blocks = F.ceil(F.col("n") / CELL)
-    own = F.pmod(F.xxhash64("fp"), blocks)
-    met = cells.join(live, "cell").select("cell", "fp", blocks.alias("blocks"), own.alias("own"))
-    pairs = met.select("cell", "fp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    block = F.least("own", "other") * (1 << 31) + F.greatest("own", "other")
-    dealt = pairs.select("cell", block.alias("block"), "fp").repartition("cell", "block").sortWithinPartitions("cell", "block")
-    return dealt.mapInArrow(tidy(_verify), "u long, v long")
+    cells = fps.mapInArrow(tidy(_cells), "cell long, fp long, home boolean")
+    at = F.when(F.shiftrightunsigned("cell", 32).bitwiseAND(F.lit(1)) == 1, 0).otherwise(32)
+    cells, few = checkpoint(cells.select("*", at.cast("int").alias("at"), F.lit(32).alias("bits"))), None
+    while True:
+        live = checkpoint(cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("home")).where("n > 1 and home").select("cell", "n"))
+        met = joined_to_counts(cells.select("cell", "fp", "at", "bits"), live, ["cell"])
+        splits = (F.col("n") > CELL) & (F.col("bits") >= 2 * LEAST_PART)
+        # What can't be split any more differs in few bits at most; its pairs of blocks are compared.
+        blocks = F.ceil(F.col("n") / CELL)
+        own = F.pmod(F.xxhash64("fp"), blocks)
+        pairs = met.where(~splits).select("cell", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+        block = F.least("own", "other") * (1 << 31) + F.greatest("own", "other")
+        rows = pairs.select("cell", block.alias("block"), "fp")
+        few = rows if few is None else few.unionByName(rows)
+        hot = met.where(splits)
+        if not live.where(F.col("n") > CELL).limit(1).count() or not hot.limit(1).count():
+            break
+        cells = checkpoint(hot.select("cell", "fp", "at", "bits").mapInArrow(tidy(_split), "cell long, fp long, home boolean, at int, bits int"))
+    return few.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(tidy(_verify), "u long, v long")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -192,7 +238,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, with their columns, of the smallest doc_id in each component; of rows with the same doc_id and component, one."""
+    """The documents, with their columns, of the smallest doc_id in each component; of rows with the same doc_id and component, one.
+
+    Null and empty texts are near-duplicates of each other, so one of them stays;
+    a null doc_id stays only where a component has no other; an empty table gives
+    an empty result.
+    """
     docs = document_columns(docs)
     groups = checkpoint(grouped(docs))
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
