@@ -3,7 +3,7 @@
 A word's features are its byte n-grams, those at its edges being its affixes,
 and the word itself (the lexicon), hashed to fixed tables. Weights and
 transitions are fitted on a bounded sample of labelled documents, cut into runs
-of words and shuffled so that languages switch within a sequence. Forward and
+of words in the executors and shuffled so that languages switch within a sequence. Forward and
 backward passes over a whole text give each word's chances; their mean over the
 words with letters is the text's.
 """
@@ -15,14 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import COLUMNS_SCHEMA, by_bytes, crc32_of, document_columns, gathered, texts, tidy
+from .common import COLUMNS_SCHEMA, by_bytes, crc32_of, document_columns, gathered, small_batches, texts, tidy
 from .hmm import by_position
 
-#: Labelled documents of each language that the fit uses, about, and of all languages at most.
+#: Labelled documents of each language that the fit uses at most, and of all languages, among which they are shared out evenly (one each at least).
 SAMPLE, SAMPLE_MOST = 250, 4000
+#: Words of a document that the fit uses at most, in runs from all over it, and the bytes of a word.
+SAMPLE_WORDS, WORD_BYTES = 600, 200
 #: Bits of the feature tables' hashes, and lengths of n-grams.
 TABLE_BITS, GRAMS = 16, (2, 3, 4)
 #: Steps, step size and penalty of the fit; words in a training run and runs in a sequence.
@@ -32,10 +34,15 @@ LABEL_BYTES = 4 << 20
 #: The least score of a document whose language counts as known.
 SURE = 0.4
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numerals such as fractions and Roman ones, which aren't.
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.uint32(2654435761)
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
+
+
 def split(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").split()
 
@@ -98,15 +105,26 @@ class Field:
         return np.add.reduceat(self.weights[rows], first, axis=0)
 
 
+def runs_of(text: str) -> list[list[bytes]]:
+    """Runs of a text's words that the fit uses: all, or as many as SAMPLE_WORDS allows, evenly from the whole text."""
+    words = [w[:WORD_BYTES] for w in split(text)]
+    starts = range(0, len(words), RUN)
+    most = max(1, SAMPLE_WORDS // RUN)
+    if len(starts) > most:
+        starts = [starts[i * len(starts) // most] for i in range(most)]
+    return [words[i : i + RUN] for i in starts]
+
+
 def fit(sample: list[tuple[str, str]], seed: int = 7) -> Field:
     """Fit a field to (text, label) rows; every word of a text has the text's label."""
-    labels = sorted({label for _, label in sample})
+    return fit_runs([(run, label) for text, label in sample for run in runs_of(text)], sorted({label for _, label in sample}), seed)
+
+
+def fit_runs(sample: list[tuple[list[bytes], str]], labels: list[str], seed: int = 7) -> Field:
+    """Fit a field to (words, label) rows."""
     rng = np.random.default_rng(seed)
     known: dict[bytes, int] = {}
-    runs = []
-    for text, label in sample:
-        ids = [known.setdefault(w, len(known)) for w in split(text)]
-        runs += [(ids[i : i + RUN], labels.index(label)) for i in range(0, len(ids), RUN)]
+    runs = [([known.setdefault(w, len(known)) for w in words], labels.index(label)) for words, label in sample if words]
     field = Field(labels, np.zeros(((len(GRAMS) + 1) << TABLE_BITS, len(labels)), np.float32), np.zeros((len(labels), len(labels))))
     if len(labels) < 2 or not runs:
         return field
@@ -142,14 +160,14 @@ def fit(sample: list[tuple[str, str]], seed: int = 7) -> Field:
 def predict(field: Field, items: list[str]) -> tuple[list[str], np.ndarray]:
     """Label and score of each text."""
     labels, scores = [UNDETERMINED] * len(items), np.zeros(len(items))
-    use = [i for i, x in enumerate(items) if x and _LETTER.search(x)] if field.labels else []
+    use = [i for i, x in enumerate(items) if x and has_letter(x)] if field.labels else []
     if use:
         known: dict[bytes, int] = {}
         place = known.setdefault
         coded = [np.array([place(w, len(known)) for w in split(items[i])], np.int64) for i in use]
         names = list(known)
         emit = field.emissions(names)
-        lettered = np.array([any(c >= 128 or 97 <= c <= 122 for c in w) for w in names])
+        lettered = np.array([has_letter(w.decode("utf-8", "replace")) for w in names])
         ids, active, order = by_position(coded)
         chance, _, _ = marginals(emit[ids].astype(float), field.step, active)
         row = np.concatenate([np.arange(n) for n in active])
@@ -168,25 +186,43 @@ def held_out(docs: DataFrame):
 
 
 def train(docs: DataFrame) -> Field:
-    """Fit on about SAMPLE documents of each language, chosen by a hash of doc_id, SAMPLE_MOST at most."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(docs))
+    """Fit on at most SAMPLE documents of each language, chosen by a hash of doc_id and text, and no more than SAMPLE_MOST of all.
+
+    What comes to the driver is bounded: so many documents, and of each at most
+    SAMPLE_WORDS words of at most WORD_BYTES bytes.
+    """
+    small_batches(docs.sparkSession)
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(docs)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return fit([])
-    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = F.lit(False)
+    each = max(1, min(SAMPLE, SAMPLE_MOST // len(counts)))
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    # So many rows of a language that the least of them are as many as are wanted, but for a chance that isn't worth a word.
+    share = F.lit(0.0)
     for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (place < min(1.0, SAMPLE / n)))
-    rows = labelled.where(chosen).select("text", "lang", place.alias("place")).orderBy("place", "lang").limit(SAMPLE_MOST).collect()
-    return fit([(r["text"], r["lang"]) for r in rows])
+        share = F.when(F.col("lang") == lang, min(1.0, (1.5 * each + 30) / n)).otherwise(share)
+    few = labelled.select("text", "lang", place.alias("place")).where(F.col("place") < share)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            runs = [runs_of(x) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(runs, pa.list_(pa.list_(pa.binary()))), b.column(1).cast(pa.string()), b.column(2)], names=["runs", "lang", "place"])
+
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", F.xxhash64("runs")))
+    rows = few.mapInArrow(cut, "runs array<array<binary>>, lang string, place double").select("*", rank.alias("rank")).where(F.col("rank") <= each).collect()
+    rows.sort(key=lambda r: (r["place"], r["lang"]))
+    return fit_runs([([bytes(w) for w in run], r["lang"]) for r in rows for run in r["runs"]], sorted(counts))
 
 
 def identify(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each document.
 
-    Null texts and texts without a letter are ``und`` with score 0, as all are
-    if no document is labelled. Rows with equal or null doc_id are each
-    labelled; an empty table gives an empty result.
+    Null texts and texts without a letter (by Unicode's categories, so numerals
+    are none) are ``und`` with score 0, as all are if no document is labelled.
+    Rows with equal or null doc_id are each labelled; very long texts are
+    labelled whole; of equal chances the language first by name is taken; an
+    empty table gives an empty result.
     """
     field = field or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast((field.labels, field.weights, field.step))
@@ -207,7 +243,9 @@ def identify(docs: DataFrame, field: Field | None = None) -> DataFrame:
 def keep_known(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """The documents, with their columns, whose language is known; learnt from these documents unless field is given.
 
-    If no document is labelled nothing can be told, and all stay.
+    If no document is labelled nothing can be told, and all stay. Null texts and
+    texts without a letter go; rows with equal or null doc_id are each judged; an
+    empty table gives an empty result.
     """
     field = field or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast((field.labels, field.weights, field.step))
