@@ -4,7 +4,7 @@ A text is brought to a canonical form: A-Z to lower case, lines of copyright
 notices dropped, everything but letters and digits to single blanks, equivalent
 spellings to one. Its SHA-256 is looked up among those of known licences in a
 hash join; so are the digests of its lines, as notices often stand in a line of
-their own. Only DataFrame functions; the same steps are given as SQL, with the
+their own (NOTICES, made of names and sentences). Only DataFrame functions; the same steps are given as SQL, with the
 texts of KNOWN and a coarser rule for notices.
 """
 
@@ -56,16 +56,29 @@ KNOWN = (
     ("ISC", _ISC.split("\n", 1)[1]),
     ("0BSD", _ZERO_BSD),
     ("Unlicense", _UNLICENSE),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
 )
+# How licences are called in notices, and sentences that name them.
+NAMES = (
+    ("MIT", ("the MIT License",)),
+    ("Apache-2.0", ("the Apache License, Version 2.0", "the Apache License 2.0")),
+    ("GPL-2.0-only", ("the GNU General Public License, version 2", "the GNU General Public License v2.0")),
+    ("GPL-3.0-only", ("the GNU General Public License, version 3", "the GNU General Public License v3.0")),
+    ("LGPL-2.1-only", ("the GNU Lesser General Public License, version 2.1", "the GNU Lesser General Public License v2.1")),
+    ("LGPL-3.0-only", ("the GNU Lesser General Public License, version 3", "the GNU Lesser General Public License v3.0")),
+    ("AGPL-3.0-only", ("the GNU Affero General Public License, version 3", "the GNU Affero General Public License v3.0")),
+    ("BSD-2-Clause", ("the BSD 2-Clause License", "the 2-Clause BSD License")),
+    ("BSD-3-Clause", ("the BSD 3-Clause License", "the 3-Clause BSD License")),
+    ("MPL-2.0", ("the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0")),
+    ("ISC", ("the ISC License",)),
+    ("CC0-1.0", ("CC0 1.0",)),
+    ("CC-BY-4.0", ("CC BY 4.0", "the Creative Commons Attribution 4.0 International License")),
+    ("CC-BY-SA-4.0", ("CC BY-SA 4.0", "the Creative Commons Attribution-ShareAlike 4.0 International License")),
+    ("CC-BY-NC-4.0", ("CC BY-NC 4.0", "the Creative Commons Attribution-NonCommercial 4.0 International License")),
+    ("CC-BY-ND-4.0", ("CC BY-ND 4.0", "the Creative Commons Attribution-NoDerivatives 4.0 International License")),
+)
+SENTENCES = ("Licensed under {}.", "Released under {}.", "Distributed under {}.", "This work is licensed under {}.", "This project is licensed under {}.", "This software is licensed under {}.", "This program is licensed under {}.", "This file is licensed under {}.")
+#: All that is known but the full texts in files.
+NOTICES = tuple((name, sentence.format(called)) for name, calls in NAMES for called in calls for sentence in SENTENCES) + tuple((name, f"SPDX-License-Identifier: {name}") for name, _ in NAMES)
 # Full texts that stand in license_texts (identifier, file); a text doesn't tell "only" from "or later".
 FULL = (
     ("Apache-2.0", "Apache-2.0"),
@@ -121,9 +134,15 @@ def canonical(text: Column) -> Column:
     """The canonical form, a blank at either end."""
     out = F.regexp_replace(F.translate(text, UPPER, LOWER), NOTICE_LINE, "")
     out = F.regexp_replace(F.concat(F.lit(" "), out, F.lit(" ")), OTHER, " ")
+    # Each word gets blanks of its own, so that one that is replaced takes none from the next.
+    out = F.replace(out, F.lit(" "), F.lit("  "))
     for spelling, to in SPELLINGS:
-        out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {to} "))
-    return out
+        out = F.replace(out, F.lit(f" {_apart(spelling)} "), F.lit(f" {_apart(to)} "))
+    return F.replace(out, F.lit("  "), F.lit(" "))
+
+
+def _apart(words: str) -> str:
+    return words.replace(" ", "  ")
 
 
 def digest(text: Column) -> Column:
@@ -152,11 +171,11 @@ def _full_texts() -> list[tuple[str, str]]:
 
 
 def known(spark: SparkSession, licenses: DataFrame | None = None) -> DataFrame:
-    """(digest, license, form) of the known texts, KNOWN and the full texts unless others are given as (license, text); form is canonical.
+    """(digest, license, form) of the known texts, KNOWN, NOTICES and the full texts unless others are given as (license, text); form is canonical.
 
     Of licences whose texts have the same form, the first by name. Null and blank texts are dropped.
     """
-    rows = spark.createDataFrame([*KNOWN, *_full_texts()], "license string, text string") if licenses is None else licenses.select("license", "text").limit(MOST_KNOWN + 1)
+    rows = spark.createDataFrame([*KNOWN, *NOTICES, *_full_texts()], "license string, text string") if licenses is None else licenses.select("license", "text").limit(MOST_KNOWN + 1)
     held = rows.select(canonical(F.col("text")).alias("form"), "license").where("license is not null and trim(form) <> ''")
     return held.groupBy("form").agg(F.min("license").alias("license")).select(F.sha2(F.col("form").cast("binary"), 256).alias("digest"), "license", "form")
 
@@ -174,35 +193,39 @@ def _needed(forms: list[str]) -> str:
 def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license (of the entire text), line_licenses and n_license_lines.
 
-    Known licences are KNOWN and the full texts in license_texts, or those of
-    the given table (license, text), of at most MOST_KNOWN rows; ValueError for
-    more. A null text is as an empty one, and matches nothing; licences of lines
-    are distinct, ascending and joined by blanks, an empty string if there are
-    none; rows with equal or null doc_id are each scanned; an empty table gives
-    an empty result. Known digests are few, so they stand in an array that every
-    row looks into, and no row moves.
+    Known licences are KNOWN, NOTICES and the full texts in license_texts, or
+    those of the given table (license, text), of at most MOST_KNOWN rows;
+    ValueError for more. The digests of entire texts and of lines meet those of
+    the known texts in a hash join, and only what is found moves further. A null
+    text is as an empty one, and matches nothing; licences of lines are distinct,
+    ascending and joined by blanks, an empty string if there are none; rows with
+    equal or null doc_id are each scanned; very long texts are scanned whole; an
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     if licenses is not None and licenses.limit(MOST_KNOWN + 1).count() > MOST_KNOWN:
         raise ValueError(f"more than {MOST_KNOWN} known licences")
     table = known(spark, licenses).collect()  # at most MOST_KNOWN rows
     held = spark.createDataFrame([(r["digest"], r["license"]) for r in table], "digest string, license string")
-    lookup = F.create_map(*[F.lit(x) for r in table for x in (r["digest"], r["license"])]) if table else F.lit(None).cast("map<string,string>")
-    text = F.coalesce(F.col("text"), F.lit(""))
     needed = _needed([r["form"] for r in table])
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, UPPER, LOWER).rlike(needed))
-    found = F.filter(F.transform(lines, lambda x: F.try_element_at(lookup, digest(x))), lambda x: x.isNotNull())
-    whole = digest(text)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("digest"), found.alias("found"))
-    return rows.join(F.broadcast(held), "digest", "left").select("doc_id", "digest", "license", F.array_join(F.array_sort(F.array_distinct("found")), " ").alias("line_licenses"), F.size("found").cast("long").alias("n_license_lines"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    whole = rows.select("doc_id", F.xxhash64("text").alias("h"), digest(F.col("text")).alias("digest"), "text")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, UPPER, LOWER).rlike(needed))
+    parts = whole.select("doc_id", "h", F.col("digest").alias("whole"), F.posexplode(F.transform(lines, digest)).alias("at", "digest"))
+    found = parts.join(F.broadcast(held), "digest").groupBy(F.col("doc_id").alias("of"), F.col("h").alias("h_of"), "whole").agg(F.array_join(F.array_sort(F.collect_set("license")), " ").alias("line_licenses"), F.count_distinct("at").alias("n_license_lines"))
+    # Rows with the same doc_id, hash and digest are the same text, and what is found in it is counted by line, once.
+    told = whole.drop("text").join(F.broadcast(held), "digest", "left")
+    met = told.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("h_of")) & (F.col("digest") == F.col("whole")), "left")
+    return met.select("doc_id", "digest", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"), F.coalesce("n_license_lines", F.lit(0)).cast("long").alias("n_license_lines"))
 
 
 def _sql_canonical(text: str) -> str:
     out = f"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '{NOTICE}', '', 'g')"
     out = f"regexp_replace(' ' || {out} || ' ', '{OTHER}', ' ', 'g')"
+    out = f"replace({out}, ' ', '  ')"
     for spelling, to in SPELLINGS:
-        out = f"replace({out}, ' {spelling} ', ' {to} ')"
-    return out
+        out = f"replace({out}, ' {_apart(spelling)} ', ' {_apart(to)} ')"
+    return f"replace({out}, '  ', ' ')"
 
 
 def _quoted(text: str) -> str:
@@ -210,7 +233,7 @@ def _quoted(text: str) -> str:
 
 
 def oracle() -> str:
-    values = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in KNOWN)
+    values = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in (*KNOWN, *NOTICES))
     return f"""
 WITH known AS (SELECT DISTINCT sha256({_sql_canonical('t')}) AS digest, name FROM (VALUES {values}) AS v(name, t)),
 docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
