@@ -134,15 +134,11 @@ def canonical(text: Column) -> Column:
     """The canonical form, a blank at either end."""
     out = F.regexp_replace(F.translate(text, UPPER, LOWER), NOTICE_LINE, "")
     out = F.regexp_replace(F.concat(F.lit(" "), out, F.lit(" ")), OTHER, " ")
-    # Each word gets blanks of its own, so that one that is replaced takes none from the next.
-    out = F.replace(out, F.lit(" "), F.lit("  "))
     for spelling, to in SPELLINGS:
-        out = F.replace(out, F.lit(f" {_apart(spelling)} "), F.lit(f" {_apart(to)} "))
-    return F.replace(out, F.lit("  "), F.lit(" "))
-
-
-def _apart(words: str) -> str:
-    return words.replace(" ", "  ")
+        # Once more, as a word that is replaced takes the blank that an equal one after it begins with.
+        for _ in range(2):
+            out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {to} "))
+    return out
 
 
 def digest(text: Column) -> Column:
@@ -181,13 +177,18 @@ def known(spark: SparkSession, licenses: DataFrame | None = None) -> DataFrame:
 
 
 def _needed(forms: list[str]) -> str:
-    """A pattern that any line with one of the forms matches: "license" in some spelling, or else a long word of the form that no spelling touches."""
+    """A pattern that any line with one of the forms matches: "license" in some spelling, or else the form's last words, as far as no spelling touches them."""
     touched = {w for _, to in SPELLINGS for w in to.split()}
-    words = {"licen[cs]e"}
+    found = {"licen[cs]e"}
     for form in forms:
         if "license" not in form:
-            words.add(max((w for w in form.split() if w not in touched), key=lambda w: (len(w), w), default=""))
-    return "" if "" in words else "|".join(sorted(words))
+            tail: list[str] = []
+            for w in reversed(form.split()[-4:]):
+                if w in touched:
+                    break
+                tail.insert(0, re.escape(w))
+            found.add(OTHER.join(tail))
+    return "" if "" in found else "|".join(sorted(found))
 
 
 def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
@@ -209,17 +210,23 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     held = spark.createDataFrame([(r["digest"], r["license"]) for r in table], "digest string, license string")
     needed = _needed([r["form"] for r in table])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    whole = rows.select("doc_id", F.xxhash64("text").alias("h"), digest(F.col("text")).alias("digest"), "text")
+    size = F.length("text")
+    whole = rows.select("doc_id", F.xxhash64("text", size).alias("h"), digest(F.col("text")).alias("digest"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, UPPER, LOWER).rlike(needed))
-    parts = whole.select("doc_id", "h", F.col("digest").alias("whole"), F.posexplode(F.transform(lines, digest)).alias("at", "digest"))
-    found = parts.join(F.broadcast(held), "digest").groupBy(F.col("doc_id").alias("of"), F.col("h").alias("h_of"), "whole").agg(F.array_join(F.array_sort(F.collect_set("license")), " ").alias("line_licenses"), F.count_distinct("at").alias("n_license_lines"))
-    # Rows with the same doc_id, hash and digest are the same text, and what is found in it is counted by line, once.
-    told = whole.drop("text").join(F.broadcast(held), "digest", "left")
-    met = told.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("h_of")) & (F.col("digest") == F.col("whole")), "left")
+    parts = rows.select("doc_id", F.xxhash64("text", size).alias("h"), F.posexplode(F.transform(lines, digest)).alias("at", "digest"))
+    found = parts.join(F.broadcast(held), "digest").groupBy(F.col("doc_id").alias("of"), F.col("h").alias("h_of")).agg(F.array_join(F.array_sort(F.collect_set("license")), " ").alias("line_licenses"), F.count_distinct("at").alias("n_license_lines"))
+    # Rows with the same doc_id and hash are the same text, and what is found in it is counted by line, once.
+    told = whole.join(F.broadcast(held), "digest", "left")
+    met = told.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("h_of")), "left")
     return met.select("doc_id", "digest", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"), F.coalesce("n_license_lines", F.lit(0)).cast("long").alias("n_license_lines"))
 
 
+def _apart(words: str) -> str:
+    return words.replace(" ", "  ")
+
+
 def _sql_canonical(text: str) -> str:
+    """The canonical form in SQL, where each word has blanks of its own while spellings are replaced."""
     out = f"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '{NOTICE}', '', 'g')"
     out = f"regexp_replace(' ' || {out} || ' ', '{OTHER}', ' ', 'g')"
     out = f"replace({out}, ' ', '  ')"
