@@ -195,6 +195,26 @@ class _Contexts:
         return batch({name: (x, kind) for name, x, kind in zip(("key", "row", "start", "size", "at", "from", "to", "bytes"), columns, kinds)})
 
 
+class _Seen:
+    """Tells equal contexts of a task from new ones: all of the equal ones go, and only the first is handed on."""
+
+    def __init__(self, out: _Contexts):
+        self.out, self.held, self.weight = out, {}, 0
+
+    def new(self, key: int, row: int, start: int, text: bytes) -> bool:
+        if (key, text) not in self.held:
+            if self.weight > SEEN_BYTES:  # equal ones on either side of this meet later on
+                self.held, self.weight = {}, 0
+            self.held[key, text] = row, start
+            self.weight += len(text)
+            return True
+        self.out.goes(row, start, len(text))
+        if (first := self.held[key, text]) is not None:
+            self.out.goes(*first, len(text))
+            self.held[key, text] = None
+        return False
+
+
 def _anchor_places(texts_: list[bytes], keys: list[int], gram: int) -> list[int]:
     """Where in each text the string of its anchor stands first."""
     cut = ranges(np.array([len(x) for x in texts_]))
@@ -210,8 +230,7 @@ def _context_rows(met: DataFrame, folder: str, parts: int, size: int, hot: bool)
         out = _Contexts()
         for part, (rows, anchor, start, length) in _grouped(batches):
             numbers = rows & ((1 << _ROW) - 1)
-            seen: dict[tuple[int, bytes], tuple[int, int] | None] = {}
-            weight = 0
+            seen = _Seen(out)
             for row, x in _batches(folder, part, ["text"]):
                 lo, hi = np.searchsorted(numbers, [row, row + x.num_rows])
                 if lo == hi:
@@ -222,17 +241,8 @@ def _context_rows(met: DataFrame, folder: str, parts: int, size: int, hot: bool)
                     if number != last:
                         last, text = number, zlib.decompress(x.column(0)[number - row].as_py())
                     piece = text[begin : begin + n]
-                    if (key, piece) not in seen:
-                        seen[key, piece] = row_id, begin
-                        weight += n
+                    if seen.new(key, row_id, begin, piece):
                         fresh.append((key, row_id, begin, piece))
-                        continue
-                    out.goes(row_id, begin, n)
-                    if (first := seen[key, piece]) is not None:
-                        out.goes(*first, n)
-                        seen[key, piece] = None
-                    if weight > SEEN_BYTES:
-                        seen, weight = {}, 0
                 places = _anchor_places([f[3] for f in fresh], [f[0] for f in fresh], GRAM) if hot and fresh else [0] * len(fresh)
                 for (key, row_id, begin, piece), at in zip(fresh, places):
                     out.add(key, row_id, begin, at, 0, size - GRAM + 1, piece)
@@ -242,22 +252,25 @@ def _context_rows(met: DataFrame, folder: str, parts: int, size: int, hot: bool)
 
 
 def _narrowed(contexts: DataFrame, size: int) -> DataFrame:
-    """Contexts once each (all of equal ones go), in two halves by the place of the anchor in their windows.
+    """Contexts once each (all of equal ones go), in two halves by the place of the anchor in their windows, equal halves of a task once too.
 
     The key of a half is what all of its windows hold around the anchor. Halves of a single place are one window, and need no other key.
     """
 
-    def halves(out: _Contexts, row: int, start: int, at: int, low: int, high: int, text: bytes) -> None:
+    def halves(out: _Contexts, seen: _Seen, row: int, start: int, at: int, low: int, high: int, text: bytes) -> None:
         middle = (low + high) // 2
         for a, b in ((low, middle), (middle, high)):
             # A window that starts at s has the anchor at place at - s.
             first, end = max(0, at - b + 1), min(len(text) - size, at - a) + 1
             if a < b and first < end:
                 key = xxhash.xxh64_intdigest(text[at - a : at - b + 1 + size], a << 16 | b)
-                out.add(key - (1 << 64) * (key >> 63), row, start + first, at - first, a, b, text[first : end - 1 + size])
+                key, half = key - (1 << 64) * (key >> 63), text[first : end - 1 + size]
+                if seen.new(key, row, start + first, half):
+                    out.add(key, row, start + first, at - first, a, b, half)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held, alone = _Contexts(), None, True
+        seen = _Seen(out)
         for b in batches:
             for key, row, start, at, low, high, text in zip(*(b.column(i).to_pylist() for i in range(7))):
                 if held is not None and (held[0], held[-1]) == (key, text):
@@ -267,11 +280,11 @@ def _narrowed(contexts: DataFrame, size: int) -> DataFrame:
                     alone = False
                     continue
                 if held is not None and held[5] - held[4] > 1:
-                    halves(out, *held[1:])
+                    halves(out, seen, *held[1:])
                 held, alone = (key, row, start, at, low, high, text), True
             yield out.batch()
         if held is not None and held[5] - held[4] > 1:
-            halves(out, *held[1:])
+            halves(out, seen, *held[1:])
             yield out.batch()
 
     dealt = contexts.select("key", "row", "start", "at", "from", "to", "bytes").repartition(F.col("key"), F.xxhash64("bytes")).sortWithinPartitions("key", "bytes")
