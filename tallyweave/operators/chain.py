@@ -113,11 +113,12 @@ def choose_branch(ours: DataFrame, branch: DataFrame) -> DataFrame:
 
 def weighed(ours: DataFrame, branch: DataFrame) -> tuple[int | None, bool, DataFrame | None]:
     """The height that branch leaves from, whether it is taken, and its valid prefix with heights above that."""
+    branch = checkpoint(branch)  # what is offered is a message or some, and is looked at several times
     first = branch.agg(F.min_by("prev_hash", "height").alias("hash"), F.min("height").alias("base")).first()
     split, tip = ours.agg(F.max(F.when(F.col("hash") == F.lit(first["hash"]), F.col("height"))), F.max("height")).first()
     if split is None:
         return None, False, None
-    placed = valid_prefix(branch).withColumn("height", F.col("height") - first["base"] + split + 1)
+    placed = checkpoint(valid_prefix(branch).withColumn("height", F.col("height") - first["base"] + split + 1))
     if split == tip:
         return split, True, placed
     theirs = with_work(placed).agg(F.sum("work")).first()[0] or 0
