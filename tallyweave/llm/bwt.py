@@ -81,6 +81,13 @@ def _same_blocks(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             raise HashClash
 
 
+def _own_keys(data: np.ndarray) -> np.ndarray:
+    """A key for the block at each byte that no other block has, in the upper 48 bits, which are all that _ordered may look at."""
+    place: dict[bytes, int] = {}
+    raw, n = data.tobytes(), max(0, len(data) - BLOCK + 1)
+    return np.fromiter((place.setdefault(raw[i : i + BLOCK], len(place)) for i in range(n)), np.uint64, n) << np.uint64(16)
+
+
 def _ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys ascending, and where each of them was. Up to 2^16 keys count by their upper 48 bits alone."""
     if len(keys) > 1 << 16:
@@ -182,9 +189,7 @@ def repeated(texts: list[bytes], size: int) -> list[np.ndarray]:
     try:
         suffixes, shared = _merged(data, Rolling(data).every(BLOCK), sizes, size // BLOCK)
     except HashClash:
-        blocks = _blocks(data).tolist()
-        place = {x: i for i, x in enumerate(sorted(set(blocks)))}
-        suffixes, shared = _merged(data, np.array([place[x] for x in blocks], np.uint64), sizes, size // BLOCK)
+        suffixes, shared = _merged(data, _own_keys(data), sizes, size // BLOCK)
     # Neighbours that share all of a window's blocks, and so no string's end.
     same = shared >= size // BLOCK
     twice = same | np.append(same[1:], False)
