@@ -6,13 +6,15 @@ height, so a chain of any length is checked in parallel.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.work import EPOCH, meets_target, target_hex, work_table
-from ..plans.shared import checkpoint
+from ..plans.shared import checkpoint, remove, stored, sweep, work_dir
 from .prefix import with_index, with_running_sum
 
 
@@ -74,12 +76,93 @@ def _reach(headers: DataFrame, weight: Column) -> list[DataFrame]:
     return rounds
 
 
+#: Links that are followed in one task.
+REST = 1 << 16
+#: Ends of links that are looked up where the headers are, at most.
+FEW = 10_000
+
+
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, up, far) of REST rows at most as (id, top, far): where the pointers lead out of them, or onto a circle."""
+    table = pa.Table.from_batches(batches)
+    if not table.num_rows:
+        return
+    links = {i: (up, far) for i, up, far in zip(*(c.to_pylist() for c in table.columns))}
+    ends: dict[int, tuple[int, int]] = {}
+    for i in links:
+        path, on = [], set()
+        while i in links and i not in ends and i not in on:
+            path.append(i)
+            on.add(i)
+            i = links[i][0]
+        top, far = ends.get(i, (i, 0))
+        for x in reversed(path):
+            far += links[x][1]
+            ends[x] = top, far
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*((i, *end) for i, end in ends.items()))], names=["id", "top", "far"])
+
+
+def _tops(links: DataFrame, folder: str) -> DataFrame:
+    """(id, top, far) of links (id, up, far): the first pointer that leads out of them, or onto a circle, and how far that is.
+
+    A round takes out each link with a coin of 0 whose pointer has a 1, about a
+    quarter; those that pointed at one point past it. So each round has fewer
+    rows, until few enough are left for one task; then those taken out find
+    where their pointers lead, the last first.
+    """
+    spark, live, out, k = links.sparkSession, links, [], 0
+    while live.where("id <> up").limit(REST + 1).count() > REST:  # what points at itself is a circle
+        coin = lambda c: F.xxhash64(F.lit(k), F.col(c)).bitwiseAND(F.lit(1))  # noqa: B023, E731
+        apart = (coin("id") == 0) & (coin("up") == 1)
+        out.append(stored(live.where(apart), f"{folder}/out-{k}"))
+        past = out[-1].select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("far").alias("__far"))
+        moved = live.where(coin("up") == 0).join(past, "up", "left").select("id", F.coalesce("__up", "up").alias("up"), (F.col("far") + F.coalesce("__far", F.lit(0))).alias("far"))
+        live = stored(live.where((coin("up") == 1) & (coin("id") == 1)).unionByName(moved), f"{folder}/live-{k}")
+        remove(f"{folder}/live-{k - 1}" if k else f"{folder}/links")
+        k += 1
+        sweep(spark)
+    schema = "id long, top long, far long"
+    circles = live.where("id = up").select("id", F.col("up").alias("top"), "far")
+    found = stored(live.where("id <> up").coalesce(1).mapInArrow(_followed, schema).unionByName(circles), f"{folder}/found")
+    while out:
+        k -= 1
+        on = found.select(F.col("id").alias("up"), "top", F.col("far").alias("__far"))
+        met = out.pop().join(on, "up", "left").select("id", F.coalesce("top", "up").alias("top"), (F.col("far") + F.coalesce("__far", F.lit(0))).alias("far"))
+        found = found.unionByName(stored(met, f"{folder}/found-{k}"))
+        remove(f"{folder}/out-{k}")
+        sweep(spark)
+    return found
+
+
 def with_heights(headers: DataFrame, known: DataFrame) -> DataFrame:
     """Headers (hash, prev_hash, ...) in any order, with the height that their pointers give them above known ones (hash, height).
 
     Headers whose pointers lead to no known one have a null height, as have
-    those on a circle.
+    those on a circle. Pointers are followed by 64-bit hashes of the hashes; if
+    two of those have one (a second hash tells them apart), by themselves.
     """
+    spark = headers.sparkSession
+    folder = work_dir(spark, "heights")
+    name, other = (lambda c: F.xxhash64(F.col(c))), (lambda c: F.xxhash64(F.lit("other"), F.col(c)))
+    named = headers.where("hash is not null").select(F.explode(F.array(
+        F.struct(name("hash").alias("id"), other("hash").alias("o"), name("prev_hash").alias("up")),
+        F.struct(name("prev_hash").alias("id"), other("prev_hash").alias("o"), F.lit(None).cast("long").alias("up")),
+    )).alias("x")).select("x.*")
+    listed = stored(named.groupBy("id").agg(F.min("up").alias("up"), (F.min("o") != F.max("o")).alias("clash"), F.lit(1).cast("long").alias("far")), f"{folder}/links")
+    if listed.where("clash").limit(1).count():
+        return _with_heights_by_hash(headers, known)
+    found = _tops(listed.where("up is not null").select("id", "up", "far"), folder)
+    tops = stored(found.select("top").distinct(), f"{folder}/tops")
+    near = F.broadcast if tops.limit(FEW + 1).count() <= FEW else (lambda x: x)
+    ends = headers.select(name("prev_hash").alias("top"), F.col("prev_hash").alias("hash")).join(near(tops), "top", "left_semi").distinct()
+    bases = stored(known.select("hash", F.col("height").alias("__base")).join(near(stored(ends, f"{folder}/ends")), "hash").select("top", "__base"), f"{folder}/bases")
+    placed = found.join(near(bases), "top", "left").select(F.col("id").alias("__id"), (F.col("__base") + F.col("far")).alias("height"))
+    sweep(spark)
+    more = [c for c in headers.columns if c not in ("hash", "height")]
+    return headers.drop("height").where("hash is not null").withColumn("__id", name("hash")).join(placed, "__id").select("hash", *more, "height")
+
+
+def _with_heights_by_hash(headers: DataFrame, known: DataFrame) -> DataFrame:
     base = known.select(F.col("hash").alias("up"), F.col("height").alias("__base"))
     placed = _reach(headers, F.lit(0))[-1].join(base, "up", "left").select("hash", (F.col("__base") + F.col("far")).alias("height"))
     return headers.drop("height").join(placed, "hash")

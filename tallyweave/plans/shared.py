@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import gc
 import tempfile
 import uuid
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,3 +32,37 @@ def checkpoint(rows: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder."""
     shared_dir(rows.sparkSession)
     return rows.checkpoint(eager=True)
+
+
+#: Folders of work_dir, which are removed when the driver ends.
+_MADE: list[str] = []
+
+
+def work_dir(spark: SparkSession, what: str) -> str:
+    """A new folder in the shared folder, removed when the driver ends."""
+    _MADE.append(new_dir(spark, what))
+    return _MADE[-1]
+
+
+def remove(folder: str) -> None:
+    with contextlib.suppress(OSError):
+        fs, path = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else folder.replace("file:", "file://", 1))
+        fs.delete_dir(path)
+
+
+@atexit.register
+def _remove_all() -> None:
+    while _MADE:
+        remove(_MADE.pop())
+
+
+def stored(rows: DataFrame, folder: str) -> DataFrame:
+    """rows, written to a folder and read from there."""
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of what is referred to no more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -227,17 +227,23 @@ _MANTISSA, _EXPONENT = "(bits & 8388607)", "(bits >> 24)"
 _WORK = f"(CAST(1 AS HUGEINT) << (256 - 8 * ({_EXPONENT} - 3))) // {_MANTISSA}"
 
 
+def _name(height, kind: str, user: str):
+    return B.to_hex(B.sha256d(F.concat_ws("|", height.cast("string"), kind, F.col(user).cast("string")).cast("binary")))
+
+
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain without its pointers."""
-    body = F.concat_ws("|", F.col("event_id").cast("string"), "event_type", F.col("user_id").cast("string"))
     bits = F.get(F.array(*[F.lit(b).cast("long") for b in BITS]), (F.col("user_id") % 4).cast("int"))
-    return _t(spark, sf_dir, "events").select(F.col("event_id").alias("height"), B.to_hex(B.sha256d(body.cast("binary"))).alias("hash"), bits.alias("bits"), "ts", "user_id", "event_type")
+    return _t(spark, sf_dir, "events").select(F.col("event_id").alias("height"), _name(F.col("event_id"), "event_type", "user_id").alias("hash"), bits.alias("bits"), "ts", "user_id", "event_type")
 
 
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = hashes(spark, sf_dir)
-    below = rows.select((F.col("height") + 1).alias("height"), F.col("hash").alias("prev_hash"))
-    return rows.join(below, "height", "left").withColumn("prev_hash", F.coalesce("prev_hash", F.lit("00" * 32)))
+    # Hashes are made where they are needed: what they are made of is shorter, and moves in place of them.
+    below = _t(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("height"), F.col("event_id").alias("__at"), F.col("event_type").alias("__kind"), F.col("user_id").alias("__user"))
+    rows = _t(spark, sf_dir, "events").withColumnRenamed("event_id", "height").select("height", "ts", "user_id", "event_type").join(below, "height", "left")
+    bits = F.get(F.array(*[F.lit(b).cast("long") for b in BITS]), (F.col("user_id") % 4).cast("int"))
+    prev = F.when(F.col("__at").isNull(), "00" * 32).otherwise(_name(F.col("__at"), "__kind", "__user"))
+    return rows.select("height", _name(F.col("height"), "event_type", "user_id").alias("hash"), bits.alias("bits"), "ts", "user_id", "event_type", prev.alias("prev_hash"))
 
 
 def broken(headers: DataFrame) -> DataFrame:
