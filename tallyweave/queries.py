@@ -305,7 +305,7 @@ def stream_reorganisation(spark, sf_dir):
     ours = chain(spark, sf_dir).select("hash", "prev_hash", "bits", "height")
     schema = ours.drop("height").schema
     for rows in (ours, branch_from(ours, 50, 40, BITS[3], "branch"), branch_from(ours, 60, 2, BITS[0], "light")):
-        rows.select(*schema.names).write.mode("append").parquet(f"{root}/source")
+        rows.select(*schema.names).write.mode("append").option("compression", "zstd").parquet(f"{root}/source")  # a digit of a hash is half a byte
         T.ingest(spark, f"{root}/source", schema, into, f"{root}/checkpoint", None, files_each=1000)
     return into.read(T.HEADERS).select("height", "hash")
 

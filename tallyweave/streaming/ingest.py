@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.chain import frontier, heaviest, weighed, with_heights
+from ..operators.chain import FEW, frontier, heaviest, weighed, with_heights
+from ..plans.shared import sweep
 from ..plans.snapshot import Snapshots
 
 ROWS, WAITING, BAD, HEADERS = "rows", "waiting", "quarantine", "headers"
@@ -74,7 +75,7 @@ def follow_batch(headers: DataFrame, batch: int, into: Snapshots) -> None:
     known = origin if ours is None else ours.select("hash", "height").unionByName(origin)
     placed = with_heights(headers, known).where("height is not null")
     if ours is not None:
-        placed = placed.join(ours.select("hash"), "hash", "left_anti")
+        placed = placed.join(_there(ours, placed.select("hash")), "hash", "left_anti")
     placed = placed.select("height", "hash", "prev_hash", "bits").persist()
     taken, above = placed, None
     if ours is not None and placed.limit(1).count():
@@ -84,6 +85,14 @@ def follow_batch(headers: DataFrame, batch: int, into: Snapshots) -> None:
     facts = {} if above is None else {"frontier": min(now["facts"].get("frontier", 0), above + 1)}
     into.commit({HEADERS: taken}, batch=(HEADERS, batch), facts=facts, replace_above=above, expect=now["version"])
     placed.unpersist()
+    del placed, taken
+    sweep(spark)
+
+
+def _there(ours: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Which hashes are there already. Of a small batch, they go to where ours lie, which then move nowhere."""
+    few = hashes.limit(FEW + 1).count() <= FEW
+    return ours.select("hash").join(F.broadcast(hashes) if few else hashes, "hash", "left_semi")
 
 
 def ingest(spark: SparkSession, source: str, schema: StructType, into: Snapshots, checkpoint: str, valid: Column | None, files_each: int = 4, fmt: str = "parquet", shape: Callable[[DataFrame], DataFrame] | None = None, key: str = "height"):
